@@ -8,9 +8,11 @@ from __future__ import annotations
 import math
 from collections.abc import Callable, Mapping, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from prepkit.functions.columns import chunks, col, compact_text, union_all
 from prepkit.sources.scratch import materialize
@@ -195,60 +197,44 @@ def _interpolate(position: float, lower: float, upper: float, how: str) -> float
     return lower + (upper - lower) * (position - base)
 
 
-def _rank_values(cells: DataFrame, ranks: Column) -> list[Row]:
-    """Values that sit at the wanted 0-based ranks of each slot of ``cells(slot, value)``.
+def _rank_values(df: DataFrame, brackets: list[_Bracket]) -> dict[tuple, list[Row]]:
+    """The values at the wanted ranks of each bracket, by ``(column, lo, hi)``.
 
-    Values are counted first, so the window of a slot sees distinct values only, and the result
-    is at most one row per rank.
+    Equal brackets share a slot. Values are counted first, so that the window of a slot sees
+    distinct values only; at most two rows per quantile are collected.
     """
-    by_value = Window.partitionBy("slot").orderBy("value")
-    return (
-        cells.where(F.col("value").isNotNull())
-        .groupBy("slot", "value")
-        .agg(F.count(F.lit(1)).alias("n"))
-        .withColumn("upto", F.sum("n").over(by_value.rowsBetween(Window.unboundedPreceding, 0)))
-        .withColumn("total", F.sum("n").over(Window.partitionBy("slot")))
-        .withColumn("ranks", ranks)
-        .where(
-            F.exists("ranks", lambda r: (r >= F.col("upto") - F.col("n")) & (r < F.col("upto")))
+    slots: dict[tuple, list[_Bracket]] = {}
+    for b in brackets:
+        slots.setdefault(b.range(), []).append(b)
+    found: dict[tuple, list[Row]] = {key: [] for key in slots}
+    for chunk in chunks(list(slots), AGG_WIDTH):
+        names = [f"s{i}" for i in range(len(chunk))]
+        cells = [slots[key][0].cell().alias(name) for key, name in zip(chunk, names)]
+        ranks = []
+        for key, name in zip(chunk, names):
+            wanted = sorted({r - b.below for b in slots[key] for r in b.ranks})
+            ranks += [F.lit(name), F.array(*[F.lit(r).cast("bigint") for r in wanted])]
+        order = Window.partitionBy("slot").orderBy("value")
+        upto, n = F.col("upto"), F.col("n")
+        rows = (
+            df.select(*cells)
+            .unpivot([], names, "slot", "value")
+            .where(F.col("value").isNotNull())
+            .groupBy("slot", "value")
+            .agg(F.count(F.lit(1)).alias("n"))
+            .withColumn("upto", F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+            .where(F.exists(F.create_map(*ranks)[F.col("slot")], lambda r: (r >= upto - n) & (r < upto)))
+            .select("slot", "value", "n", "upto")
         )
-        .select("slot", "value", "n", "upto", "total")
-        .collect()
-    )
+        for row in rows.collect():
+            found[chunk[names.index(row["slot"])]].append(row)
+    return found
 
 
 def _at(rows: list[Row], rank: int) -> float:
     return next(r["value"] for r in rows if r["upto"] - r["n"] <= rank < r["upto"])
 
 
-def _small_quantiles(df, columns, probs, how) -> dict[str, dict[float, float | None]]:
-    """One job: rank the distinct values of every column in a window task of its own."""
-    slots = {f"s{i}": c for i, c in enumerate(columns)}
-    cells = df.select(*[col(c).cast("double").alias(s) for s, c in slots.items()]).unpivot(
-        [], list(slots), "slot", "value"
-    )
-    last = F.col("total") - 1
-    ranks = F.array(
-        *[f(F.lit(float(p)) * last).cast("bigint") for p in probs for f in (F.floor, F.ceil)]
-    )
-    by_slot: dict[str, list[Row]] = {s: [] for s in slots}
-    for row in _rank_values(cells, ranks):
-        by_slot[row["slot"]].append(row)
-    out: dict[str, dict[float, float | None]] = {}
-    for s, c in slots.items():
-        rows = by_slot[s]
-        out[c] = {}
-        for p in probs:
-            if not rows:
-                out[c][p] = None
-                continue
-            pos = p * (rows[0]["total"] - 1)
-            out[c][p] = _interpolate(
-                pos, _at(rows, math.floor(pos)), _at(rows, math.ceil(pos)), how
-            )
-    return out
-
-
 class _Bracket:
     """A value range of one column that is known to hold the order statistics of one quantile."""
 
@@ -260,6 +246,9 @@ class _Bracket:
         self.below, self.inside, self.distinct = 0, count, count
         self.width, self.stuck = 5.0, False
 
+    def range(self) -> tuple:
+        return self.column, self.lo, self.hi
+
     def value(self) -> Column:
         return col(self.column).cast("double")
 
@@ -271,7 +260,7 @@ class _Bracket:
         return keep
 
     def cell(self) -> Column:
-        return F.when(self.holds(), self.value()).alias(self.name)
+        return F.when(self.holds(), self.value())
 
     def guess_edges(self, rate: float) -> Column:
         middle = (sum(self.ranks) / 2 - self.below + 0.5) / self.inside
@@ -314,14 +303,31 @@ def _narrow(df: DataFrame, wide: list[_Bracket], seed: int, sample_rows: int) ->
             b.distinct = found[b.name, "distinct"]
 
 
-def _large_quantiles(df, columns, probs, how, window_rows, sample_rows):
-    """Brackets around the order statistics, narrowed until one window task can rank the rest.
+def exact_quantiles(
+    df: DataFrame,
+    columns: Sequence[str],
+    probs: Sequence[float] = (0.25, 0.5, 0.75),
+    interpolation: str = "linear",
+    counts: Mapping[str, int] | None = None,
+    window_rows: int = WINDOW_ROWS,
+    sample_rows: int = SAMPLE_ROWS,
+) -> dict[str, dict[float, float | None]]:
+    """Exact quantiles of numeric columns over their non-null values, as plain numbers.
 
-    The sample only places the brackets. Counting over all rows decides whether a bracket holds
-    its ranks, so the result is exact whatever the sample looks like. Only the values inside the
-    final brackets are shuffled.
+    ``linear`` interpolates between the two neighbouring order statistics, ``nearest`` takes the
+    closer one. ``counts`` are the non-null counts of the columns, if they are known.
+
+    The built-in ``percentile`` keeps every distinct value of a column in one buffer. Here a
+    column with more than ``window_rows`` values is first narrowed to brackets around the wanted
+    ranks. A sample places the brackets, but counting over all rows decides whether a bracket
+    holds its ranks, so the result is exact whatever the sample looks like. Only the values inside
+    the final brackets are shuffled, and no task ranks more than about ``window_rows`` of them.
     """
-    counts = one_row(df, {c: F.count(col(c)) for c in columns})
+    if interpolation not in ("linear", "nearest"):
+        raise ValueError(f"unknown interpolation: {interpolation}")
+    probs = list(dict.fromkeys(probs))
+    if counts is None:
+        counts = one_row(df, {c: F.count(col(c)) for c in columns}) if columns else {}
     brackets = {
         (c, p): _Bracket(f"b{i}_{j}", c, p * (counts[c] - 1), counts[c])
         for i, c in enumerate(columns)
@@ -333,62 +339,27 @@ def _large_quantiles(df, columns, probs, how, window_rows, sample_rows):
         if not wide:
             break
         _narrow(df, wide, 17 + step, sample_rows)
-    rows: dict[str, list[Row]] = {b.name: [] for b in brackets.values()}
-    for chunk in chunks(list(brackets.values()), AGG_WIDTH):
-        cells = df.select(*[b.cell() for b in chunk]).unpivot(
-            [], [b.name for b in chunk], "slot", "value"
-        )
-        wanted = F.create_map(
-            *[
-                x
-                for b in chunk
-                for x in (F.lit(b.name), F.array(*[F.lit(r - b.below) for r in b.ranks]))
-            ]
-        )
-        ranks = wanted[F.col("slot")].cast("array<bigint>")
-        for row in _rank_values(cells, ranks):
-            rows[row["slot"]].append(row)
+    found = _rank_values(df, list(brackets.values()))
     out: dict[str, dict[float, float | None]] = {c: {p: None for p in probs} for c in columns}
     for (c, p), b in brackets.items():
-        lower, upper = (_at(rows[b.name], r - b.below) for r in b.ranks)
-        out[c][p] = _interpolate(p * (counts[c] - 1), lower, upper, how)
+        lower, upper = (_at(found[b.range()], r - b.below) for r in b.ranks)
+        out[c][p] = _interpolate(p * (counts[c] - 1), lower, upper, interpolation)
     return out
 
 
-def exact_quantiles(
-    df: DataFrame,
-    columns: Sequence[str],
-    probs: Sequence[float] = (0.25, 0.5, 0.75),
-    interpolation: str = "linear",
-    rows: int | None = None,
-    window_rows: int = WINDOW_ROWS,
-    sample_rows: int = SAMPLE_ROWS,
-) -> dict[str, dict[float, float | None]]:
-    """Exact quantiles of numeric columns over their non-null values, as plain numbers.
-
-    ``linear`` interpolates between the two neighbouring order statistics, ``nearest`` takes the
-    closer one. The built-in ``percentile`` keeps every distinct value of a column in one
-    aggregation buffer; here no task holds more than ``window_rows`` distinct values of a column,
-    and only those are shuffled. ``rows`` is an upper bound of the row count if it is known.
-    """
-    if interpolation not in ("linear", "nearest"):
-        raise ValueError(f"unknown interpolation: {interpolation}")
-    if not columns:
-        return {}
-    if rows is None:
-        rows = df.count()
-    probs = list(dict.fromkeys(probs))
-    if rows <= window_rows:
-        return _small_quantiles(df, columns, probs, interpolation)
-    return _large_quantiles(df, columns, probs, interpolation, window_rows, sample_rows)
-
-
 # ---------------------------------------------------------------------------------------------
 # lookup frames
 
 
 def local_frame(spark: SparkSession, rows: Sequence[tuple], schema: str | T.StructType) -> DataFrame:
-    return spark.createDataFrame([tuple(r) for r in rows], schema)
+    """A few rows as a local relation, whose size Catalyst knows and which needs no job to read."""
+    if isinstance(schema, str):
+        schema = T.StructType.fromDDL(schema)
+    arrays = [
+        pa.array([r[i] for r in rows], type=to_arrow_type(f.dataType))
+        for i, f in enumerate(schema.fields)
+    ]
+    return spark.createDataFrame(pa.Table.from_arrays(arrays, names=schema.names), schema)
 
 
 def settle(frame: DataFrame, limit: int = SMALL_ROWS) -> tuple[DataFrame, bool]:
@@ -397,7 +368,7 @@ def settle(frame: DataFrame, limit: int = SMALL_ROWS) -> tuple[DataFrame, bool]:
     Up to ``limit`` rows it becomes a local frame; beyond that it is written to the shared folder
     and is joined by shuffle.
     """
-    rows = frame.limit(limit + 1).collect()
+    rows = frame.orderBy(F.col(frame.columns[0])).limit(limit + 1).collect()
     if len(rows) <= limit:
         return local_frame(frame.sparkSession, rows, frame.schema), True
     return materialize(frame, "lookup"), False

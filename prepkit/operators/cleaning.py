@@ -163,7 +163,8 @@ def fill_values(df: DataFrame, strategies: Mapping[str, str]) -> dict[str, Colum
         for c, s in holes.items()
         if s == "fill_mode" or (s in ("fill_mean", "fill_median") and c not in numeric)
     ]
-    medians = exact_quantiles(df, by_median, (0.5,), rows=found["rows"]) if by_median else {}
+    counts = {c: found["rows"] - found[c, "nulls"] for c in by_median}
+    medians = exact_quantiles(df, by_median, (0.5,), counts=counts)
     common = modes(df, by_mode)
     out: dict[str, Column] = {}
     for c, s in holes.items():

@@ -14,10 +14,10 @@ from prepkit.operators.aggregates import exact_quantiles, local_frame, one_row,
 
 
 def iqr_quartiles(
-    df: DataFrame, columns: Sequence[str], interpolation: str = "linear", rows: int | None = None
+    df: DataFrame, columns: Sequence[str], interpolation: str = "linear"
 ) -> dict[str, tuple[float, float]]:
     """First and third quartile of the columns that hold any value."""
-    found = exact_quantiles(df, columns, (0.25, 0.75), interpolation, rows)
+    found = exact_quantiles(df, columns, (0.25, 0.75), interpolation)
     return {c: (q[0.25], q[0.75]) for c, q in found.items() if q[0.25] is not None}
 
 
@@ -26,7 +26,6 @@ def outlier_bounds(
     columns: Sequence[str],
     method: str = "iqr",
     interpolation: str = "linear",
-    rows: int | None = None,
 ) -> dict[str, tuple[float, float]]:
     """Bounds outside which a value is an outlier, for the columns that have any.
 
@@ -36,7 +35,7 @@ def outlier_bounds(
     if method == "iqr":
         return {
             c: (q1 - K.IQR_FACTOR * (q3 - q1), q3 + K.IQR_FACTOR * (q3 - q1))
-            for c, (q1, q3) in iqr_quartiles(df, columns, interpolation, rows).items()
+            for c, (q1, q3) in iqr_quartiles(df, columns, interpolation).items()
         }
     if method != "zscore":
         raise ValueError(f"unknown method: {method}")
@@ -91,10 +90,9 @@ def remove_outliers(
     names = list(columns or types.numeric_columns(df))
     if mode not in ("sequential", "joint"):
         raise ValueError(f"unknown mode: {mode}")
-    rows = df.count() if method == "iqr" else None
     steps = [names] if mode == "joint" else [[c] for c in names]
     for step in steps:
-        bounds = outlier_bounds(df, step, method, interpolation, rows)
+        bounds = outlier_bounds(df, step, method, interpolation)
         for c, limits in bounds.items():
             df = df.where(_within(c, limits, not drop_null))
     return df

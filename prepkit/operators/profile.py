@@ -80,8 +80,8 @@ def numeric_summary(df: DataFrame, columns: Sequence[str] | None = None) -> Data
     """
     columns = list(columns or types.numeric_columns(df))
     stats = summary(df, columns)
-    most = max((s["count"] for s in stats.values()), default=0)
-    quantiles = exact_quantiles(df, columns, (0.25, 0.5, 0.75), rows=most)
+    counts = {c: s["count"] for c, s in stats.items()}
+    quantiles = exact_quantiles(df, columns, (0.25, 0.5, 0.75), counts=counts)
     rows = []
     for c in columns:
         s, q = stats[c], quantiles[c]

@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from prepkit import types
 from prepkit.functions import keywords as K
 from prepkit.functions.columns import col, union_all
-from prepkit.operators.aggregates import local_frame
 from prepkit.operators.outliers import detect_outliers
 from prepkit.operators.profile import (
     duplicate_rows,
@@ -34,25 +33,44 @@ def domain_tags(df: DataFrame, groups: Sequence[str], text: str) -> DataFrame:
     """Best-matching domain per group: ``(<groups>, domain, score)``.
 
     The score of a domain is the number of its keywords found in any text of the group (in any
-    case, anywhere). Ties go to the domain listed first; no hit gives ``General``. One aggregate
-    tests all keywords, so the texts are read once, never multiplied by the keyword list, and only
-    the hit flags of a group are shuffled.
+    case, anywhere in a word). Ties go to the domain listed first; no hit gives ``General``.
+
+    All keywords are made of the letters a to z, so each occurrence lies inside one run of
+    letters. The texts are cut into such runs once and the runs of a group are made distinct,
+    partly before the shuffle; only they are searched for keywords, never the texts themselves.
     """
+    by = [col(g) for g in groups]
     words = sorted({w for listed in K.DOMAIN_KEYWORDS.values() for w in listed})
-    low = F.lower(col(text))
-    hits = df.groupBy(*[col(g) for g in groups]).agg(
-        *[F.max(F.contains(low, F.lit(w))).alias(f"w{i}") for i, w in enumerate(words)]
+    # The empty run stays in, so that a group without any hit is not lost.
+    runs = F.concat(F.array(F.lit("")), F.split(F.lower(F.coalesce(col(text), F.lit(""))), "[^a-z]+"))
+    run, n = F.col("run"), F.col("n")
+    found = F.filter(F.array(*[F.lit(w) for w in words]), lambda w: F.contains(run, w))
+    heads = sorted({w[0] for w in words})
+    pattern = "|".join(f"{h}(?:{'|'.join(w[1:] for w in words if w[0] == h)})" for h in heads)
+    hits = (
+        df.select(*by, F.explode(F.array_distinct(runs)).alias("run"))
+        .groupBy(*by, "run")
+        .agg(F.count(F.lit(1)).alias("n"))
+        # Asking for ``n`` keeps the search behind the grouping: once per distinct run.
+        .where(F.when(n > 0, (run == "") | run.rlike(pattern)))
+        .select(*by, F.explode_outer(found).alias("word"))
+        .distinct()
     )
-    place = {w: f"w{i}" for i, w in enumerate(words)}
-    scored = []
-    for i, (domain, listed) in enumerate(K.DOMAIN_KEYWORDS.items()):
-        score = sum((F.coalesce(F.col(place[w]), F.lit(False)).cast("int") for w in listed), F.lit(0))
-        scored.append(
-            F.struct(score.alias("score"), F.lit(-i).alias("order"), F.lit(domain).alias("domain"))
-        )
-    best = F.greatest(*scored)
-    return hits.select(*[col(g) for g in groups], best.alias("best")).select(
-        *[col(g) for g in groups],
+    scores = []
+    for listed in K.DOMAIN_KEYWORDS.values():
+        times: dict[int, list[str]] = {}
+        for w in dict.fromkeys(listed):
+            times.setdefault(listed.count(w), []).append(w)
+        points = F.lit(0)
+        for n, some in times.items():
+            points = points + F.when(F.col("word").isin(some), F.lit(n)).otherwise(F.lit(0))
+        scores.append(F.sum(points).cast("int"))
+    ranked = [
+        F.struct(score.alias("score"), F.lit(-i).alias("place"), F.lit(domain).alias("domain"))
+        for i, (domain, score) in enumerate(zip(K.DOMAIN_KEYWORDS, scores))
+    ]
+    return hits.groupBy(*by).agg(F.greatest(*ranked).alias("best")).select(
+        *by,
         F.when(F.col("best.score") > 0, F.col("best.domain"))
         .otherwise(K.DEFAULT_DOMAIN)
         .alias("domain"),
@@ -214,14 +232,3 @@ def recommendations(df: DataFrame) -> DataFrame:
     rows = [F.struct(F.lit(k).alias("rule"), v.alias("fired")) for k, v in fired.items()]
     return readiness_facts(df).select(F.inline(F.array(*rows)))
 
-
-__all__ = [
-    "WEIGHTS",
-    "catalog",
-    "domain_tags",
-    "local_frame",
-    "readiness_facts",
-    "readiness_score",
-    "recommendations",
-    "suitability",
-]

@@ -8,8 +8,9 @@ partitioning and after any retry.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -19,9 +20,6 @@ from prepkit.functions.columns import col, cols, fresh, hash_bucket, hash_fracti
 from prepkit.operators.aggregates import lookup_join, settle
 from prepkit.sources.scratch import materialize
 
-# Leading hex digits of the hash that pick the bucket holding a threshold: 65,536 buckets.
-BUCKET_DIGITS = 4
-
 
 def _keys(df: DataFrame, keys: Sequence[str] | None) -> list[Column]:
     return cols(keys or df.columns)
@@ -114,24 +112,34 @@ def _attach(rows: DataFrame, lookup: DataFrame, small: bool, key: Column | None)
     return rows.withColumns(values)
 
 
-def _cuts(
-    df: DataFrame, column: str | None, plan: DataFrame, small: bool, h: Column
-) -> tuple[DataFrame, bool]:
+@dataclass(frozen=True)
+class _Plan:
+    """``(k, base, extra)`` per class: whole copies of each row, and rows that get one more."""
+
+    classes: DataFrame
+    small: bool
+    digits: int  # leading hex digits of the hash that name a bucket
+
+
+def _cuts(df: DataFrame, column: str | None, plan: _Plan, h: Column) -> tuple[DataFrame, bool]:
     """The hash of the ``extra``-th row of each class: ``(k, cut, cut_rows, cut_keep)``.
 
     Two narrowing counts: rows per (class, leading hash digits) find the bucket that holds the
     threshold, then the hashes of that bucket alone are ranked. Counting starts before the
-    shuffle and no window sees more than 65,536 buckets or a 65,536th of a class. ``cut_rows``
-    rows carry the hash, ``cut_keep`` of them are wanted; the two differ only if keys repeat.
+    shuffle; with about as many buckets as rows per bucket, neither window sees more than some
+    multiple of the square root of a class. ``cut_rows`` rows carry the hash, ``cut_keep`` of
+    them are wanted; the two differ only if keys repeat.
     """
     key = F.col("k") if column else None
     base = df.select((col(column) if column else F.lit(0)).alias("k"), h.alias("h"))
-    placed = base.withColumn("bucket", hash_bucket(F.col("h"), BUCKET_DIGITS))
+    placed = base.withColumn("bucket", hash_bucket(F.col("h"), plan.digits))
     buckets = placed.groupBy("k", "bucket").agg(F.count(F.lit(1)).alias("rows"))
     order = Window.partitionBy("k").orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
     holds = (F.col("upto") >= F.col("extra")) & (F.col("upto") - F.col("rows") < F.col("extra"))
     found, few = settle(
-        _attach_to_lookup(buckets.withColumn("upto", F.sum("rows").over(order)), plan, small, key)
+        _attach_to_lookup(
+            buckets.withColumn("upto", F.sum("rows").over(order)), plan.classes, plan.small, key
+        )
         .where((F.col("extra") > 0) & holds)
         .select(
             "k",
@@ -189,30 +197,26 @@ class _Ranked:
 def _rank(
     df: DataFrame,
     column: str | None,
-    plan: DataFrame,
-    small: bool,
+    plan: _Plan,
     keys: Sequence[str] | None,
     seed: int,
 ) -> _Ranked:
-    """Mark the first ``extra`` rows of every class; ``plan`` is ``(k, base, extra)``."""
+    """Mark the first ``extra`` rows of every class."""
     names = df.columns
     own = {c: fresh(names, "plan_" + c) for c in ("h", "base", "cut", "cut_rows", "cut_keep", "first")}
     h = order_hash(seed, _keys(df, keys))
-    cuts, few = _cuts(df, column, plan, small, h)
-    lookup = _attach_to_lookup(plan, cuts, few, F.col("k") if column else None)
+    cuts, few = _cuts(df, column, plan, h)
+    lookup = _attach_to_lookup(plan.classes, cuts, few, F.col("k") if column else None)
     lookup = lookup.select(
         "k", *[F.col(c).alias(own[c]) for c in ("base", "cut", "cut_rows", "cut_keep")]
     )
-    if small:
-        lookup, small = settle(lookup)
-    rows = _attach(
-        df.withColumn(own["h"], h), lookup, small, col(column) if column else None
-    )
+    key = col(column) if column else None
+    rows = _attach(df.withColumn(own["h"], h), lookup, plan.small, key)
     at, below = F.col(own["h"]) == F.col(own["cut"]), F.col(own["h"]) < F.col(own["cut"])
     cut_through = F.col(own["cut_rows"]) > F.col(own["cut_keep"])
     first = F.coalesce(below | at, F.lit(False)).alias(own["first"])
     kept = [*cols(names), F.col(own["base"]), first]
-    if not lookup.where(cut_through).head(1):
+    if not cuts.where("cut_rows > cut_keep").head(1):
         return _Ranked(names, rows.select(*kept), own["base"], own["first"], [])
 
     split = F.coalesce(at & cut_through, F.lit(False))
@@ -222,7 +226,7 @@ def _rank(
         again = lookup.where(cut_through).select(
             "k", F.col(own["base"]).alias("base"), F.col(own["cut_keep"]).alias("extra")
         )
-        inner = _rank(tied.select(*cols(names)), column, again, small, None, seed)
+        inner = _rank(tied.select(*cols(names)), column, replace(plan, classes=again), None, seed)
         more = inner.marked.withColumnsRenamed({inner.base: own["base"], inner.first: own["first"]})
         return _Ranked(names, marked.unionByName(more), own["base"], own["first"], inner.tied)
     n = own["cut_rows"]
@@ -251,17 +255,19 @@ def _repeat(frame: DataFrame, names: Sequence[str], times: Column) -> DataFrame:
     )
 
 
-def _class_plan(df: DataFrame, column: str | None, quota: Column) -> tuple[DataFrame, bool]:
-    """``(k, base, extra)`` per class from the wanted rows, an expression over ``n`` (rows of the
-    class), ``smallest``, ``largest`` and ``total``."""
+def _class_plan(df: DataFrame, column: str | None, quota: Column) -> _Plan:
+    """The plan from the wanted rows of a class, an expression over ``n`` (rows of the class),
+    ``smallest`` and ``largest``."""
     totals, small = settle(_class_totals(df, column))
-    span = totals.agg(
-        F.struct(
-            F.min("n").alias("smallest"), F.max("n").alias("largest"), F.sum("n").alias("total")
-        )
-    ).scalar()
+    if small:  # local rows: no job
+        n = [r["n"] for r in totals.collect()] or [0]
+        smallest, largest = min(n), max(n)
+    else:
+        smallest, largest = totals.agg(F.min("n"), F.max("n")).collect()[0]
+    span = {"smallest": F.lit(smallest), "largest": F.lit(largest)}
+    digits = max(1, min(5, math.ceil(math.log(max(largest, 1), 16) / 2)))
     plan = (
-        totals.withColumns({x: span[x] for x in ("smallest", "largest", "total")})
+        totals.withColumns(span)
         .withColumn("quota", quota.cast("bigint"))
         .select(
             F.col("class").alias("k"),
@@ -269,7 +275,7 @@ def _class_plan(df: DataFrame, column: str | None, quota: Column) -> tuple[DataF
             (F.col("quota") % F.col("n")).alias("extra"),
         )
     )
-    return settle(plan) if small else (materialize(plan, "plan"), False)
+    return _Plan(plan if small else materialize(plan, "plan"), small, digits)
 
 
 def resample(
@@ -284,9 +290,9 @@ def resample(
     A quota below the class size draws without replacement, one above it repeats rows. One scan
     of the data with a broadcast class plan; nothing is shuffled but the counts behind the plan.
     """
-    plan, small = _class_plan(df, column, quota)
-    ranked = _rank(df, column, plan, small, keys, seed)
-    repeats = bool(plan.where("base > 1 or (base = 1 and extra > 0)").head(1))
+    plan = _class_plan(df, column, quota)
+    ranked = _rank(df, column, plan, keys, seed)
+    repeats = bool(plan.classes.where("base > 1 or (base = 1 and extra > 0)").head(1))
     if repeats:
         out = _repeat(ranked.marked, ranked.names, ranked.copies())
     else:
@@ -385,8 +391,8 @@ def sample_stats(before: DataFrame, after: DataFrame) -> DataFrame:
 
 
 def _exact_split(df, column, quota, keys, seed, label) -> DataFrame:
-    plan, small = _class_plan(df, column, quota)
-    ranked = _rank(df, column, plan, small, keys, seed)
+    plan = _class_plan(df, column, quota)
+    ranked = _rank(df, column, plan, keys, seed)
     part = F.when(ranked.copies() > 0, "test").otherwise("train").alias(label)
     out = ranked.marked.select(*cols(ranked.names), part)
     for groups in ranked.tied:
