@@ -36,7 +36,8 @@ def histogram(df: DataFrame, column: str, bins: int = 15) -> DataFrame:
     lo, hi = span["lo"], span["hi"]
     place = F.floor(F.try_divide(F.lit(float(bins)) * (x - lo), hi - lo)).cast("int")
     bucket = F.when(lo == hi, F.lit(0)).otherwise(F.least(place, F.lit(bins - 1)))
-    counts = df.where(x.isNotNull()).groupBy(bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
+    placed = df.where(x.isNotNull()).select(bucket.alias("bucket"))
+    counts = placed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
     b = F.col("bucket")
     return counts.select(
         "bucket",
