@@ -68,8 +68,9 @@ def per_column(
 
 
 def summary(df: DataFrame, columns: Sequence[str]) -> dict[str, dict]:
-    """Count, mean, sample deviation, minimum and maximum of numeric columns, in one pass."""
-    exprs: dict[tuple, Column] = {}
+    """Row and value count, mean, sample deviation, minimum and maximum of numeric columns, in one
+    pass."""
+    exprs: dict = {"rows": F.count(F.lit(1))}
     for c in columns:
         x = col(c).cast("double")
         exprs[c, "count"] = F.count(x)
@@ -78,7 +79,8 @@ def summary(df: DataFrame, columns: Sequence[str]) -> dict[str, dict]:
         exprs[c, "min"] = F.min(x)
         exprs[c, "max"] = F.max(x)
     found = one_row(df, exprs)
-    return {c: {m: found[c, m] for m in ("count", "mean", "std", "min", "max")} for c in columns}
+    metrics = ("count", "mean", "std", "min", "max")
+    return {c: {"rows": found["rows"], **{m: found[c, m] for m in metrics}} for c in columns}
 
 
 # ---------------------------------------------------------------------------------------------
@@ -201,7 +203,8 @@ def _rank_values(df: DataFrame, brackets: list[_Bracket]) -> dict[tuple, list[Ro
     """The values at the wanted ranks of each bracket, by ``(column, lo, hi)``.
 
     Equal brackets share a slot. Values are counted first, so that the window of a slot sees
-    distinct values only; at most two rows per quantile are collected.
+    distinct values only. Collected are at most two rows per quantile and the last of each slot,
+    whose ``place`` is the number of distinct values.
     """
     slots: dict[tuple, list[_Bracket]] = {}
     for b in brackets:
@@ -212,7 +215,9 @@ def _rank_values(df: DataFrame, brackets: list[_Bracket]) -> dict[tuple, list[Ro
         cells = [slots[key][0].cell().alias(name) for key, name in zip(chunk, names)]
         ranks = []
         for key, name in zip(chunk, names):
-            wanted = sorted({r - b.below for b in slots[key] for r in b.ranks})
+            wanted = sorted(
+                {r - b.below for b in slots[key] for r in (*b.ranks, b.below + b.inside - 1)}
+            )
             ranks += [F.lit(name), F.array(*[F.lit(r).cast("bigint") for r in wanted])]
         order = Window.partitionBy("slot").orderBy("value")
         upto, n = F.col("upto"), F.col("n")
@@ -223,8 +228,9 @@ def _rank_values(df: DataFrame, brackets: list[_Bracket]) -> dict[tuple, list[Ro
             .groupBy("slot", "value")
             .agg(F.count(F.lit(1)).alias("n"))
             .withColumn("upto", F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+            .withColumn("place", F.row_number().over(order))
             .where(F.exists(F.create_map(*ranks)[F.col("slot")], lambda r: (r >= upto - n) & (r < upto)))
-            .select("slot", "value", "n", "upto")
+            .select("slot", "value", "n", "upto", "place")
         )
         for row in rows.collect():
             found[chunk[names.index(row["slot"])]].append(row)
@@ -323,6 +329,22 @@ def exact_quantiles(
     holds its ranks, so the result is exact whatever the sample looks like. Only the values inside
     the final brackets are shuffled, and no task ranks more than about ``window_rows`` of them.
     """
+    return rank_columns(df, columns, probs, interpolation, counts, window_rows, sample_rows)[0]
+
+
+def rank_columns(
+    df: DataFrame,
+    columns: Sequence[str],
+    probs: Sequence[float],
+    interpolation: str = "linear",
+    counts: Mapping[str, int] | None = None,
+    window_rows: int = WINDOW_ROWS,
+    sample_rows: int = SAMPLE_ROWS,
+) -> tuple[dict[str, dict[float, float | None]], dict[str, int]]:
+    """:func:`exact_quantiles`, and the distinct values of the columns that were ranked whole.
+
+    Distinct values are those of the column as double.
+    """
     if interpolation not in ("linear", "nearest"):
         raise ValueError(f"unknown interpolation: {interpolation}")
     probs = list(dict.fromkeys(probs))
@@ -344,7 +366,10 @@ def exact_quantiles(
     for (c, p), b in brackets.items():
         lower, upper = (_at(found[b.range()], r - b.below) for r in b.ranks)
         out[c][p] = _interpolate(p * (counts[c] - 1), lower, upper, interpolation)
-    return out
+    distinct = {
+        c: max(r["place"] for r in rows) for (c, lo, _), rows in found.items() if lo is None
+    }
+    return out, distinct
 
 
 # ---------------------------------------------------------------------------------------------

@@ -9,16 +9,17 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from prepkit import types
 from prepkit.functions import keywords as K
 from prepkit.functions.columns import col, compact_text, percent, union_all
 from prepkit.operators.aggregates import (
     distinct_counts,
-    exact_quantiles,
     few_valued,
     local_frame,
     per_column,
+    rank_columns,
     summary,
     value_counts,
 )
@@ -73,28 +74,67 @@ def column_counts(
     )
 
 
+NUMERIC_SCHEMA = (
+    "column_name string, non_null bigint, mean double, median double, std double, "
+    "min double, max double, q25 double, q75 double"
+)
+
+
 def numeric_summary(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """Mean, median, sample deviation, extremes and quartiles of the numeric columns.
 
     Runs when it is called, as ``approxQuantile`` does: one fused scan, then the exact quantiles.
     """
+    return numeric_profile(df, columns, distinct=False).select(
+        *[f.split()[0] for f in NUMERIC_SCHEMA.split(", ")]
+    )
+
+
+def numeric_profile(
+    df: DataFrame, columns: Sequence[str] | None = None, distinct: bool = True
+) -> DataFrame:
+    """:func:`numeric_summary` with ``row_count``, ``null_count``, ``null_pct`` and exact
+    ``distinct_count`` (null unless ``distinct``).
+
+    Ranking the values for the quartiles also counts them; only columns too wide to be ranked
+    whole, or not exact as doubles, are counted by a job of their own.
+    """
     columns = list(columns or types.numeric_columns(df))
     stats = summary(df, columns)
     counts = {c: s["count"] for c, s in stats.items()}
-    quantiles = exact_quantiles(df, columns, (0.25, 0.5, 0.75), counts=counts)
+    quantiles, ranked = rank_columns(df, columns, (0.25, 0.5, 0.75), counts=counts)
+    known = {c: d for c, d in ranked.items() if _exact_as_double(df, c, stats[c])}
+    if distinct:
+        rest = [c for c in columns if c not in known and counts[c]]
+        if rest:  # one row per column
+            found = distinct_counts(df, rest).collect()
+            known |= {r["column_name"]: r["distinct_count"] for r in found}
     rows = []
     for c in columns:
         s, q = stats[c], quantiles[c]
-        rows.append((c, s["count"], s["mean"], q[0.5], s["std"], s["min"], s["max"], q[0.25], q[0.75]))
-    return local_frame(
+        nulls = s["rows"] - s["count"]
+        rows.append(
+            (c, s["count"], s["mean"], q[0.5], s["std"], s["min"], s["max"], q[0.25], q[0.75])
+            + (s["rows"], nulls, known.get(c, 0) if distinct else None)
+        )
+    frame = local_frame(
         df.sparkSession,
         rows,
-        "column_name string, non_null bigint, mean double, median double, std double, "
-        "min double, max double, q25 double, q75 double",
+        NUMERIC_SCHEMA + ", row_count bigint, null_count bigint, distinct_count bigint",
     )
+    return frame.withColumn("null_pct", percent(F.col("null_count"), F.col("row_count")))
+
+
+def _exact_as_double(df: DataFrame, column: str, stats: Mapping) -> bool:
+    kind = df.schema[column].dataType
+    if isinstance(kind, T.DecimalType):
+        return False
+    if isinstance(kind, T.LongType):
+        return max(abs(stats["min"]), abs(stats["max"])) <= 2**53
+    return True
 
 
-def _categorical(distinct: Column, rows: Column) -> Column:
+def is_categorical(distinct: Column, rows: Column) -> Column:
     return distinct < F.least(rows * F.lit(K.CATEGORICAL_SHARE), F.lit(float(K.CATEGORICAL_MAX)))
 
 
@@ -108,7 +148,7 @@ def categorical_flags(df: DataFrame) -> DataFrame:
         "ordinal",
         "row_count",
         "distinct_count",
-        _categorical(F.col("distinct_count"), F.col("row_count")).alias("is_categorical"),
+        is_categorical(F.col("distinct_count"), F.col("row_count")).alias("is_categorical"),
     )
 
 
@@ -131,7 +171,7 @@ def top_values(df: DataFrame, limit: int = K.TOP_VALUES) -> DataFrame:
     return (
         counted.withColumn("distinct_count", F.count(F.lit(1)).over(by_column))
         .withColumn("rank", F.row_number().over(order))
-        .where(_categorical(F.col("distinct_count"), total) & (F.col("rank") <= limit))
+        .where(is_categorical(F.col("distinct_count"), total) & (F.col("rank") <= limit))
         .select("column_name", "value", "n", percent(F.col("n"), total).alias("pct"), "rank")
     )
 

@@ -10,12 +10,12 @@ from pyspark.sql import functions as F
 from prepkit import types
 from prepkit.functions import keywords as K
 from prepkit.functions.columns import col, union_all
+from prepkit.operators.aggregates import summary
 from prepkit.operators.outliers import detect_outliers
 from prepkit.operators.profile import (
     duplicate_rows,
     imbalance_warnings,
     null_counts,
-    numeric_summary,
 )
 
 # The most points of each term of the readiness score.
@@ -134,6 +134,13 @@ def suitability(columns: DataFrame) -> DataFrame:
     )
 
 
+def _is_flat(mean: float | None, std: float | None) -> bool:
+    """Whether a column varies by less than 1 % of its mean (not at all, if the mean is 0)."""
+    if std is None:
+        return False
+    return abs(std / mean) < 0.01 if mean else std == 0
+
+
 def readiness_facts(df: DataFrame) -> DataFrame:
     """The one-row aggregate behind the readiness score and the recommendations.
 
@@ -145,19 +152,13 @@ def readiness_facts(df: DataFrame) -> DataFrame:
         F.sum("null_count").alias("missing_cells"),
         F.count_if(F.col("null_count") > F.col("row_count") * 0.5).alias("high_missing_columns"),
     )
-    mean, std = F.col("mean"), F.col("std")
-    flat = F.when(
-        std.isNotNull() & mean.isNotNull() & (mean != 0), F.abs(F.try_divide(std, mean)) < 0.01
-    ).otherwise(std == 0)
     out = nulls.withColumn("duplicate_rows", duplicate_rows(df).select("duplicate_rows").scalar())
-    zero = F.lit(0).cast("bigint")
-    if types.numeric_columns(df):
-        low = numeric_summary(df).agg(F.count_if(flat)).scalar()
-        share = F.col("outlier_count") / F.greatest(F.col("rows"), F.lit(1))
-        rows = df.agg(F.count(F.lit(1))).scalar()
-        many = detect_outliers(df).withColumn("rows", rows).agg(F.count_if(share > 0.05)).scalar()
-    else:
-        low = many = zero
+    stats = summary(df, types.numeric_columns(df)) if types.numeric_columns(df) else {}
+    low = sum(_is_flat(s["mean"], s["std"]) for s in stats.values())
+    many = sum(  # one row per numeric column
+        r["outlier_count"] / max(stats[r["column_name"]]["rows"], 1) > 0.05
+        for r in (detect_outliers(df).collect() if stats else [])
+    )
     tiers = imbalance_warnings(df).agg(
         F.struct(
             F.count_if(F.col("severity") == "SEVERE").alias("severe"),
@@ -166,8 +167,8 @@ def readiness_facts(df: DataFrame) -> DataFrame:
     )
     return out.withColumns(
         {
-            "low_variance_columns": low,
-            "outlier_columns": many,
+            "low_variance_columns": F.lit(low),
+            "outlier_columns": F.lit(many),
             "severe_columns": tiers.scalar()["severe"],
             "mild_columns": tiers.scalar()["mild"],
         }

@@ -51,17 +51,34 @@ def _class_totals(df: DataFrame, column: str | None) -> DataFrame:
     return df.groupBy(key.alias("class")).agg(F.count(F.lit(1)).alias("n"))
 
 
+def _spans(totals: DataFrame, small: bool) -> dict[str, int]:
+    """Of settled class counts: ``smallest`` and ``largest`` class without the null class,
+    ``widest`` class with it, and the ``total`` of all rows."""
+    n = F.col("n")
+    known = F.when(F.col("class").isNotNull(), n)
+    spans = {
+        "smallest": F.min(known), "largest": F.max(known), "widest": F.max(n), "total": F.sum(n)
+    }
+    if not small:
+        return totals.agg(*[e.alias(k) for k, e in spans.items()]).collect()[0].asDict()
+    rows = totals.collect()  # local rows: no job
+    some = [r["n"] for r in rows if r["class"] is not None] or [0]
+    every = [r["n"] for r in rows] or [0]
+    return dict(zip(spans, (min(some), max(some), max(every), sum(every))))
+
+
 def _sample_by_class(df, column, share: Column, keys, seed) -> DataFrame:
-    """Keep rows by a per-class probability, an expression over ``n`` and ``total``."""
-    rows = df.where(col(column).isNotNull())
-    totals, small = settle(_class_totals(rows, column))
-    all_rows = df.agg(F.count(F.lit(1))).scalar()
+    """Keep rows by a per-class probability, an expression over ``n``, ``smallest`` and ``total``."""
+    totals, small = settle(_class_totals(df, column))
+    spans = {k: F.lit(v) for k, v in _spans(totals, small).items()}
     p, k = fresh(df.columns, "share"), fresh(df.columns, "class")
-    shares = totals.withColumn("total", all_rows).select(
-        F.col("class").alias(k), share.cast("double").alias(p)
+    shares = (
+        totals.where(F.col("class").isNotNull())
+        .withColumns(spans)
+        .select(F.col("class").alias(k), share.cast("double").alias(p))
     )
     fraction = hash_fraction(order_hash(seed, _keys(df, keys)))
-    joined = lookup_join(rows, shares, small, col(column) == F.col(k))
+    joined = lookup_join(df, shares, small, col(column) == F.col(k))
     return joined.where(fraction < F.col(p)).select(*cols(df.columns))
 
 
@@ -84,11 +101,7 @@ def undersample_approx(
     seed: int = 42,
 ) -> DataFrame:
     """Classes above the target (default: the smallest class) sampled down to about the target."""
-    if target is None:
-        smallest = _class_totals(df.where(col(column).isNotNull()), column).agg(F.min("n"))
-        goal = smallest.scalar()
-    else:
-        goal = F.lit(target)
+    goal = F.col("smallest") if target is None else F.lit(target)
     share = F.least(F.lit(1.0), goal / F.col("n"))
     return _sample_by_class(df, column, share, keys, seed)
 
@@ -259,15 +272,10 @@ def _class_plan(df: DataFrame, column: str | None, quota: Column) -> _Plan:
     """The plan from the wanted rows of a class, an expression over ``n`` (rows of the class),
     ``smallest`` and ``largest``."""
     totals, small = settle(_class_totals(df, column))
-    if small:  # local rows: no job
-        n = [r["n"] for r in totals.collect()] or [0]
-        smallest, largest = min(n), max(n)
-    else:
-        smallest, largest = totals.agg(F.min("n"), F.max("n")).collect()[0]
-    span = {"smallest": F.lit(smallest), "largest": F.lit(largest)}
-    digits = max(1, min(5, math.ceil(math.log(max(largest, 1), 16) / 2)))
+    spans = _spans(totals, small)
+    digits = max(1, min(5, math.ceil(math.log(max(spans["widest"] or 1, 1), 16) / 2)))
     plan = (
-        totals.withColumns(span)
+        totals.withColumns({k: F.lit(v) for k, v in spans.items()})
         .withColumn("quota", quota.cast("bigint"))
         .select(
             F.col("class").alias("k"),

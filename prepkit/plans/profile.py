@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -21,16 +22,25 @@ class Profile:
     def columns(self) -> DataFrame:
         """One row per column: types, null and distinct counts, numeric statistics, category flag."""
         df = self.source
-        counts = P.column_counts(df, approx=self.approx)
-        schema = P.schema_rows(df).select("column_name", "data_type", "role")
-        out = counts.join(F.broadcast(schema), "column_name")
-        flag = (F.col("role") == "text") & P._categorical(
-            F.col("distinct_count"), F.col("row_count")
+        numeric = types.numeric_columns(df)
+        others = [c for c in df.columns if c not in numeric]
+        parts = []
+        if others:
+            parts.append(P.column_counts(df, others, self.approx).drop("ordinal"))
+        if numeric:
+            found = P.numeric_profile(df, numeric, distinct=not self.approx)
+            if self.approx:
+                rough = P.distinct_counts(df, numeric, approx=True)
+                found = found.drop("distinct_count").join(F.broadcast(rough), "column_name")
+            parts.append(found)
+        counts = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+        text = F.col("role") == "text"
+        flag = text & P.is_categorical(F.col("distinct_count"), F.col("row_count"))
+        return (
+            P.schema_rows(df)
+            .join(F.broadcast(counts), "column_name")  # one row per column on both sides
+            .withColumn("is_categorical", F.when(F.col("role") != "other", flag))
         )
-        out = out.withColumn("is_categorical", F.when(F.col("role") != "other", flag))
-        if types.numeric_columns(df):
-            out = out.join(F.broadcast(P.numeric_summary(df)), "column_name", "left")
-        return out
 
     def top_values(self) -> DataFrame:
         return P.top_values(self.source)

@@ -125,7 +125,7 @@ FROM {src} t, ({bounds_sql(src, c)}) b"""
 
 def _scaled_sql(src: str, numbers, names) -> str:
     items = ", ".join(
-        f"round(({c}::DOUBLE - min({c}) OVER ()) / (max({c}) OVER () - min({c}) OVER ()), 6) AS {c}"
+        f"({c}::DOUBLE - min({c}) OVER ()) / (max({c}) OVER () - min({c}) OVER ())::DOUBLE AS {c}"
         if c in numbers
         else c
         for c in names
@@ -187,7 +187,7 @@ QUERIES = {
     "outliers_legacy_z_drop_null": lambda s, d: O.remove_outliers(
         EVENTS_HOLES.load(s, d), "zscore", drop_null=True
     ),
-    "normalize_minmax": lambda s, d: rounded(E.normalize(LINEITEM_HOLES.load(s, d))),
+    "normalize_minmax": lambda s, d: E.normalize(LINEITEM_HOLES.load(s, d)),
     "label_encode": lambda s, d: E.label_encode(DOCUMENTS_ROUGH.load(s, d)),
     "label_encode_part": lambda s, d: E.label_encode(read(s, d, "part")),
 }

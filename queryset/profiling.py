@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
-from prepkit import profile_table, types
+from prepkit import profile_table
 from prepkit.operators import profile as P
 from queryset.common import (
     COLUMNS,
@@ -58,13 +56,6 @@ def _joined_sql(src: str, columns, names) -> str:
     )
 
 
-def numeric_profile(df):
-    """Null, distinct and numeric statistics of the numeric columns in one report."""
-    columns = types.numeric_columns(df)
-    counts = P.column_counts(df, columns).drop("ordinal")
-    return P.numeric_summary(df, columns).join(F.broadcast(counts), "column_name")
-
-
 def _whole_profile(spark, d):
     out = profile_table(LINEITEM_HOLES.load(spark, d)).columns()
     return rounded(out.drop("data_type", "non_null"))
@@ -157,7 +148,7 @@ def _fleet_sql() -> str:
 _holes, _hole_names = LINEITEM_HOLES.sql(), COLUMNS["lineitem"]
 
 QUERIES = {
-    "profile_numeric_lineitem": lambda s, d: rounded(numeric_profile(read(s, d, "lineitem"))),
+    "profile_numeric_lineitem": lambda s, d: rounded(P.numeric_profile(read(s, d, "lineitem"))),
     "profile_numeric_holes": lambda s, d: rounded(P.numeric_summary(LINEITEM_HOLES.load(s, d))),
     "profile_whole_table": _whole_profile,
     "table_shape": lambda s, d: P.table_shape(read(s, d, "lineitem")),
