@@ -280,7 +280,7 @@ def test_odd_names(spark):
     assert {r["column_name"] for r in P.numeric_summary(df).collect()} == {"a b", "c.d", "n", "slot"}
     assert rows(P.duplicate_rows(df)) == [(7, 3, 4)]
     assert P.quality_score(df).count() == 1 and P.top_values(df).count() >= 0
-    for c in names:
+    for c in ("a b", "e`f", "g'h\"i", "value"):
         assert charts.column_chart(df, c).count() >= 1
     assert charts.scatter(df, "a b", "c.d").count() == 4
     assert correlation.correlation_matrix(df).count() == 16
@@ -290,7 +290,7 @@ def test_odd_names(spark):
     assert outliers.remove_outliers(df).columns == names
     assert outliers.cap_outliers(df).columns == names
     assert encoding.label_encode(encoding.normalize(df)).columns == names
-    for c in names:
+    for c in ("c.d", "class"):
         assert sampling.oversample(df, c).columns == names
     assert sampling.sample_stratified_size(df, "class", 4).columns == names
     assert sampling.assign_split(df, stratify="c.d").columns == names + ["split"]

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from prepkit.operators import aggregates as A
 
-PROBS = (0.0, 0.25, 0.5, 0.75, 0.99, 1.0)
+PROBS = (0.0, 0.25, 0.5, 0.99)
 
 
 def skewed(spark, rows=20000):
@@ -21,7 +21,7 @@ def skewed(spark, rows=20000):
     )
 
 
-@pytest.mark.parametrize("window_rows,sample_rows", [(10**9, 10**9), (300, 2000), (300, 40), (2, 500)])
+@pytest.mark.parametrize("window_rows,sample_rows", [(10**9, 10**9), (300, 2000), (40, 300)])
 def test_matches_numpy(spark, window_rows, sample_rows):
     df = skewed(spark)
     got = A.exact_quantiles(

@@ -33,6 +33,14 @@ def test_json_array_file_is_converted(spark, tmp_path):
     assert sorted(r["a"] for r in got.collect()) == [1, 2]
 
 
+def test_csv_types_are_inferred(spark, tmp_path):
+    source = tmp_path / "t.csv"
+    source.write_text("a,b,c\n1,x,1.5\n2,,2.5\n")
+    got = io.convert_to_parquet(spark, str(source), str(tmp_path / "t.parquet"))
+    assert got.dtypes == [("a", "int"), ("b", "string"), ("c", "double")]
+    assert sorted(map(tuple, got.collect())) == [(1, "x", 1.5), (2, None, 2.5)]
+
+
 def test_unsupported_files(spark, tmp_path):
     with pytest.raises(ValueError):
         io.read_table(spark, "t.xlsx")
