@@ -38,9 +38,19 @@ def fresh(taken: Iterable[str], base: str) -> str:
     return name
 
 
-def percent(part: Column, whole: Column, scale: int = 2) -> Column:
-    """``part`` of ``whole`` in percent as a rounded double; null when ``whole`` is 0."""
-    return F.round(F.try_divide(part * F.lit(100.0), whole.cast("double")), scale)
+def rounded(value: Column, scale: int) -> Column:
+    """Round a double in binary arithmetic, halves away from zero.
+
+    ``round(x, scale)`` rounds the shortest decimal text of a double, which turns 16.685 (stored
+    as 16.68499...) into 16.69; scaling first gives 16.68.
+    """
+    unit = F.lit(float(10**scale))
+    return F.round(value * unit, 0) / unit
+
+
+def percent(part: Column, whole: Column) -> Column:
+    """``part`` of ``whole`` in percent, 2 decimals; null when ``whole`` is 0."""
+    return rounded(F.try_divide(part * F.lit(100.0), whole.cast("double")), 2)
 
 
 def compact_text(value: Column) -> Column:

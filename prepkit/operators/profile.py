@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 
 from prepkit import types
 from prepkit.functions import keywords as K
-from prepkit.functions.columns import col, compact_text, percent, union_all
+from prepkit.functions.columns import col, compact_text, percent, rounded, union_all
 from prepkit.operators.aggregates import (
     distinct_counts,
     few_valued,
@@ -190,7 +190,7 @@ def imbalance_warnings(df: DataFrame) -> DataFrame:
         .groupBy("column_name")
         .agg(F.count(F.lit(1)).alias("values"), ratio.alias("ratio"))
         .where((F.col("values") >= 2) & (F.col("ratio") > K.WARNING_RATIO))
-        .select("column_name", F.round("ratio", 2).alias("ratio"), severity(F.col("ratio")).alias("severity"))
+        .select("column_name", rounded(F.col("ratio"), 2).alias("ratio"), severity(F.col("ratio")).alias("severity"))
     )
 
 
@@ -225,7 +225,7 @@ def missing_cells(df: DataFrame) -> DataFrame:
 def missing_rate(df: DataFrame) -> DataFrame:
     """``(row_count, missing_cells, cells, missing_rate)``; 0 for an empty table."""
     rate = F.coalesce(F.try_divide(F.col("missing_cells"), F.col("cells")), F.lit(0.0))
-    return missing_cells(df).withColumn("missing_rate", F.round(rate, 6))
+    return missing_cells(df).withColumn("missing_rate", rounded(rate, 6))
 
 
 def most_missing(df: DataFrame, limit: int = 3) -> DataFrame:
@@ -252,7 +252,7 @@ def quality_score(df: DataFrame) -> DataFrame:
         - F.try_divide(F.col("missing_cells") * 30.0, F.col("cells"))
         - F.try_divide(F.col("duplicate_rows") * 20.0, F.col("row_count"))
     )
-    clamped = F.greatest(F.lit(0.0), F.least(F.lit(100.0), F.round(score, 2)))
+    clamped = F.greatest(F.lit(0.0), F.least(F.lit(100.0), rounded(score, 2)))
     return (
         missing_cells(df)
         .withColumn("duplicate_rows", duplicates)
@@ -283,7 +283,7 @@ def class_imbalance(df: DataFrame, column: str) -> DataFrame:
     ).select(
         "total",
         "classes",
-        F.round("ratio", 2).alias("ratio"),
+        rounded(F.col("ratio"), 2).alias("ratio"),
         (F.col("ratio") > K.NOTICE_RATIO).alias("is_imbalanced"),
         severity(F.col("ratio"), notice=True).alias("severity"),
     )

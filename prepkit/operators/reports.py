@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from prepkit import types
 from prepkit.functions import keywords as K
-from prepkit.functions.columns import col, union_all
+from prepkit.functions.columns import col, rounded, union_all
 from prepkit.operators.aggregates import summary
 from prepkit.operators.outliers import detect_outliers
 from prepkit.operators.profile import (
@@ -205,7 +205,7 @@ def readiness_score(df: DataFrame) -> DataFrame:
     }
     total = F.bround(sum(terms.values(), zero), 0)
     return readiness_facts(df).select(
-        *[F.round(t, 1).alias(f"{k}_score") for k, t in terms.items()],
+        *[rounded(t, 1).alias(f"{k}_score") for k, t in terms.items()],
         F.greatest(F.lit(0), F.least(F.lit(100), total.cast("int"))).alias("readiness_score"),
     )
 

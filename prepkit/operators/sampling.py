@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from prepkit import types
-from prepkit.functions.columns import col, cols, fresh, hash_bucket, hash_fraction, order_hash
+from prepkit.functions.columns import col, cols, fresh, hash_bucket, hash_fraction, order_hash, rounded
 from prepkit.operators.aggregates import lookup_join, settle
 from prepkit.sources.scratch import materialize
 
@@ -389,7 +389,7 @@ def sample_stats(before: DataFrame, after: DataFrame) -> DataFrame:
         .withColumn("sampled_rows", sampled)
         .withColumn(
             "sample_rate",
-            F.round(F.try_divide(F.col("sampled_rows"), F.col("original_rows")), 4),
+            rounded(F.try_divide(F.col("sampled_rows"), F.col("original_rows")), 4),
         )
     )
 

@@ -158,7 +158,7 @@ def _prepare_sql(target: str) -> str:
         else:
             items.append(f"{code_sql(c)} AS {c}" if c in codes and c != target else c)
     return f"""
-SELECT {", ".join(items)}, CASE WHEN rn <= greatest(1, floor(n_class * 0.2)) THEN 'test' ELSE 'train' END AS split
+SELECT {", ".join(items)}, CASE WHEN rn <= greatest(1, floor(n_class * 0.2::DOUBLE)) THEN 'test' ELSE 'train' END AS split
 FROM ({ranked_sql("orders", names, None, "o_orderkey")})"""
 
 
@@ -238,8 +238,8 @@ ORACLES = {
     "null_before_after": _nulls_sql(),
     "prepare_ml": _prepare_sql("o_orderstatus"),
     "prepare_ml_sizes": """
-SELECT count(*) - greatest(1, floor(count(*) * 0.3))::BIGINT AS train_rows,
-  greatest(1, floor(count(*) * 0.3))::BIGINT AS test_rows FROM lineitem""",
+SELECT count(*) - greatest(1, floor(count(*) * 0.3::DOUBLE))::BIGINT AS train_rows,
+  greatest(1, floor(count(*) * 0.3::DOUBLE))::BIGINT AS test_rows FROM lineitem""",
     "table_info": f"""
 SELECT row_count, distinct_rows, 6::BIGINT AS column_count FROM ({_duplicates_sql(ORDERS_DUPS.sql())})""",
     "roundtrip_parquet": "SELECT * FROM lineitem",

@@ -67,7 +67,7 @@ def _whole_profile_sql() -> str:
     return f"""
 SELECT c.*, r.role,
   CASE r.role WHEN 'numeric' THEN false
-              WHEN 'text' THEN c.distinct_count < least(c.row_count * 0.2, 50) END AS is_categorical,
+              WHEN 'text' THEN c.distinct_count < least(c.row_count * 0.2::DOUBLE, 50) END AS is_categorical,
   {", ".join("n." + x for x in NUMBERS)}
 FROM ({_counts_sql(src, columns)}) c
 JOIN (VALUES {roles}) r(column_name, role) USING (column_name)
@@ -85,7 +85,7 @@ SELECT column_name, value, n, round(n * 100.0 / total, 2)::DOUBLE AS pct, rank::
   SELECT *, count(*) OVER (PARTITION BY column_name) AS d,
     row_number() OVER (PARTITION BY column_name ORDER BY n DESC, value) AS rank
   FROM ({counted}))
-WHERE d < least(total * 0.2, 50) AND rank <= 20"""
+WHERE d < least(total * 0.2::DOUBLE, 50) AND rank <= 20"""
 
 
 def _warnings_sql(src: str, columns) -> str:
@@ -192,7 +192,7 @@ ORACLES = {
     "profile_distinct_documents": _counts_sql("documents", COLUMNS["documents"]),
     "profile_categorical_flag": f"""
 SELECT column_name, CASE column_name WHEN 'text' THEN 1 WHEN 'lang' THEN 2 ELSE 3 END AS ordinal,
-  row_count, distinct_count, distinct_count < least(row_count * 0.2, 50) AS is_categorical
+  row_count, distinct_count, distinct_count < least(row_count * 0.2::DOUBLE, 50) AS is_categorical
 FROM ({_counts_sql(DOCUMENTS_ROUGH.sql(), ["text", "lang", "source"])})""",
     "profile_top_values": _top_sql(DOCUMENTS_ROUGH.sql(), ["text", "lang", "source"]),
     "profile_top_values_part": _top_sql("part", ["p_name", "p_brand", "p_type"]),

@@ -127,7 +127,7 @@ def _category_targets_sql(src: str, columns) -> str:
     return f"""
 SELECT row_number() OVER (ORDER BY place)::INTEGER AS rank, column_name FROM ({facts}) f
 WHERE EXISTS (SELECT 1 FROM (VALUES {_values(K.TARGET_HINTS)}) k(w) WHERE contains(lower(column_name), w))
-   OR is_text AND d < least(n * 0.2, 50) AND d BETWEEN 2 AND 49
+   OR is_text AND d < least(n * 0.2::DOUBLE, 50) AND d BETWEEN 2 AND 49
 ORDER BY place LIMIT 5"""
 
 

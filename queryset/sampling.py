@@ -146,7 +146,7 @@ ORACLES = {
         _dc_sql, "lang", "round(n * 400 / total) / n", "doc_id"
     ),
     "sample_stratified_fraction": resample_sql(
-        _dc_sql, _dc, "lang", "round(n_class * 0.3)", "doc_id"
+        _dc_sql, _dc, "lang", "round(n_class * 0.3::DOUBLE)", "doc_id"
     ),
     "undersample_approx": _stratified_sql(
         "labels", "quality", "least(1.0, smallest / n)", "doc_id"
@@ -173,17 +173,17 @@ FROM {_dc_sql} GROUP BY lang""",
         f"SELECT *, CASE WHEN {fraction_sql('o_orderkey')} < 0.2 THEN 'test' ELSE 'train' END AS split FROM orders"
     ),
     "split_exact": _split_sql(
-        "orders", _o, None, "greatest(1, floor(n_class * 0.2))", "o_orderkey"
+        "orders", _o, None, "greatest(1, floor(n_class * 0.2::DOUBLE))", "o_orderkey"
     ),
     "split_stratified": _split_sql(
-        "orders", _o, "o_orderpriority", "round(n_class * 0.2)", "o_orderkey"
+        "orders", _o, "o_orderpriority", "round(n_class * 0.2::DOUBLE)", "o_orderkey"
     ),
     "split_stratified_unknown": f"""
-SELECT l_returnflag, split, CAST(CASE split WHEN 'test' THEN round(n * 0.1) ELSE n - round(n * 0.1) END AS BIGINT) AS n
+SELECT l_returnflag, split, CAST(CASE split WHEN 'test' THEN round(n * 0.1::DOUBLE) ELSE n - round(n * 0.1::DOUBLE) END AS BIGINT) AS n
 FROM (SELECT l_returnflag, count(*) AS n FROM {LINEITEM_HOLES.sql()} GROUP BY l_returnflag),
   (VALUES ('test'), ('train')) p(split)""",
     "split_exact_copies": f"""
-SELECT split, CAST(CASE split WHEN 'test' THEN floor(n * 0.35) ELSE n - floor(n * 0.35) END AS BIGINT) AS n
+SELECT split, CAST(CASE split WHEN 'test' THEN floor(n * 0.35::DOUBLE) ELSE n - floor(n * 0.35::DOUBLE) END AS BIGINT) AS n
 FROM (SELECT count(*) AS n FROM {ORDERS_DUPS.sql()}), (VALUES ('test'), ('train')) p(split)""",
     "sample_stats": f"""
 SELECT count(*) AS original_rows, count(*) FILTER ({fraction_sql("o_orderkey")} < 0.25) AS sampled_rows,
