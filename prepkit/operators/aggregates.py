@@ -23,7 +23,9 @@ AGG_WIDTH = 200
 # Largest number of distinct values of one column that a single window task ranks.
 WINDOW_ROWS = 2_000_000
 # Rows of the sample that places the brackets of a quantile (never the quantile itself).
-SAMPLE_ROWS = 2_000_000
+SAMPLE_ROWS = 10_000_000
+# Rank accuracy of the sketch over that sample: 1 / 50,000 of its rows.
+SKETCH = 50_000
 # Lookup frames up to this many rows are broadcast.
 SMALL_ROWS = 10_000
 
@@ -271,9 +273,9 @@ class _Bracket:
     def guess_edges(self, rate: float) -> Column:
         middle = (sum(self.ranks) / 2 - self.below + 0.5) / self.inside
         seen = max(1.0, self.inside * rate)
-        slack = self.width * (math.sqrt(middle * (1 - middle) / seen) + 1 / 10_000 + 1 / seen)
+        slack = self.width * (math.sqrt(middle * (1 - middle) / seen) + 1 / SKETCH + 1 / seen)
         edges = F.array(F.lit(max(0.0, middle - slack)), F.lit(min(1.0, middle + slack)))
-        return F.percentile_approx(self.cell(), edges, 10_000)
+        return F.percentile_approx(self.cell(), edges, SKETCH)
 
 
 def _narrow(df: DataFrame, wide: list[_Bracket], seed: int, sample_rows: int) -> None:
