@@ -1,34 +1,54 @@
-"""Tables written between two stages of a job, in the folder the cluster shares."""
+"""Tables written between two stages of a job, in a folder the cluster shares.
+
+The folder is the one named by ``spark.checkpoint.dir``, else a folder below the session's warehouse.
+Results that read such tables stay valid until ``release`` drops them: either at the end of a
+``scratch_scope`` or for the whole session.
+"""
 
 from __future__ import annotations
 
-import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 _SETTING = "spark.checkpoint.dir"
-_local_dirs: dict[str, str] = {}
+_written: dict[str, list[str]] = {}
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``.
-
-    Only a local session may go without the setting; it then gets a folder of its own.
-    """
+    """The shared folder of ``spark.checkpoint.dir``, or else one below the warehouse."""
     found = spark.conf.get(_SETTING, None) or spark.sparkContext.getConf().get(_SETTING, None)
-    if found:
-        return found.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError(f"set {_SETTING} to a folder that all executors share")
-    app = spark.sparkContext.applicationId
-    if app not in _local_dirs:
-        _local_dirs[app] = tempfile.mkdtemp(prefix="prepkit-")
-    return _local_dirs[app]
+    return (found or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/prepkit-scratch").rstrip("/")
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
-    return f"{scratch_dir(spark)}/prepkit/{label}-{uuid.uuid4().hex}"
+    path = f"{scratch_dir(spark)}/prepkit/{label}-{uuid.uuid4().hex}"
+    _written.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def release(spark: SparkSession, paths: list[str] | None = None) -> int:
+    """Delete tables written to the shared folder (all of this application's, if none are named)."""
+    known = _written.get(spark.sparkContext.applicationId, [])
+    gone = list(known) if paths is None else [p for p in paths if p in known]
+    for path in gone:
+        target = spark._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+        known.remove(path)
+    return len(gone)
+
+
+@contextmanager
+def scratch_scope(spark: SparkSession) -> Iterator[None]:
+    """Drop at the end what was written inside; use the results before the block ends."""
+    known = _written.setdefault(spark.sparkContext.applicationId, [])
+    before = set(known)
+    try:
+        yield
+    finally:
+        release(spark, [p for p in known if p not in before])
 
 
 def materialize(df: DataFrame, label: str = "stage") -> DataFrame:
