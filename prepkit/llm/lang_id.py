@@ -27,31 +27,26 @@ def grams(text: str, orders: int, buckets: int) -> Iterator[np.ndarray]:
     """Hashed n-grams (1 to ``orders`` code points) of the lower-cased text, piece by piece.
 
     Runs of anything but letters count as one boundary sign, and the text begins and ends with
-    one. Nothing is yielded for a text without letters.
+    one. The cut into pieces does not show in the result. A text without letters yields nothing.
     """
     carried = np.zeros(1, np.uint64)
-    for at in range(0, len(text) + 1, _PIECE):
-        # a half of a surrogate pair that stands alone is no letter
-        raw = text[at : at + _PIECE].lower().encode("utf-32-le", "replace")
-        points = np.frombuffer(raw, np.uint32)
+    for at in range(0, len(text), _PIECE):
+        points = np.frombuffer(text[at : at + _PIECE].lower().encode("utf-32-le", "replace"), np.uint32)
         points = np.where(letters()[points], points, 0).astype(np.uint64)
-        if at + _PIECE >= len(text) + 1 or not len(points):
-            points = np.append(points, np.uint64(0))
-        line = np.concatenate([carried, points])
+        last = np.zeros(int(at + _PIECE >= len(text)), np.uint64)
+        line = np.concatenate([carried, points, last])
         line = line[np.append(True, (line[1:] != 0) | (line[:-1] != 0))]
-        fresh = max(0, len(line) - len(points)) if at else 0
-        if line.any():
-            found, mixed = [], np.zeros(len(line), np.uint64)
-            for n in range(1, orders + 1):
-                tail = line[n - 1 :]
-                mixed = mixed[: len(tail)] * np.uint64(0x9E3779B97F4A7C15) + tail + np.uint64(n)
-                keep = tail != 0 if n == 1 else np.ones(len(tail), bool)
-                if at:  # those that end inside what was carried were yielded before
-                    keep[: max(0, len(carried) - n + 1)] = False
-                found.append(((mixed[keep] ^ (mixed[keep] >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(40))
-            yield (np.concatenate(found) % np.uint64(buckets)).astype(np.int64)
-        del fresh
-        carried = line[-max(1, orders - 1) :]
+        mixed, found = np.zeros(len(line), np.uint64), []
+        for n in range(1, orders + 1):
+            ends = line[n - 1 :]
+            mixed = mixed[: len(ends)] * np.uint64(0x9E3779B97F4A7C15) + ends + np.uint64(n)
+            own = mixed[max(0, len(carried) - n + 1) :]  # the others ended in what was carried
+            found.append(own[line[len(carried) :] != 0] if n == 1 else own)
+        codes = np.concatenate(found)
+        if len(codes):
+            codes = (codes ^ (codes >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+            yield ((codes >> np.uint64(33)) % np.uint64(buckets)).astype(np.int64)
+        carried = line[len(line) - min(len(line), max(1, orders - 1)) :]
 
 
 @dataclass(frozen=True)
@@ -129,7 +124,8 @@ def train(
     columns = np.fromiter((number[x] for x in table["lang"].to_pylist()), np.int64, len(table))
     counts[table["bucket"].to_numpy(), columns] = table["n"].to_numpy()
     weights = np.log(counts + smoothing) - np.log((counts + smoothing).sum(axis=0, keepdims=True))
-    return LanguageModel(langs, weights.astype(np.float32), np.zeros(len(langs)), orders)
+    prior = np.log(np.array([totals[x] for x in langs], float) / max(1, sum(totals.values())))
+    return LanguageModel(langs, weights.astype(np.float32), prior, orders)
 
 
 def identify(
@@ -164,3 +160,19 @@ def identify(
 def held_out(id_col: str = "doc_id") -> Column:
     """Whether crc32 of the id as text leaves 1 modulo 3: rows never learnt from (null ids: learnt from)."""
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 3 == 1, F.lit(False))
+
+
+def keep_identified(
+    docs: DataFrame, model: LanguageModel, min_score: float = 0.5, text_col: str = "text"
+) -> DataFrame:
+    """The rows, in their own columns, whose language is known with at least ``min_score``."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = shared.value
+        for batch in batches:
+            best = [known.predict(t.as_py()) for t in batch.column(at)]
+            yield batch.filter(pa.array([lang != UNKNOWN and score >= min_score for lang, score in best], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -177,13 +177,13 @@ def pack(
     length are a sequence of their own at once. Offsets in a sequence are gapless from 0. An empty
     table gives no rows. ``pieces`` must read the same each time (write it first).
     """
-    groups = max(1, math.ceil(pieces.count() / group_rows))
-    dealt = pieces.withColumn("_group", F.pmod(F.xxhash64(*pieces.columns), F.lit(groups)).cast("long"))
+    groups, names = max(1, math.ceil(pieces.count() / group_rows)), list(pieces.columns)
+    dealt = pieces.withColumn("_group", F.pmod(F.xxhash64(*names), F.lit(groups)).cast("long"))
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(list(pieces.columns), ignore_index=True)
+        rows = rows.sort_values(names, ignore_index=True)
         bins, offsets = best_fit(rows["length"].to_numpy(np.int64), capacity, score)
-        group = rows.pop("_group")
+        group = rows.pop("_group").to_numpy(np.int64)
         return rows.assign(sequence_id=(group << 32) + bins, offset=offsets)
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema.fields)

@@ -2,16 +2,47 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import public_tokenizers
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from prepkit.llm import simhash
+from prepkit.llm import (
+    decontamination,
+    lang_id,
+    license_scan,
+    line_dedup,
+    packing,
+    quality_rules,
+    ratings,
+    secret_scan,
+    simhash,
+    url_filter,
+)
+
+RANK_FILE = public_tokenizers.path("byte_bpe_50k.tiktoken")
+
+#: The rules that pages are judged by (fixed values).
+URL_RULES = [
+    ("org", "/", "allow"),
+    ("example.org", "/es/", "block"),
+    ("example.org", "/en/1", "block"),
+    ("com", "/fr/", "allow"),
+    ("com", "/de/", "block"),
+]
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Grades from the labels' two marks; rows whose crc32 leaves 1 modulo 3 are never learnt from."""
+    docs, labels = _read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels")
+    marks = labels.select("doc_id", ratings.grade(F.col("quality"), F.col("toxic")).alias("grade"))
+    rated = docs.where(~lang_id.held_out()).select("doc_id", "text").join(marks, "doc_id")
+    return ratings.rate(docs, ratings.train(rated, 3)).withColumn("held_out", lang_id.held_out())
+
+
 def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(_read(spark, sf_dir, "documents"))
     return found.select(
@@ -19,7 +50,170 @@ def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = license_scan.scan(_read(spark, sf_dir, "documents"))
+    base = F.filter("matches", lambda m: m["exact"])
+    starts = F.flatten(F.transform(base, lambda m: m["starts"]))
+    ends = F.flatten(F.transform(base, lambda m: F.transform(m["starts"], lambda s: s + m["length"] - 1)))
+    found = found.select("*", base.alias("base"), starts.alias("starts"), ends.alias("ends"))
+    return found.select(
+        "doc_id",
+        "n_words",
+        F.size("starts").cast("bigint").alias("n_base"),
+        F.array_min("starts").cast("bigint").alias("first_word"),
+        F.array_max("starts").cast("bigint").alias("last_word"),
+        license_scan.labels(F.col("base")).alias("base_labels"),
+        license_scan.labels(F.col("matches")).alias("labels"),
+        "score",
+    )
+
+
+def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(_read(spark, sf_dir, "documents"), RANK_FILE)
+
+
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    model = lang_id.train(docs.where(~lang_id.held_out()))
+    return lang_id.identify(docs, model, extra={"held_out": lang_id.held_out()})
+
+
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    found = secret_scan.findings_by_path(docs, secret_scan.scan(docs))
+
+    def count(kind: str) -> Column:
+        return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
+
+    base = F.filter("spans", lambda s: s["kind"].isin(secret_scan.BASE_KINDS))
+    return found.select(
+        "doc_id",
+        *[count(kind) for kind in secret_scan.BASE_KINDS],
+        F.sha2(secret_scan.listed(base), 256).alias("base_sha256"),
+        secret_scan.listed(F.col("spans")).alias("spans"),
+    )
+
+
+def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
+    return url_filter.judge(_read(spark, sf_dir, "pages"), rules)
+
+
+def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontamination.contained_items(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+    return found.drop("version").withColumn("containment", F.round("containment", 6))
+
+
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = quality_rules.judge(
+        _read(spark, sf_dir, "documents"),
+        _read(spark, sf_dir, "labels"),
+        good=(F.col("quality") == 1) & (F.col("toxic") == 0),
+        stratum=F.col("lang"),
+    )
+    return found.select(
+        "doc_id",
+        "n_words",
+        "word_chars",
+        "n_symbols",
+        "n_dup_lines",
+        "n_repeat_words",
+        "base_failed",
+        "kept",
+        F.array_join("failed", ",").alias("failed"),
+    )
+
+
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    joined = line_dedup.with_bitmaps(docs, line_dedup.keep_bitmaps(docs))
+    kept = line_dedup.kept(F.col("row.text"), F.col("bits.keep"))
+    return joined.select(
+        F.col("row.doc_id").alias("doc_id"),
+        F.col("bits.n_lines").alias("n_lines"),
+        F.col("bits.n_dropped").alias("n_dropped"),
+        F.sha2(F.coalesce(kept, F.lit("")), 256).alias("kept_sha256"),
+    )
+
+
 QUERIES = {
-    "op2_simhash_near_dedup": op2_simhash_near_dedup,
+    f.__name__: f
+    for f in (
+        op1_quality_classifier,
+        op2_simhash_near_dedup,
+        op3_license_scan,
+        op4_best_fit_packing,
+        op5_language_id,
+        op6_secret_scan,
+        op7_url_filter,
+        op8_benchmark_decontamination,
+        op9_quality_rules,
+        op10_line_dedup,
+    )
 }
-ORACLES: dict[str, str] = {}
+
+_OP7 = f"""
+WITH cut AS (
+  SELECT page_id, CASE WHEN strpos(coalesce(url, ''), '://') > 0
+    THEN substr(url, strpos(url, '://') + 3) END AS rest
+  FROM pages
+), parts AS (
+  SELECT page_id,
+    translate(coalesce(regexp_extract(rest, '^([^/?#]*)', 1), ''),
+      'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') AS path
+  FROM cut
+), rules AS (
+  SELECT * FROM (VALUES {", ".join(str(r) for r in URL_RULES)}) AS t(rule_host, rule_path, rule_verdict)
+), best AS (
+  SELECT p.page_id, p.host, p.path, max(rule_host || rule_path) FILTER (n = 1) AS rule,
+    max(rule_verdict) FILTER (n = 1) AS verdict
+  FROM (
+    SELECT p.*, r.*, row_number() OVER (PARTITION BY p.page_id
+      ORDER BY length(rule_host || rule_path) DESC, length(rule_host) DESC) AS n
+    FROM parts p LEFT JOIN rules r
+      ON (p.host = rule_host OR ends_with(p.host, '.' || rule_host)) AND starts_with(p.path, rule_path)
+  ) p GROUP BY ALL
+)
+SELECT page_id, host, path, rule,
+  coalesce(verdict, CASE WHEN list_has_any(string_split_regex(host, '[-._]+'),
+    {url_filter.BLOCKED_HOST_WORDS}) THEN 'block' ELSE 'allow' END) AS verdict
+FROM best
+"""
+
+_OP8 = """
+WITH w AS (
+  SELECT 'd' AS side, doc_id AS id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS w FROM documents
+  UNION ALL
+  SELECT 'b', item_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') FROM benchmark
+), s AS (
+  SELECT DISTINCT side, id, array_to_string(w[i : i + 4], ' ') AS shingle
+  FROM (SELECT side, id, w, unnest(range(1, len(w) - 3)) AS i FROM w)
+), n AS (SELECT id, count(*) AS n FROM s WHERE side = 'b' GROUP BY id)
+SELECT d.id AS doc_id, b.id AS item_id, any_value(n.n) AS n_shingles, count(*) AS n_shared,
+  round(count(*) / any_value(n.n), 6) AS containment
+FROM s d JOIN s b ON d.side = 'd' AND b.side = 'b' AND d.shingle = b.shingle JOIN n ON n.id = b.id
+GROUP BY d.id, b.id HAVING count(*) * 5 >= any_value(n.n) * 4
+"""
+
+_OP10 = """
+WITH lines AS (
+  SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
+    unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS at
+  FROM documents
+), keyed AS (
+  SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
+  FROM lines
+), shared AS (
+  SELECT key, max(doc_id) AS keeper FROM keyed WHERE length(key) >= 40
+  GROUP BY key HAVING count(DISTINCT doc_id) >= 5
+), marked AS (
+  SELECT k.*, s.key IS NOT NULL AND k.doc_id <> s.keeper AS gone FROM keyed k LEFT JOIN shared s USING (key)
+)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY at) FILTER (NOT gone), '')) AS kept_sha256
+FROM marked GROUP BY doc_id
+"""
+
+ORACLES = {"op7_url_filter": _OP7, "op8_benchmark_decontamination": _OP8, "op10_line_dedup": _OP10}

@@ -133,3 +133,14 @@ def near_duplicates(
 def hex_string(fp: Column) -> Column:
     """A fingerprint as 16 lowercase hex digits."""
     return F.lpad(F.lower(F.hex(fp)), 16, "0")
+
+
+def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The rows, in their own columns, with one row of each group of near duplicates: the smallest id's.
+
+    Rows that share that id and are linked count as copies, too: of equal ids one row of the least
+    fingerprint stays, and rows whose component has only null ids keep one row.
+    """
+    found = near_duplicates(docs, id_col, text_col, **options)
+    first = found.where(F.col(id_col).eqNullSafe(F.col("component"))).select(F.col(id_col).alias("_id")).distinct()
+    return docs.join(first, F.col(id_col).eqNullSafe(F.col("_id")), "left_semi")
