@@ -199,7 +199,7 @@ GROUP BY d.id, b.id HAVING count(*) * 5 >= any_value(n.n) * 4
 _OP10 = """
 WITH lines AS (
   SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
-    unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS at
+    unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS pos
   FROM documents
 ), keyed AS (
   SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
@@ -212,7 +212,7 @@ WITH lines AS (
   SELECT k.*, s.key IS NOT NULL AND k.doc_id <> s.keeper AS gone FROM keyed k LEFT JOIN shared s USING (key)
 )
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
-  sha256(coalesce(string_agg(line, chr(10) ORDER BY at) FILTER (NOT gone), '')) AS kept_sha256
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256
 FROM marked GROUP BY doc_id
 """
 

@@ -23,7 +23,7 @@ class Featurizer:
     """The hashed features of a text: its different words, and a few signs of its shape.
 
     Words are lower-cased and without ASCII punctuation at their ends; every different word has
-    the value one over the root of their number. Signs (magnitude of the length, shares of symbols, capitals,
+    the value n ** -0.25, n being their number. Signs (magnitude of the length, shares of symbols, capitals,
     repeated lines and different words, mean word length, each in a few steps) are words of their
     own with the value one. All share one space of ``buckets`` weights.
     """
@@ -44,7 +44,7 @@ class Featurizer:
             known[word] = self.bucket("w " + word.strip(_EDGES))
         own = np.unique(np.fromiter((known[w] for w in different), np.int64, len(different)))
         signs = np.fromiter((self.bucket(s) for s in self.signs(text, len(words), len(different))), np.int64)
-        values = np.concatenate([np.full(len(own), 1 / np.sqrt(max(1, len(own)))), np.ones(len(signs))])
+        values = np.concatenate([np.full(len(own), max(1, len(own)) ** -0.25), np.ones(len(signs))])
         return np.concatenate([own, signs]), values
 
     @staticmethod
@@ -115,14 +115,32 @@ def fit_shard(
     return OrdinalModel(weights, cuts), power
 
 
-def _fitter(start: OrdinalModel, epochs: int, rate: float, seed: int):
+def informative(counts: np.ndarray, rows: np.ndarray, min_rows: int, min_z: float) -> np.ndarray:
+    """Which buckets tell grades apart: ``counts`` (grade, bucket) of ``rows`` (grade) rows.
+
+    A bucket is used if at least ``min_rows`` rows have it and their number at or below some grade is at least
+    ``min_z`` standard deviations from what chance would give. Words that few rows have would
+    only be learnt by heart.
+    """
+    held, used = counts.sum(axis=0), np.zeros(counts.shape[1], bool)
+    for k in range(len(rows) - 1):
+        share = rows[: k + 1].sum() / max(1.0, rows.sum())
+        spread = np.sqrt(held * share * (1 - share) + 1)
+        used |= np.abs(counts[: k + 1].sum(axis=0) - held * share) >= min_z * spread
+    return used & (held >= min_rows)
+
+
+def _fitter(start: OrdinalModel, used: np.ndarray, epochs: int, rate: float, seed: int):
     """A function for ``applyInPandas`` that fits one shard from a model; cuts have negative buckets."""
 
     def fit(shard: pd.DataFrame) -> pd.DataFrame:
         shard = shard.sort_values(["place", "grade"], ignore_index=True)
-        buckets = [np.asarray(b, np.int64) for b in shard["buckets"]]
+        buckets, values = [], []
+        for b, v in zip(shard["buckets"], shard["vals"]):
+            kept = used[b] | (v == 1)  # signs always count
+            buckets.append(np.asarray(b, np.int64)[kept]), values.append(v[kept])
         grades = shard["grade"].to_numpy(np.int64)
-        found, power = fit_shard(buckets, list(shard["vals"]), grades, start, epochs, rate, seed)
+        found, power = fit_shard(buckets, values, grades, start, epochs, rate, seed)
         seen, cuts = np.flatnonzero(power), -1 - np.arange(len(found.cuts))
         return pd.DataFrame(
             {
@@ -147,11 +165,14 @@ def train(
     rounds: int = 3,
     epochs: int = 3,
     rate: float = 0.5,
+    min_rows: int = 5,
+    min_z: float = 3.0,
 ) -> OrdinalModel:
     """Fit on rows with a grade in 0 .. ``grades`` - 1; others are left out.
 
     At most about ``max_rows`` rows, chosen by a hash of the id, are learnt from: the bound is a
-    parameter of the fit. Their features are made once; then in each round shards of about ``shard_rows``
+    parameter of the fit. Their features are made once, and buckets that do not tell grades apart are left
+    out (see ``informative``; the counts that decide it are a row per bucket and grade). In each round shards of about ``shard_rows``
     rows are fitted in parallel from the common model, and their weights are averaged by how much
     each shard has learnt about a bucket. What reaches the driver is one model. Without rows
     the weights are zero.
@@ -183,11 +204,16 @@ def train(
         featurize, "place bigint, grade int, buckets array<int>, vals array<double>"
     )
     rows = materialize(rows, "rated").withColumn("shard", F.pmod(F.shiftright("place", 21), F.lit(shards)).cast("int"))
+    held = rows.select("grade", F.explode("buckets").alias("bucket")).groupBy("grade", "bucket").count().toArrow()
+    table = np.zeros((grades, buckets))
+    table[held["grade"].to_numpy(), held["bucket"].to_numpy()] = held["count"].to_numpy()
+    sampled = {r["grade"]: r["count"] for r in rows.groupBy("grade").count().collect()}
+    used = informative(table, np.array([sampled.get(g, 0) for g in range(grades)], float), min_rows, min_z)
     share = np.array([counts.get(g, 0) + 1 for g in range(grades)], float)
     odds = np.cumsum(share)[:-1] / share.sum()
     model = OrdinalModel(np.zeros(buckets), np.log(odds / (1 - odds)))
     for k in range(rounds if total else 0):
-        fitted = rows.groupBy("shard").applyInPandas(_fitter(model, epochs, rate / (k + 1), k), "bucket bigint, learnt double, value double")
+        fitted = rows.groupBy("shard").applyInPandas(_fitter(model, used, epochs, rate / (k + 1), k), "bucket bigint, learnt double, value double")
         mean = (F.sum(F.col("learnt") * F.col("value")) / F.sum("learnt")).alias("value")
         merged = fitted.groupBy("bucket").agg(mean).toArrow()
         place_of, value = merged["bucket"].to_numpy(), merged["value"].to_numpy()
