@@ -44,17 +44,24 @@ def fingerprint(text: bytes | None, width: int = 3) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:
-    """``(id_col, fp)`` for every row: the fingerprint of its whole text as a signed 64-bit integer."""
+    """``(id_col, version, fp)`` for every row: the fingerprint of its whole text, a signed 64-bit integer.
+
+    ``version`` is Spark's xxhash64 of the text, which tells rows of one id apart.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fps = [fingerprint(t.as_py(), width) for t in batch.column(1)]
             signed = np.array(fps, np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(signed)], names=["id", "fp"])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(2), pa.array(signed)], names=["id", "version", "fp"]
+            )
 
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"))
+    rows = docs.select(
+        F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"), F.xxhash64(text_col).alias("version")
+    )
     kind = rows.schema["id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"id {kind}, fp bigint").withColumnRenamed("id", id_col)
+    return rows.mapInArrow(run, f"id {kind}, version bigint, fp bigint").withColumnRenamed("id", id_col)
 
 
 def masks(blocks: int, distance: int) -> list[int]:
@@ -108,10 +115,10 @@ def near_links(
 def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, distance: int = 2
 ) -> DataFrame:
-    """``(id_col, fp, component)``: every row with its fingerprint and the smallest id it is linked to.
+    """``(id_col, version, fp, family, component)``: every row with its fingerprint and the smallest id it is linked to.
 
     Rows link when their fingerprints differ in at most ``distance`` bits; components are closed
-    over chains of links. Exact copies and equal fingerprints are collapsed first (with map-side
+    over chains of links, and ``family`` is the least fingerprint among them. Exact copies and equal fingerprints are collapsed first (with map-side
     combining), so links are sought between different fingerprints only. Repeated ids are rows
     of their own; null ids count as no candidate for the smallest id (a component of null ids
     only has a null component). An empty table gives no rows.
@@ -125,22 +132,28 @@ def near_duplicates(
     linked = rooted.where("root <> fp").select("root").distinct()
     smallest = rooted.join(linked, "root").groupBy("root").agg(F.min("first").alias("component"))
     named = rooted.join(smallest, "root", "left").select(
-        "fp", F.coalesce("component", "first").alias("component")
+        "fp", F.col("root").alias("family"), F.coalesce("component", "first").alias("component")
     )
-    return prints.join(named, "fp").select(id_col, "fp", "component")
-
-
-def hex_string(fp: Column) -> Column:
-    """A fingerprint as 16 lowercase hex digits."""
-    return F.lpad(F.lower(F.hex(fp)), 16, "0")
+    return prints.join(named, "fp").select(id_col, "version", "fp", "family", "component")
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows, in their own columns, with one row of each group of near duplicates: the smallest id's.
 
-    Rows that share that id and are linked count as copies, too: of equal ids one row of the least
-    fingerprint stays, and rows whose component has only null ids keep one row.
+    Where several rows of a group have that id, the one of the least ``version`` stays, and of
+    rows equal in id and text any one; a group of null ids only keeps one row.
     """
     found = near_duplicates(docs, id_col, text_col, **options)
-    first = found.where(F.col(id_col).eqNullSafe(F.col("component"))).select(F.col(id_col).alias("_id")).distinct()
-    return docs.join(first, F.col(id_col).eqNullSafe(F.col("_id")), "left_semi")
+    first = found.where(F.col(id_col).eqNullSafe(F.col("component"))).withColumnRenamed(id_col, "id")
+    first = materialize(first.groupBy("family", "id").agg(F.min("version").alias("version"), F.count("*").alias("n")), "first")
+    same = F.col(f"d.{id_col}").eqNullSafe(F.col("f.id")) & (F.xxhash64(f"d.{text_col}") == F.col("f.version"))
+    alone = docs.alias("d").join(first.where("n = 1").alias("f"), same, "left_semi")
+    if first.where("n > 1").isEmpty():
+        return alone
+    several = docs.alias("d").join(first.where("n > 1").alias("f"), same, "left_semi")
+    return alone.unionByName(several.dropDuplicates([id_col, text_col]))
+
+
+def hex_string(fp: Column) -> Column:
+    """A fingerprint as 16 lowercase hex digits."""
+    return F.lpad(F.lower(F.hex(fp)), 16, "0")
