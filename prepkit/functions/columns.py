@@ -82,6 +82,15 @@ def hash_bucket(h: Column, digits: int) -> Column:
     return F.conv(F.substring(h, 1, digits), 16, 10).cast("bigint")
 
 
+def finite(value: Column) -> Column:
+    """A double, or null where it is NaN or infinite.
+
+    Ranges, quantiles, means and deviations are taken over finite values; NaN and infinities stay
+    in the data as the values they are.
+    """
+    return F.when(F.abs(value) < F.lit(float("inf")), value)
+
+
 def clip(value: Column, lower: float, upper: float) -> Column:
     """Clamp to [lower, upper]; null stays null (``least`` and ``greatest`` skip nulls)."""
     bounded = F.least(F.greatest(value.cast("double"), F.lit(lower)), F.lit(upper))

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from prepkit.functions.columns import chunks, col, compact_text, union_all
+from prepkit.functions.columns import LONG_TEXT, chunks, col, compact_text, finite, fresh, union_all
 from prepkit.sources.scratch import materialize
 from prepkit.types import has_map, is_text
 
@@ -22,12 +22,17 @@ from prepkit.types import has_map, is_text
 AGG_WIDTH = 200
 # Largest number of distinct values of one column that a single window task ranks.
 WINDOW_ROWS = 2_000_000
-# Rows of the sample that places the brackets of a quantile (never the quantile itself).
-SAMPLE_ROWS = 10_000_000
-# Rank accuracy of the sketch over that sample: 1 / 50,000 of its rows.
-SKETCH = 50_000
+# Rows of the sample that places the brackets of a quantile (never the quantile itself). One task
+# merges its sketches, so it is small; counting over all rows decides, and a step narrows again.
+SAMPLE_ROWS = 200_000
+# Rank accuracy of the sketch over that sample: 1 / 10,000 of its rows.
+SKETCH = 10_000
+# Columns of up to about this many distinct values have their quantiles from one plain aggregate.
+FEW_VALUES = 100_000
 # Lookup frames up to this many rows are broadcast.
 SMALL_ROWS = 10_000
+# Tasks that the rows of one key are spread over where a lookup frame is joined by shuffle.
+SALTS = 16
 
 
 def one_row(df: DataFrame, exprs: Mapping[str, Column]) -> dict:
@@ -50,6 +55,8 @@ def per_column(
     ``metrics`` maps a column name to its aggregates; all columns share the metric names and
     types. One job per chunk of aggregates, each with a one-row result that is then unfolded.
     """
+    if not columns:
+        return per_column(df, df.columns[:1], metrics).where(F.lit(False))
     ordinals = {c: i for i, c in enumerate(df.columns)}
     width = max(1, AGG_WIDTH // len(metrics(columns[0])))
     frames = []
@@ -70,18 +77,19 @@ def per_column(
 
 
 def summary(df: DataFrame, columns: Sequence[str]) -> dict[str, dict]:
-    """Row and value count, mean, sample deviation, minimum and maximum of numeric columns, in one
-    pass."""
+    """Row, value and finite value count, and of the finite values mean, sample deviation, minimum
+    and maximum of numeric columns, in one pass."""
     exprs: dict = {"rows": F.count(F.lit(1))}
     for c in columns:
-        x = col(c).cast("double")
-        exprs[c, "count"] = F.count(x)
+        x = finite(col(c).cast("double"))
+        exprs[c, "count"] = F.count(col(c))
+        exprs[c, "finite"] = F.count(x)
         exprs[c, "mean"] = F.avg(x)
         exprs[c, "std"] = F.stddev_samp(x)
         exprs[c, "min"] = F.min(x)
         exprs[c, "max"] = F.max(x)
     found = one_row(df, exprs)
-    metrics = ("count", "mean", "std", "min", "max")
+    metrics = ("count", "finite", "mean", "std", "min", "max")
     return {c: {"rows": found["rows"], **{m: found[c, m] for m in metrics}} for c in columns}
 
 
@@ -149,6 +157,8 @@ def distinct_counts(df: DataFrame, columns: Sequence[str], approx: bool = False)
             columns,
             lambda c: {"distinct_count": F.approx_count_distinct(_comparable(col(c), types[c]))},
         ).drop("ordinal")
+    if not columns:
+        return local_frame(df.sparkSession, [], "column_name string, distinct_count bigint")
     return union_all(
         [
             frame.groupBy("column_name").agg(F.count(F.lit(1)).alias("distinct_count"))
@@ -158,23 +168,58 @@ def distinct_counts(df: DataFrame, columns: Sequence[str], approx: bool = False)
 
 
 def few_valued(df: DataFrame, columns: Sequence[str], limit: int = 50) -> list[str]:
-    """Columns that can have at most ``limit`` (<= 50) distinct non-null values.
+    """Columns that can have at most ``limit`` distinct non-null values.
 
     A HyperLogLog count with 512 registers (5 % error) is at most 512 * ln(512 / 462) = 52.6 for
     50 values or fewer, so a column above 64 is over the limit for certain. Columns returned here
-    may still exceed the limit a little; an exact count over them is cheap and has to follow.
+    may still exceed the limit a little; an exact count over them is cheap and has to follow. For
+    more than 50 values the bound does not hold, and the columns are counted exactly.
     """
-    if limit > 50:
-        raise ValueError("the bound is proven for up to 50 values")
     if not columns:
         return []
+    if limit > 50:
+        counted = distinct_counts(df, columns).collect()  # one row per column
+        many = {r["column_name"] for r in counted if r["distinct_count"] > limit}
+        return [c for c in columns if c not in many]
     found = one_row(df, {c: F.approx_count_distinct(col(c), 0.05) for c in columns})
     return [c for c in columns if found[c] <= 64]
 
 
-def modes(df: DataFrame, columns: Sequence[str]) -> dict[str, str | None]:
-    """Most frequent non-null value of atomic columns as text; the smallest one on ties."""
+def frequent_texts(df: DataFrame, column: str, limit: int) -> DataFrame:
+    """The most frequent strings of a column ``(value, n)``, the smaller ones on ties.
+
+    Long strings are counted by their SHA-256 and their first characters, which place them in
+    order but for strings that begin alike. Only the strings that can be among the wanted ones
+    are fetched, copies collapsing before the shuffle.
+    """
+    value = col(column).cast("string")
+    rows = df.where(value.isNotNull()).select(
+        compact_text(value).alias("key"), F.substring(value, 1, LONG_TEXT).alias("head"), value.alias("value")
+    )
+    counted = rows.groupBy("key", "head").agg(F.count(F.lit(1)).alias("n"))
+    best = counted.orderBy(F.desc("n"), "head").limit(limit).collect()
+    if not best:
+        return local_frame(df.sparkSession, [], "value string, n bigint")
+    n, head = F.lit(best[-1]["n"]), F.lit(best[-1]["head"])
+    chosen = counted.where((F.col("n") > n) | ((F.col("n") == n) & (F.col("head") <= head)))
+    if all(r["key"] == r["head"] for r in best):  # short strings: the key is the string
+        return local_frame(df.sparkSession, [(r["key"], r["n"]) for r in best], "value string, n bigint")
+    chosen, small = settle(chosen.select(F.col("key").alias("k"), "n"))
+    found = lookup_join(rows.select("key", "value"), chosen, small, F.col("key"), "k")
+    values = found.groupBy("key", "n").agg(F.first("value").alias("value"))
+    return values.orderBy(F.desc("n"), "value").limit(limit).select("value", "n")
+
+
+def modes(df: DataFrame, columns: Sequence[str], long: Sequence[str] = ()) -> dict[str, str | None]:
+    """Most frequent non-null value of atomic columns as text; the smallest one on ties.
+
+    ``long`` are the columns with strings too long to be shuffled as they are.
+    """
     out: dict[str, str | None] = {c: None for c in columns}
+    for c in long:
+        found = frequent_texts(df, c, 1).collect()
+        out[c] = found[0]["value"] if found else None
+    columns = [c for c in columns if c not in long]
     if not columns:
         return out
     best = []
@@ -196,6 +241,8 @@ def modes(df: DataFrame, columns: Sequence[str]) -> dict[str, str | None]:
 
 def _interpolate(position: float, lower: float, upper: float, how: str) -> float:
     base = math.floor(position)
+    if lower == upper:
+        return lower
     if how == "nearest":
         return upper if position - base >= 0.5 else lower
     return lower + (upper - lower) * (position - base)
@@ -252,13 +299,13 @@ class _Bracket:
         self.lo: float | None = None
         self.hi: float | None = None
         self.below, self.inside, self.distinct = 0, count, count
-        self.width, self.stuck = 5.0, False
+        self.width, self.halve = 5.0, False
 
     def range(self) -> tuple:
         return self.column, self.lo, self.hi
 
     def value(self) -> Column:
-        return col(self.column).cast("double")
+        return finite(col(self.column).cast("double"))
 
     def holds(self) -> Column:
         x = self.value()
@@ -305,12 +352,51 @@ def _narrow(df: DataFrame, wide: list[_Bracket], seed: int, sample_rows: int) ->
         if not (below <= b.ranks[0] and b.ranks[1] < below + inside):
             b.width *= 2
         elif (lo, hi) == (b.lo, b.hi):
-            b.stuck = True
+            b.halve = True
         else:
             b.lo, b.hi, b.below, b.inside = lo, hi, below, inside
             b.distinct = found[b.name, "distinct"]
 
 
+def _halve(df: DataFrame, wide: list[_Bracket]) -> None:
+    """One sure step: cut brackets in the middle of their value range and keep the part that holds
+    the ranks, or the two values beside the cut if the ranks lie on both sides of it.
+
+    Needs no sample and always leaves out values, so it ends whatever the distribution is.
+    """
+    exprs: dict = {}
+    for b in wide:
+        if b.lo is None:
+            exprs[b.name, "lo"], exprs[b.name, "hi"] = F.min(b.value()), F.max(b.value())
+    found = one_row(df, exprs)
+    for b in wide:
+        if b.lo is None:
+            b.lo, b.hi = found[b.name, "lo"], found[b.name, "hi"]
+    exprs = {}
+    for b in wide:
+        middle = F.lit(b.lo / 2 + b.hi / 2)
+        low, high = b.holds() & (b.value() <= middle), b.holds() & (b.value() > middle)
+        exprs[b.name, "left"] = F.count_if(low)
+        exprs[b.name, "lo"], exprs[b.name, "hi"] = F.max(F.when(low, b.value())), F.min(F.when(high, b.value()))
+    found = one_row(df, exprs)
+    exprs = {}
+    for b in wide:
+        left = found[b.name, "left"]
+        if b.ranks[0] >= b.below + left:
+            b.lo = found[b.name, "hi"]
+        elif b.ranks[1] < b.below + left:
+            b.hi = found[b.name, "lo"]
+        else:
+            b.lo, b.hi = found[b.name, "lo"], found[b.name, "hi"]
+        exprs[b.name, "below"] = F.count_if(b.value() < F.lit(b.lo))
+        exprs[b.name, "inside"] = F.count_if(b.holds())
+        exprs[b.name, "distinct"] = F.approx_count_distinct(b.cell())
+    found = one_row(df, exprs)
+    for b in wide:
+        b.below, b.inside = found[b.name, "below"], found[b.name, "inside"]
+        b.distinct = found[b.name, "distinct"]
+
+
 def exact_quantiles(
     df: DataFrame,
     columns: Sequence[str],
@@ -319,19 +405,40 @@ def exact_quantiles(
     counts: Mapping[str, int] | None = None,
     window_rows: int = WINDOW_ROWS,
     sample_rows: int = SAMPLE_ROWS,
+    sizes: Mapping[str, int] | None = None,
 ) -> dict[str, dict[float, float | None]]:
-    """Exact quantiles of numeric columns over their non-null values, as plain numbers.
+    """Exact quantiles of numeric columns over their finite values, as plain numbers.
 
     ``linear`` interpolates between the two neighbouring order statistics, ``nearest`` takes the
-    closer one. ``counts`` are the non-null counts of the columns, if they are known.
+    closer one. ``counts`` are the finite values of the columns, if they are known.
 
-    The built-in ``percentile`` keeps every distinct value of a column in one buffer. Here a
-    column with more than ``window_rows`` values is first narrowed to brackets around the wanted
+    ``sizes`` are upper estimates of the distinct values (found here if not given). The built-in
+    ``percentile`` keeps every distinct value of a column in one buffer, which suits columns of up to
+    ``FEW_VALUES``: all of them share one aggregate. A column with more than ``window_rows`` values is first narrowed to brackets around the wanted
     ranks. A sample places the brackets, but counting over all rows decides whether a bracket
     holds its ranks, so the result is exact whatever the sample looks like. Only the values inside
     the final brackets are shuffled, and no task ranks more than about ``window_rows`` of them.
     """
-    return rank_columns(df, columns, probs, interpolation, counts, window_rows, sample_rows)[0]
+    if interpolation != "linear" or window_rows < WINDOW_ROWS:
+        return rank_columns(df, columns, probs, interpolation, counts, window_rows, sample_rows)[0]
+    probs = list(dict.fromkeys(probs))
+    if sizes is None:
+        exprs: dict = {}
+        for c in columns:
+            x = finite(col(c).cast("double"))
+            exprs[c, "count"], exprs[c, "distinct"] = F.count(x), F.approx_count_distinct(x)
+        found = one_row(df, exprs)
+        counts = {c: found[c, "count"] for c in columns}
+        sizes = {c: found[c, "distinct"] for c in columns}
+    few = [c for c in columns if sizes[c] <= FEW_VALUES]
+    values = F.array(*[F.lit(float(p)) for p in probs])
+    found = one_row(df, {c: F.percentile(finite(col(c).cast("double")), values) for c in few})
+    out = {c: dict(zip(probs, found[c] or [None] * len(probs))) for c in few}
+    rest = [c for c in columns if c not in out]
+    if rest:
+        known = None if counts is None else {c: counts[c] for c in rest}
+        out |= rank_columns(df, rest, probs, interpolation, known, window_rows, sample_rows)[0]
+    return {c: out[c] for c in columns}
 
 
 def rank_columns(
@@ -342,27 +449,32 @@ def rank_columns(
     counts: Mapping[str, int] | None = None,
     window_rows: int = WINDOW_ROWS,
     sample_rows: int = SAMPLE_ROWS,
+    max_samples: int = 20,
 ) -> tuple[dict[str, dict[float, float | None]], dict[str, int]]:
     """:func:`exact_quantiles`, and the distinct values of the columns that were ranked whole.
 
-    Distinct values are those of the column as double.
+    Distinct values are those of the column as double. After ``max_samples`` sampled steps, or
+    when a sample no longer helps, brackets are halved by value until they are narrow enough.
     """
     if interpolation not in ("linear", "nearest"):
         raise ValueError(f"unknown interpolation: {interpolation}")
     probs = list(dict.fromkeys(probs))
     if counts is None:
-        counts = one_row(df, {c: F.count(col(c)) for c in columns}) if columns else {}
+        counts = one_row(df, {c: F.count(finite(col(c).cast("double"))) for c in columns})
     brackets = {
         (c, p): _Bracket(f"b{i}_{j}", c, p * (counts[c] - 1), counts[c])
         for i, c in enumerate(columns)
         for j, p in enumerate(probs)
         if counts[c]
     }
-    for step in range(20):
-        wide = [b for b in brackets.values() if b.distinct > window_rows and not b.stuck]
-        if not wide:
-            break
-        _narrow(df, wide, 17 + step, sample_rows)
+    step = 0
+    while wide := [b for b in brackets.values() if b.distinct > window_rows]:
+        sampled = [b for b in wide if not b.halve and step < max_samples]
+        if sampled:
+            _narrow(df, sampled, 17 + step, sample_rows)
+        if halved := [b for b in wide if b not in sampled]:
+            _halve(df, halved)
+        step += 1
     found = _rank_values(df, list(brackets.values()))
     out: dict[str, dict[float, float | None]] = {c: {p: None for p in probs} for c in columns}
     for (c, p), b in brackets.items():
@@ -392,15 +504,38 @@ def local_frame(spark: SparkSession, rows: Sequence[tuple], schema: str | T.Stru
 def settle(frame: DataFrame, limit: int = SMALL_ROWS) -> tuple[DataFrame, bool]:
     """Evaluate a grouped frame once and say whether it is small enough to broadcast.
 
-    Up to ``limit`` rows it becomes a local frame; beyond that it is written to the shared folder
-    and is joined by shuffle.
+    It is written to the shared folder and read back. Up to ``limit`` rows it becomes a local
+    frame; beyond that the written table is joined by shuffle.
     """
-    rows = frame.orderBy(F.col(frame.columns[0])).limit(limit + 1).collect()
+    written = materialize(frame, "lookup")
+    rows = written.limit(limit + 1).collect()
     if len(rows) <= limit:
         return local_frame(frame.sparkSession, rows, frame.schema), True
-    return materialize(frame, "lookup"), False
+    return written, False
 
 
-def lookup_join(df: DataFrame, lookup: DataFrame, small: bool, on: Column, how: str = "inner"):
-    """Join rows to a settled lookup frame: broadcast behind the size check, else by shuffle."""
-    return df.join(F.broadcast(lookup) if small else lookup, on, how)
+def lookup_join(
+    df: DataFrame,
+    lookup: DataFrame,
+    small: bool,
+    key: Column,
+    lookup_key: str,
+    null_safe: bool = False,
+    how: str = "inner",
+    salts: int = SALTS,
+) -> DataFrame:
+    """Join rows to a settled lookup frame of distinct keys; drops nothing of either side's columns.
+
+    Broadcast behind the size check. Beyond it the join shuffles, and the lookup is repeated for
+    ``salts`` salts, so that the rows of one key go to as many tasks.
+    """
+    def equal(right: Column) -> Column:
+        return key.eqNullSafe(right) if null_safe else key == right
+
+    if small:
+        return df.join(F.broadcast(lookup), equal(F.col(lookup_key)), how)
+    mine, theirs = (fresh([*df.columns, *lookup.columns], n) for n in ("salt", "lookup_salt"))
+    plain = [col(f.name) for f in df.schema.fields if not has_map(f.dataType)] or [F.lit(0)]
+    rows = df.withColumn(mine, F.pmod(F.xxhash64(*plain), F.lit(salts)).cast("int"))
+    repeated = lookup.withColumn(theirs, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return rows.join(repeated, equal(F.col(lookup_key)) & (F.col(mine) == F.col(theirs)), how).drop(mine, theirs)

@@ -9,12 +9,14 @@ from pyspark.sql import functions as F
 
 from prepkit import types
 from prepkit.functions import keywords as K
-from prepkit.functions.columns import col, cols, order_hash
+from prepkit.functions.columns import col, cols, finite, order_hash
+from prepkit.operators.aggregates import frequent_texts
 from prepkit.operators.profile import numeric_summary
 
 
-def _clamp(value: int, bounds: tuple[int, int]) -> int:
-    return max(bounds[0], min(bounds[1], value))
+def _need_positive(value: int, what: str) -> None:
+    if value < 1:
+        raise ValueError(f"{what} must be 1 or more: {value}")
 
 
 def _need_numeric(df: DataFrame, column: str, chart: str) -> None:
@@ -25,13 +27,13 @@ def _need_numeric(df: DataFrame, column: str, chart: str) -> None:
 def histogram(df: DataFrame, column: str, bins: int = 15) -> DataFrame:
     """Equal-width bins ``(bucket, bin_start, bin_end, n)``; empty bins are absent.
 
-    ``bins`` is clamped to 3..80 and the maximum falls into the last bin. One value only gives one
-    bin, no values no rows. The range is a scalar subquery, so the rows are scanned twice and the
+    The maximum falls into the last bin. One value only gives one bin, no values no rows; NaN
+    and infinite values are in no bin. The range is a scalar subquery, so the rows are scanned twice and the
     shuffle carries at most ``bins`` rows per task.
     """
     _need_numeric(df, column, "histogram")
-    bins = _clamp(bins, K.HISTOGRAM_BINS)
-    x = col(column).cast("double")
+    _need_positive(bins, "bins")
+    x = finite(col(column).cast("double"))
     span = df.agg(F.struct(F.min(x).alias("lo"), F.max(x).alias("hi"))).scalar()
     lo, hi = span["lo"], span["hi"]
     place = F.floor(F.try_divide(F.lit(float(bins)) * (x - lo), hi - lo)).cast("int")
@@ -57,9 +59,20 @@ def box(df: DataFrame, column: str) -> DataFrame:
     )
 
 
+def histogram_statistics(df: DataFrame, column: str) -> DataFrame:
+    """The numbers shown beside a histogram: ``(column_name, non_null, min, max, mean, median, std,
+    q25, q75)``; no row if the column holds no values."""
+    _need_numeric(df, column, "histogram")
+    return numeric_summary(df, [column]).where(F.col("non_null") > 0).select(
+        "column_name", "non_null", "min", "max", "mean", "median", "std", "q25", "q75"
+    )
+
+
 def bar(df: DataFrame, column: str, limit: int = K.TOP_VALUES) -> DataFrame:
     """The most frequent non-null values ``(category, n)``; also the data of a pie chart."""
     value = col(column)
+    if types.is_text(df.schema[column].dataType):
+        return frequent_texts(df, column, limit).withColumnRenamed("value", "category")
     return (
         df.where(value.isNotNull())
         .groupBy(value.alias("category"))
@@ -73,11 +86,12 @@ def bar(df: DataFrame, column: str, limit: int = K.TOP_VALUES) -> DataFrame:
 def scatter(
     df: DataFrame, x: str, y: str, limit: int = 500, keys: Sequence[str] | None = None, seed: int = 42
 ) -> DataFrame:
-    """Up to ``limit`` (1..2000) sampled pairs ``(x, y)`` as doubles.
+    """Up to ``limit`` sampled pairs ``(x, y)`` as doubles.
 
     Pairs with a null or a value that is no number are dropped. The sample is the head of the
     hash order of ``keys`` (all columns by default), kept as a bounded heap in every task.
     """
+    _need_positive(limit, "limit")
     names = list(keys or df.columns)
 
     def number(name: str) -> Column:
@@ -89,7 +103,7 @@ def scatter(
         )
         .where(F.col("x").isNotNull() & F.col("y").isNotNull())
         .orderBy("h", "x", "y")
-        .limit(_clamp(limit, K.SCATTER_ROWS))
+        .limit(limit)
         .select("x", "y")
     )
 

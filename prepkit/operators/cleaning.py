@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from prepkit import types
-from prepkit.functions.columns import col, cols, fresh
+from prepkit.functions.columns import LONG_TEXT, col, cols, finite, fresh
 from prepkit.operators.aggregates import exact_quantiles, local_frame, modes, one_row
 
 STRATEGIES = ("drop", "fill_mean", "fill_median", "fill_mode", "fill_zero", "fill_empty")
@@ -153,8 +153,10 @@ def fill_values(df: DataFrame, strategies: Mapping[str, str]) -> dict[str, Colum
     exprs: dict = {"rows": F.count(F.lit(1))}
     for c, s in wanted.items():
         exprs[c, "nulls"] = F.count_if(col(c).isNull())
+        if types.is_text(schema[c]) and s != "fill_zero" and s != "fill_empty":
+            exprs[c, "longest"] = F.max(F.length(col(c)))
         if s == "fill_mean" and c in numeric:
-            exprs[c, "mean"] = F.avg(col(c).cast("double"))
+            exprs[c, "mean"] = F.avg(finite(col(c).cast("double")))
     found = one_row(df, exprs)
     holes = {c: s for c, s in wanted.items() if found[c, "nulls"]}
     by_median = [c for c, s in holes.items() if s == "fill_median" and c in numeric]
@@ -163,9 +165,8 @@ def fill_values(df: DataFrame, strategies: Mapping[str, str]) -> dict[str, Colum
         for c, s in holes.items()
         if s == "fill_mode" or (s in ("fill_mean", "fill_median") and c not in numeric)
     ]
-    counts = {c: found["rows"] - found[c, "nulls"] for c in by_median}
-    medians = exact_quantiles(df, by_median, (0.5,), counts=counts)
-    common = modes(df, by_mode)
+    medians = exact_quantiles(df, by_median, (0.5,))
+    common = modes(df, by_mode, [c for c in by_mode if (found.get((c, "longest")) or 0) > LONG_TEXT])
     out: dict[str, Column] = {}
     for c, s in holes.items():
         if c in by_mode:

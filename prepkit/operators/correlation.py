@@ -76,13 +76,13 @@ def pair_correlations(df: DataFrame, columns: Sequence[str]) -> dict[tuple[str,
     return out
 
 
-def correlation_matrix(df: DataFrame, limit: int = K.CORRELATION_COLUMNS) -> DataFrame:
-    """``(col_i, col_j, corr)`` of the first 15 numeric columns, all ordered pairs.
+def correlation_matrix(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+    """``(col_i, col_j, corr)`` of the numeric columns (or of those given), all ordered pairs.
 
     The diagonal is 1; a pair without a defined correlation is 0. Fewer than two numeric columns
     give no rows.
     """
-    columns = types.numeric_columns(df)[:limit]
+    columns = types.numeric_columns(df) if columns is None else list(columns)
     found = pair_correlations(df, columns)
     rows = []
     if len(columns) > 1:
@@ -93,13 +93,13 @@ def correlation_matrix(df: DataFrame, limit: int = K.CORRELATION_COLUMNS) -> Dat
 
 
 def correlated_pairs(
-    df: DataFrame, threshold: float = K.HIGH_CORRELATION, limit: int = K.PAIR_COLUMNS
+    df: DataFrame, threshold: float = K.HIGH_CORRELATION
 ) -> DataFrame:
-    """``(col_1, col_2, corr)`` with \\|r\\| above 0.95 among the first 20 numeric columns that are
-    not named like identifiers; 3 decimals."""
+    """``(col_1, col_2, corr)`` with \\|r\\| above 0.95 among the numeric columns that are not named
+    like identifiers; 3 decimals."""
     columns = [
         c for c in types.numeric_columns(df) if not name_matches(c, K.ID_KEYWORDS, "suffix")
-    ][:limit]
+    ]
     rows = [
         (a, b, round(r, 3))
         for (a, b), r in pair_correlations(df, columns).items()

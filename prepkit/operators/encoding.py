@@ -9,16 +9,17 @@ from pyspark.sql import functions as F
 
 from prepkit import types
 from prepkit.functions import keywords as K
-from prepkit.functions.columns import col
+from prepkit.functions.columns import col, finite
 from prepkit.operators.aggregates import few_valued, one_row, value_counts
 
 
 def scaling_ranges(df: DataFrame, columns: Sequence[str] | None = None) -> dict[str, tuple]:
-    """Minimum and maximum of the numeric columns that have two values or more, in one pass."""
+    """Minimum and maximum of the finite values of the numeric columns that have two or more, in
+    one pass."""
     names = list(columns) if columns is not None else types.numeric_columns(df)
     exprs: dict = {}
     for c in names:
-        exprs[c, "lo"], exprs[c, "hi"] = (f(col(c).cast("double")) for f in (F.min, F.max))
+        exprs[c, "lo"], exprs[c, "hi"] = (f(finite(col(c).cast("double"))) for f in (F.min, F.max))
     found = one_row(df, exprs) if exprs else {}
     pairs = {c: (found[c, "lo"], found[c, "hi"]) for c in names}
     return {c: p for c, p in pairs.items() if p[0] is not None and p[0] != p[1]}
@@ -35,7 +36,10 @@ def scale(df: DataFrame, ranges: dict[str, tuple]) -> DataFrame:
 
 
 def normalize(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """Numeric columns scaled to [0, 1]; constant and all-null columns stay as they are."""
+    """Numeric columns scaled to [0, 1]; constant and all-null columns stay as they are.
+
+    NaN and infinities stay what they are and do not count for the range.
+    """
     return scale(df, scaling_ranges(df, columns))
 
 

@@ -21,8 +21,6 @@ from prepkit.operators.profile import categorical_flags
 NORMALIZE_RANGE = 100
 DROP_SHARE = 0.9
 TARGET_VALUES = (2, 20)
-MAX_TARGETS = 10
-MAX_CATEGORY_TARGETS = 5
 
 
 def text_length(df: DataFrame, column: str, name: str | None = None) -> DataFrame:
@@ -91,8 +89,10 @@ def _is_target_name(name: str, strict: bool) -> bool:
     return parts[0] in words or parts[-1] in words
 
 
-def target_columns(df: DataFrame, strict_keywords: bool = False) -> DataFrame:
-    """``(rank, column_name)``: likely targets in column order, ten at most.
+def target_columns(
+    df: DataFrame, strict_keywords: bool = False, limit: int | None = None
+) -> DataFrame:
+    """``(rank, column_name)``: likely targets in column order, the first ``limit`` if given.
 
     A column qualifies by its name (a keyword at either end) or, for text and integers, by having
     2 to 19 distinct values. ``strict_keywords`` wants the keyword as a whole ``_`` part, as the
@@ -110,7 +110,7 @@ def target_columns(df: DataFrame, strict_keywords: bool = False) -> DataFrame:
         per_name = frame.groupBy("column_name").agg(F.count(F.lit(1)).alias("d"))
         hits = per_name.where((F.col("d") >= low) & (F.col("d") < high))
         few |= {r["column_name"] for r in hits.collect()}
-    found = [c for c in df.columns if c in named or c in few][:MAX_TARGETS]
+    found = [c for c in df.columns if c in named or c in few][:limit]
     return local_frame(
         df.sparkSession,
         [(i + 1, c) for i, c in enumerate(found)],
@@ -118,16 +118,19 @@ def target_columns(df: DataFrame, strict_keywords: bool = False) -> DataFrame:
     )
 
 
-def category_targets(df: DataFrame) -> DataFrame:
+def category_targets(df: DataFrame, limit: int | None = None) -> DataFrame:
     """``(rank, column_name)``: columns hinting at a target by name, or categorical with 2 to 49
-    values; the first five in column order."""
+    values, in column order; the first ``limit`` if given.
+
+    A sketch first rules out the columns with more values, so free text is not counted.
+    """
     hinted = [c for c in df.columns if name_matches(c, K.TARGET_HINTS, "inside")]
     few: set[str] = set()
-    rest = df.select(*[col(c) for c in df.columns if c not in hinted])
-    if types.text_columns(rest):
-        flags = categorical_flags(rest).where("is_categorical and distinct_count between 2 and 49")
+    rest = few_valued(df, [c for c in types.text_columns(df) if c not in hinted])
+    if rest:
+        flags = categorical_flags(df, rest).where("is_categorical and distinct_count between 2 and 49")
         few = {r["column_name"] for r in flags.collect()}
-    found = [c for c in df.columns if c in hinted or c in few][:MAX_CATEGORY_TARGETS]
+    found = [c for c in df.columns if c in hinted or c in few][:limit]
     return local_frame(
         df.sparkSession,
         [(i + 1, c) for i, c in enumerate(found)],

@@ -48,7 +48,7 @@ def null_counts(df: DataFrame, columns: Sequence[str] | None = None) -> DataFram
     """``(column_name, ordinal, row_count, null_count)`` from one fused scan."""
     return per_column(
         df,
-        columns or df.columns,
+        df.columns if columns is None else columns,
         lambda c: {"row_count": F.count(F.lit(1)), "null_count": F.count_if(col(c).isNull())},
     )
 
@@ -58,7 +58,7 @@ def column_counts(
 ) -> DataFrame:
     """Null and distinct counts: ``(column_name, ordinal, row_count, null_count, null_pct,
     distinct_count)``. Distinct counts leave null out and are exact unless ``approx``."""
-    columns = list(columns or df.columns)
+    columns = list(df.columns if columns is None else columns)
     distinct = distinct_counts(df, columns, approx)
     return (
         null_counts(df, columns)
@@ -83,6 +83,8 @@ NUMERIC_SCHEMA = (
 def numeric_summary(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """Mean, median, sample deviation, extremes and quartiles of the numeric columns.
 
+    All of them describe the finite values; ``non_null`` counts NaN and infinities, too.
+
     Runs when it is called, as ``approxQuantile`` does: one fused scan, then the exact quantiles.
     """
     return numeric_profile(df, columns, distinct=False).select(
@@ -99,13 +101,13 @@ def numeric_profile(
     Ranking the values for the quartiles also counts them; only columns too wide to be ranked
     whole, or not exact as doubles, are counted by a job of their own.
     """
-    columns = list(columns or types.numeric_columns(df))
+    columns = list(types.numeric_columns(df) if columns is None else columns)
     stats = summary(df, columns)
-    counts = {c: s["count"] for c, s in stats.items()}
+    counts = {c: s["finite"] for c, s in stats.items()}
     quantiles, ranked = rank_columns(df, columns, (0.25, 0.5, 0.75), counts=counts)
     known = {c: d for c, d in ranked.items() if _exact_as_double(df, c, stats[c])}
     if distinct:
-        rest = [c for c in columns if c not in known and counts[c]]
+        rest = [c for c in columns if c not in known and stats[c]["count"]]
         if rest:  # one row per column
             found = distinct_counts(df, rest).collect()
             known |= {r["column_name"]: r["distinct_count"] for r in found}
@@ -127,7 +129,7 @@ def numeric_profile(
 
 def _exact_as_double(df: DataFrame, column: str, stats: Mapping) -> bool:
     kind = df.schema[column].dataType
-    if isinstance(kind, T.DecimalType):
+    if isinstance(kind, T.DecimalType) or stats["finite"] != stats["count"]:
         return False
     if isinstance(kind, T.LongType):
         return max(abs(stats["min"]), abs(stats["max"])) <= 2**53
@@ -138,12 +140,13 @@ def is_categorical(distinct: Column, rows: Column) -> Column:
     return distinct < F.least(rows * F.lit(K.CATEGORICAL_SHARE), F.lit(float(K.CATEGORICAL_MAX)))
 
 
-def categorical_flags(df: DataFrame) -> DataFrame:
-    """``(column_name, ordinal, row_count, distinct_count, is_categorical)`` of the text columns.
+def categorical_flags(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+    """``(column_name, ordinal, row_count, distinct_count, is_categorical)`` of the text columns
+    (or of those given); no row for a table without text.
 
     Categorical means fewer distinct values than 20 % of the rows and fewer than 50.
     """
-    return column_counts(df, types.text_columns(df)).select(
+    return column_counts(df, types.text_columns(df) if columns is None else columns).select(
         "column_name",
         "ordinal",
         "row_count",
@@ -152,9 +155,9 @@ def categorical_flags(df: DataFrame) -> DataFrame:
     )
 
 
-def top_values(df: DataFrame, limit: int = K.TOP_VALUES) -> DataFrame:
+def top_values(df: DataFrame, limit: int | None = K.TOP_VALUES) -> DataFrame:
     """The most frequent values of every categorical column: ``(column_name, value, n, pct,
-    rank)``, ``pct`` of all rows. Ties go to the smaller value.
+    rank)``, ``pct`` of all rows. Ties go to the smaller value; without ``limit`` all values.
 
     A cheap sketch first rules out the columns that cannot be categorical, so free text is
     neither counted nor shuffled.
@@ -171,7 +174,8 @@ def top_values(df: DataFrame, limit: int = K.TOP_VALUES) -> DataFrame:
     return (
         counted.withColumn("distinct_count", F.count(F.lit(1)).over(by_column))
         .withColumn("rank", F.row_number().over(order))
-        .where(is_categorical(F.col("distinct_count"), total) & (F.col("rank") <= limit))
+        .where(is_categorical(F.col("distinct_count"), total))
+        .where(F.lit(True) if limit is None else F.col("rank") <= limit)
         .select("column_name", "value", "n", percent(F.col("n"), total).alias("pct"), "rank")
     )
 
@@ -183,10 +187,13 @@ def severity(ratio: Column, notice: bool = False) -> Column:
 
 
 def imbalance_warnings(df: DataFrame) -> DataFrame:
-    """``(column_name, ratio, severity)`` of categorical columns whose top values are uneven."""
+    """``(column_name, ratio, severity)`` of categorical columns whose values are uneven.
+
+    The ratio is that of the most to the least frequent of all values of the column.
+    """
     ratio = F.max("n") / F.min("n")
     return (
-        top_values(df)
+        top_values(df, None)
         .groupBy("column_name")
         .agg(F.count(F.lit(1)).alias("values"), ratio.alias("ratio"))
         .where((F.col("values") >= 2) & (F.col("ratio") > K.WARNING_RATIO))
@@ -297,7 +304,11 @@ def null_comparison(before: DataFrame, after: DataFrame) -> DataFrame:
 
 
 def fleet_profiles(tables: Mapping[str, DataFrame]) -> DataFrame:
-    """One row per table: ``(table_name, row_count, column_count, status)``."""
+    """One row per table: ``(table_name, row_count, column_count, status)``.
+
+    The status is PROFILED or EMPTY; a caller that keeps a catalog sets CLEANED for tables that
+    were cleaned, and adds their size as ``bytes`` (see ``dataset_size``).
+    """
     frames = [
         table_shape(df).select(
             F.lit(name).alias("table_name"),
@@ -311,11 +322,15 @@ def fleet_profiles(tables: Mapping[str, DataFrame]) -> DataFrame:
 
 
 def fleet_totals(profiles: DataFrame) -> DataFrame:
-    """Grand totals over profile rows: tables, rows, columns and the number per status."""
+    """Grand totals over profile rows: tables, rows, columns, the number per status (a cleaned
+    table was profiled before), and the sum of ``bytes`` where the rows have sizes."""
+    size = F.col("bytes") if "bytes" in profiles.columns else F.lit(None).cast("bigint")
     return profiles.agg(
         F.count(F.lit(1)).alias("tables"),
         F.sum("row_count").alias("total_rows"),
         F.sum("column_count").alias("total_columns"),
-        F.count_if(F.col("status") == "PROFILED").alias("profiled"),
+        F.sum(size).cast("bigint").alias("total_bytes"),
+        F.count_if(F.col("status").isin("PROFILED", "CLEANED")).alias("profiled"),
+        F.count_if(F.col("status") == "CLEANED").alias("cleaned"),
         F.count_if(F.col("status") == "EMPTY").alias("empty"),
     )

@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from prepkit import types
 from prepkit.functions import keywords as K
-from prepkit.functions.columns import col, rounded, union_all
-from prepkit.operators.aggregates import summary
+from prepkit.functions.columns import col, finite, rounded, union_all
+from prepkit.operators.aggregates import one_row
 from prepkit.operators.outliers import detect_outliers
 from prepkit.operators.profile import (
     duplicate_rows,
@@ -36,23 +36,18 @@ def domain_tags(df: DataFrame, groups: Sequence[str], text: str) -> DataFrame:
     case, anywhere in a word). Ties go to the domain listed first; no hit gives ``General``.
 
     All keywords are made of the letters a to z, so each occurrence lies inside one run of
-    letters. The texts are cut into such runs once and the runs of a group are made distinct,
-    partly before the shuffle; only they are searched for keywords, never the texts themselves.
+    letters. Each text is cut into its different runs where it is read, and only runs with a
+    keyword go on; what is shuffled is a row per group and keyword found.
     """
     by = [col(g) for g in groups]
     words = sorted({w for listed in K.DOMAIN_KEYWORDS.values() for w in listed})
     # The empty run stays in, so that a group without any hit is not lost.
     runs = F.concat(F.array(F.lit("")), F.split(F.lower(F.coalesce(col(text), F.lit(""))), "[^a-z]+"))
-    run, n = F.col("run"), F.col("n")
+    run = F.col("run")
     found = F.filter(F.array(*[F.lit(w) for w in words]), lambda w: F.contains(run, w))
-    heads = sorted({w[0] for w in words})
-    pattern = "|".join(f"{h}(?:{'|'.join(w[1:] for w in words if w[0] == h)})" for h in heads)
     hits = (
         df.select(*by, F.explode(F.array_distinct(runs)).alias("run"))
-        .groupBy(*by, "run")
-        .agg(F.count(F.lit(1)).alias("n"))
-        # Asking for ``n`` keeps the search behind the grouping: once per distinct run.
-        .where(F.when(n > 0, (run == "") | run.rlike(pattern)))
+        .where((run == "") | run.rlike("|".join(words)))
         .select(*by, F.explode_outer(found).alias("word"))
         .distinct()
     )
@@ -103,9 +98,10 @@ def _any_word(name: Column, words: Sequence[str]) -> Column:
 
 
 def suitability(columns: DataFrame) -> DataFrame:
-    """Up to four task tags per table from ``(table_name, column_name, role)`` rows.
+    """The task tags of each table from ``(table_name, column_name, role)`` rows.
 
-    ``(table_name, columns, numeric_columns, tasks)``, the tags joined by ``; ``.
+    ``(table_name, columns, numeric_columns, tasks, confidence)``: all tags in their order, and the
+    confidence of each (High or Medium), both joined by ``; ``.
     """
     name = F.col("column_name")
     facts = columns.groupBy("table_name").agg(
@@ -117,20 +113,29 @@ def suitability(columns: DataFrame) -> DataFrame:
     )
     numeric = F.col("numeric_columns")
     some = numeric > 0
+    tells = [
+        (F.col("has_time") & some, F.lit("High")),
+        (F.col("has_nlp"), F.lit("High")),
+        (some & (numeric / F.col("columns") >= 0.4), F.lit("High")),
+        (some, F.when(F.col("text_columns") > 0, "High").otherwise("Medium")),
+        (numeric >= 3, F.lit("Medium")),
+    ]
     tags = F.array_compact(
         F.array(
-            F.when(F.col("has_time") & some, "Time Series Forecasting"),
-            F.when(F.col("has_nlp"), "NLP / Text Analysis"),
-            F.when(some & (numeric / F.col("columns") >= 0.4), "Regression"),
-            F.when(some, "Classification"),
-            F.when(numeric >= 3, "Clustering"),
+            *[
+                F.when(told, F.struct(F.lit(tag).alias("task"), sure.alias("confidence")))
+                for tag, (told, sure) in zip(K.TASK_TAGS, tells)
+            ]
         )
     )
-    chosen = F.when(F.size(tags) == 0, F.array(F.lit("Exploratory Data Analysis"))).otherwise(
-        F.slice(tags, 1, 4)
-    )
-    return facts.select(
-        "table_name", "columns", "numeric_columns", F.concat_ws("; ", chosen).alias("tasks")
+    default = F.array(F.struct(F.lit(K.DEFAULT_TASK).alias("task"), F.lit("Medium").alias("confidence")))
+    chosen = facts.withColumn("tags", F.when(F.size(tags) == 0, default).otherwise(tags))
+    return chosen.select(
+        "table_name",
+        "columns",
+        "numeric_columns",
+        F.concat_ws("; ", F.col("tags.task")).alias("tasks"),
+        F.concat_ws("; ", F.col("tags.confidence")).alias("confidence"),
     )
 
 
@@ -146,32 +151,34 @@ def readiness_facts(df: DataFrame) -> DataFrame:
 
     Everything in it describes the frame it is given, so a cleaned frame is scored as it is.
     """
-    nulls = null_counts(df).agg(
-        F.max("row_count").alias("row_count"),
-        F.count(F.lit(1)).alias("column_count"),
-        F.sum("null_count").alias("missing_cells"),
-        F.count_if(F.col("null_count") > F.col("row_count") * 0.5).alias("high_missing_columns"),
-    )
-    out = nulls.withColumn("duplicate_rows", duplicate_rows(df).select("duplicate_rows").scalar())
-    stats = summary(df, types.numeric_columns(df)) if types.numeric_columns(df) else {}
-    low = sum(_is_flat(s["mean"], s["std"]) for s in stats.values())
-    many = sum(  # one row per numeric column
-        r["outlier_count"] / max(stats[r["column_name"]]["rows"], 1) > 0.05
-        for r in (detect_outliers(df).collect() if stats else [])
-    )
-    tiers = imbalance_warnings(df).agg(
-        F.struct(
-            F.count_if(F.col("severity") == "SEVERE").alias("severe"),
-            F.count_if(F.col("severity") == "WARNING").alias("mild"),
-        )
-    )
-    return out.withColumns(
-        {
-            "low_variance_columns": F.lit(low),
-            "outlier_columns": F.lit(many),
-            "severe_columns": tiers.scalar()["severe"],
-            "mild_columns": tiers.scalar()["mild"],
-        }
+    numeric = types.numeric_columns(df)
+    exprs: dict = {("rows", None): F.count(F.lit(1))}
+    exprs |= {("nulls", c): F.count_if(col(c).isNull()) for c in df.columns}
+    for c in numeric:
+        x = finite(col(c).cast("double"))
+        exprs |= {("mean", c): F.avg(x), ("std", c): F.stddev_samp(x), ("size", c): F.approx_count_distinct(x)}
+    found = one_row(df, exprs)
+    rows, nulls = found["rows", None], {c: found["nulls", c] for c in df.columns}
+    bad = {
+        "high_missing": [c for c in df.columns if nulls[c] > rows * 0.5],
+        "low_variance": [c for c in numeric if _is_flat(found["mean", c], found["std", c])],
+        "outlier": [  # one row per numeric column
+            r["column_name"]
+            for r in (detect_outliers(df, sizes={c: found["size", c] for c in numeric}).collect() if numeric else [])
+            if r["outlier_count"] / max(rows, 1) > 0.05
+        ],
+        "missing": [c for c in df.columns if nulls[c]],
+    }
+    tier = {r["column_name"]: r["severity"] for r in imbalance_warnings(df).collect()}  # a row per column
+    bad["severe"] = [c for c in df.columns if tier.get(c) == "SEVERE"]
+    bad["mild"] = [c for c in df.columns if tier.get(c) == "WARNING"]
+    return duplicate_rows(df).select(
+        "row_count",
+        F.lit(len(df.columns)).cast("bigint").alias("column_count"),
+        F.lit(sum(nulls.values())).cast("bigint").alias("missing_cells"),
+        "duplicate_rows",
+        *[F.lit(len(names)).alias(f"{kind}_columns") for kind, names in bad.items()],
+        *[F.lit(", ".join(names)).alias(f"{kind}_names") for kind, names in bad.items()],
     )
 
 
@@ -211,7 +218,11 @@ def readiness_score(df: DataFrame) -> DataFrame:
 
 
 def recommendations(df: DataFrame) -> DataFrame:
-    """``(rule, fired)`` rows of every cleaning and readiness rule, in a fixed order by name."""
+    """``(rule, fired, columns)`` rows of every cleaning and readiness rule, in a fixed order by name.
+
+    ``columns`` lists the columns that a fired rule is about, in their order; null for rules about
+    rows or the whole table.
+    """
     missing, duplicates, _ = _rates()
     severe, mild = F.col("severe_columns") > 0, F.col("mild_columns") > 0
     fired = {
@@ -230,6 +241,22 @@ def recommendations(df: DataFrame) -> DataFrame:
     for rule in issues:
         clean = clean & ~fired[rule]
     fired["ready_for_modeling"] = clean
-    rows = [F.struct(F.lit(k).alias("rule"), v.alias("fired")) for k, v in fired.items()]
+    about = {
+        "plan_missing_values": "missing_names",
+        "impute_before_training": "missing_names",
+        "resample_severe_imbalance": "severe_names",
+        "watch_mild_imbalance": "mild_names",
+        "drop_half_empty_columns": "high_missing_names",
+        "drop_flat_columns": "low_variance_names",
+        "treat_outliers": "outlier_names",
+    }
+    rows = [
+        F.struct(
+            F.lit(k).alias("rule"),
+            v.alias("fired"),
+            F.when(v, F.col(about[k]) if k in about else F.lit(None).cast("string")).alias("columns"),
+        )
+        for k, v in fired.items()
+    ]
     return readiness_facts(df).select(F.inline(F.array(*rows)))
 

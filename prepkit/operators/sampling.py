@@ -22,7 +22,7 @@ from prepkit.sources.scratch import materialize
 
 
 def _keys(df: DataFrame, keys: Sequence[str] | None) -> list[Column]:
-    return cols(keys or df.columns)
+    return cols(df.columns if keys is None else keys)
 
 
 # ---------------------------------------------------------------------------------------------
@@ -78,7 +78,7 @@ def _sample_by_class(df, column, share: Column, keys, seed) -> DataFrame:
         .select(F.col("class").alias(k), share.cast("double").alias(p))
     )
     fraction = hash_fraction(order_hash(seed, _keys(df, keys)))
-    joined = lookup_join(df, shares, small, col(column) == F.col(k))
+    joined = lookup_join(df, shares, small, col(column), k)
     return joined.where(fraction < F.col(p)).select(*cols(df.columns))
 
 
@@ -117,7 +117,7 @@ def _attach(rows: DataFrame, lookup: DataFrame, small: bool, key: Column | None)
     """
     added = [c for c in lookup.columns if c != "k"]
     if key is not None:
-        joined = lookup_join(rows, lookup, small, key.eqNullSafe(F.col("k")), "left")
+        joined = lookup_join(rows, lookup, small, key, "k", null_safe=True, how="left")
         return joined.select(*cols(rows.columns), *[F.col(c) for c in added])
     found = lookup.collect()
     types_ = {f.name: f.dataType for f in lookup.schema.fields}

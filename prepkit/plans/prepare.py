@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -12,6 +12,7 @@ from prepkit.functions.columns import cols, fresh
 from prepkit.operators import encoding
 from prepkit.operators.sampling import assign_split
 from prepkit.sources.io import write_table
+from prepkit.sources.scratch import materialize
 
 
 @dataclass(frozen=True)
@@ -74,6 +75,7 @@ def prepare(
 
 
 def prepare_to_parquet(prepared: Prepared, train_path: str, test_path: str) -> None:
-    """Write both parts."""
-    write_table(prepared.train(), train_path)
-    write_table(prepared.test(), test_path)
+    """Write both parts; the plan runs once, into the shared folder, and the parts are cut from that."""
+    once = replace(prepared, data=materialize(prepared.data, "prepared"))
+    write_table(once.train(), train_path)
+    write_table(once.test(), test_path)

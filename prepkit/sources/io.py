@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from prepkit.functions import keywords as K
 from prepkit.functions.columns import col
 from prepkit.operators.aggregates import local_frame
 from prepkit.operators.profile import duplicate_rows
@@ -24,18 +23,32 @@ def file_format(path: str) -> str:
     return ext
 
 
+# Stands for a quoted empty CSV value while a file is read, to tell it from a missing one.
+_EMPTY_VALUE = "\u0000"
+
+
+def _is_json_array(spark: SparkSession, path: str) -> bool:
+    """Whether the first text of the files opens an array."""
+    first = spark.read.text(path).where(F.trim("value") != "").limit(1).collect()
+    return bool(first) and first[0][0].lstrip().startswith("[")
+
+
 def read_table(
     spark: SparkSession,
     path: str,
     fmt: str | None = None,
     schema: T.StructType | str | None = None,
-    multi_line: bool = False,
+    multi_line: bool | None = None,
 ) -> DataFrame:
-    """Read Parquet, CSV (with header) or JSON (one object per line).
+    """Read Parquet, CSV (with header) or JSON (one object per line, or an array).
+
+    No row is lost silently: a malformed one fails the read. By default a CSV value may hold line
+    breaks, and JSON files that open with an array are read as arrays; such files cannot be split
+    between tasks. ``multi_line=False`` promises one row per line, so that large files are split.
+    In CSV an empty value is null and a quoted empty one the empty string.
 
     Without a schema, CSV and JSON types are inferred, which costs a pass over the files; give a
-    schema for large inputs. ``multi_line`` reads JSON array files and CSV values with line
-    breaks; such files cannot be split between tasks.
+    schema for large inputs.
     """
     fmt = (fmt or file_format(path)).lower()
     if fmt not in FORMATS:
@@ -44,9 +57,24 @@ def read_table(
     if fmt == "parquet":
         return reader.parquet(path)
     if fmt == "json":
-        return reader.json(path, multiLine=multi_line)
-    return reader.csv(
-        path, header=True, inferSchema=schema is None, multiLine=multi_line, escape='"'
+        whole = _is_json_array(spark, path) if multi_line is None else multi_line
+        return reader.json(path, multiLine=whole, mode="FAILFAST")
+    df = reader.csv(
+        path,
+        header=True,
+        inferSchema=schema is None,
+        multiLine=multi_line is not False,
+        escape='"',
+        mode="FAILFAST",
+        emptyValue=_EMPTY_VALUE,
+    )
+    return df.select(
+        *[
+            F.when(col(f.name) == _EMPTY_VALUE, "").otherwise(col(f.name)).alias(f.name)
+            if isinstance(f.dataType, T.StringType)
+            else col(f.name)
+            for f in df.schema.fields
+        ]
     )
 
 
@@ -61,7 +89,13 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "err
     elif fmt == "json":
         writer.option("ignoreNullFields", "false").json(path)
     else:
-        writer.option("header", "true").option("escape", '"').csv(path)
+        writer.options(
+            header="true",
+            escape='"',
+            emptyValue='""',
+            ignoreLeadingWhiteSpace="false",
+            ignoreTrailingWhiteSpace="false",
+        ).csv(path)
 
 
 def convert_to_parquet(
@@ -70,7 +104,7 @@ def convert_to_parquet(
     target: str,
     fmt: str | None = None,
     schema: T.StructType | str | None = None,
-    multi_line: bool = False,
+    multi_line: bool | None = None,
 ) -> DataFrame:
     """Convert a supported input to snappy Parquet and return a scan of the result."""
     write_table(read_table(spark, source, fmt, schema, multi_line), target)
@@ -92,36 +126,38 @@ def readable_size(size: int) -> str:
     return f"{size} B" if step == 0 else f"{size / 1024**step:.2f} {SIZE_UNITS[step]}"
 
 
-def stored_files(df: DataFrame) -> DataFrame:
-    """``(file_path, file_size, rows)`` of the files behind a scan."""
-    return (
-        df.select(F.col("_metadata.file_path"), F.col("_metadata.file_size"))
-        .groupBy("file_path", "file_size")
-        .agg(F.count(F.lit(1)).alias("rows"))
-    )
+def size_text(size: Column) -> Column:
+    """:func:`readable_size` of a column of bytes; null for null."""
+    text = F.when(size < 1024, F.concat(size.cast("string"), F.lit(" B")))
+    for i, unit in enumerate(SIZE_UNITS[1:], start=1):
+        scaled = F.concat(F.format_string("%.2f", size / 1024.0**i), F.lit(" " + unit))
+        scaled = F.when(size.isNotNull(), scaled)
+        text = text.when(size < 1024 ** (i + 1), scaled) if unit != "GB" else text.otherwise(scaled)
+    return text
+
+
+def stored_files(df: DataFrame) -> dict[str, int]:
+    """Path and length of the files behind a scan, with or without rows, from their folders' listing."""
+    spark, lengths = df.sparkSession, {}
+    paths = [spark._jvm.org.apache.hadoop.fs.Path(p) for p in df.inputFiles()]
+    for folder in {p.getParent().toString(): p.getParent() for p in paths}.values():
+        for status in folder.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(folder):
+            lengths[status.getPath().toUri().getPath()] = status.getLen()
+    return {p.toString(): lengths[p.toUri().getPath()] for p in paths}
 
 
 def dataset_size(df: DataFrame) -> DataFrame:
-    """``(files, total_bytes, readable)`` of the files behind a scan that hold rows."""
-    total = F.col("total_bytes")
-    steps = F.when(total < 1024, F.concat(total.cast("string"), F.lit(" B")))
-    for i, unit in enumerate(SIZE_UNITS[1:], start=1):
-        text = F.concat(F.format_string("%.2f", total / 1024.0**i), F.lit(" " + unit))
-        steps = steps.when(total < 1024 ** (i + 1), text) if unit != "GB" else steps.otherwise(text)
-    return (
-        stored_files(df)
-        .agg(
-            F.count(F.lit(1)).alias("files"),
-            F.coalesce(F.sum("file_size"), F.lit(0)).alias("total_bytes"),
-        )
-        .withColumn("readable", steps)
-    )
+    """``(files, total_bytes, readable)`` of the files behind a scan; no row of them is read."""
+    sizes = stored_files(df)
+    found = local_frame(df.sparkSession, [(len(sizes), sum(sizes.values()))], "files bigint, total_bytes bigint")
+    return found.withColumn("readable", size_text(F.col("total_bytes")))
 
 
 def preview(df: DataFrame, limit: int = 20, order_by: list[str] | None = None) -> DataFrame:
-    """The first rows, 1 to 500 of them; with ``order_by`` the first in that order."""
-    n = max(K.PREVIEW_ROWS[0], min(K.PREVIEW_ROWS[1], limit))
-    return (df.orderBy(*[col(c) for c in order_by]) if order_by else df).limit(n)
+    """The first ``limit`` rows; with ``order_by`` the first in that order."""
+    if limit < 1:
+        raise ValueError(f"limit must be 1 or more: {limit}")
+    return (df.orderBy(*[col(c) for c in order_by]) if order_by else df).limit(limit)
 
 
 def preview_columns(df: DataFrame) -> DataFrame:

@@ -7,7 +7,11 @@ from itertools import combinations, product
 from prepkit.operators import charts as C
 from prepkit.operators import correlation as R
 from queryset.common import (
+    DOCUMENTS_ROUGH,
+    EVENTS_FINITE,
     EVENTS_LINE,
+    EVENTS_NOT_FINITE,
+    EVENTS_WIDE,
     LINEITEM_HOLES,
     LINEITEM_NUMBERS,
     order_hash_sql,
@@ -90,6 +94,12 @@ QUERIES = {
     "chart_bars_of_numbers": lambda s, d: rounded(
         C.column_chart(read(s, d, "part"), "p_size", "bar", 20)
     ),
+    "histogram_nan": lambda s, d: rounded(C.histogram(EVENTS_NOT_FINITE.load(s, d), "value")),
+    "histogram_statistics": lambda s, d: rounded(
+        C.histogram_statistics(LINEITEM_HOLES.load(s, d), "l_quantity")
+    ),
+    "bar_documents_text": lambda s, d: C.bar(DOCUMENTS_ROUGH.load(s, d), "text"),
+    "correlation_wide": lambda s, d: rounded(R.correlation_matrix(EVENTS_WIDE.load(s, d))),
     "box_n_chars": lambda s, d: rounded(C.box(read(s, d, "documents"), "n_chars")),
     "box_with_nulls": lambda s, d: rounded(C.box(LINEITEM_HOLES.load(s, d), "l_discount")),
     "bar_documents_source": lambda s, d: C.column_chart(read(s, d, "documents"), "source"),
@@ -113,17 +123,22 @@ QUERIES = {
 
 ORACLES = {
     "histogram_events_value": _histogram_sql("events", "value", 15),
-    "histogram_most_bins": _histogram_sql("lineitem", "l_extendedprice", 80),
+    "histogram_most_bins": _histogram_sql("lineitem", "l_extendedprice", 500),
     "histogram_with_nulls": _histogram_sql(_holes, "l_quantity", 10),
     "histogram_constant": _histogram_sql(_line, "k", 15),
     "chart_bars_of_numbers": _histogram_sql("part", "p_size", 20),
+    "histogram_nan": _histogram_sql(EVENTS_FINITE, "value", 15),
+    "histogram_statistics": f"""
+SELECT b.*, (SELECT count(l_quantity) FROM {_holes}) AS non_null FROM ({_box_sql(_holes, "l_quantity")}) b""",
+    "bar_documents_text": _bar_sql(DOCUMENTS_ROUGH.sql(), "text"),
+    "correlation_wide": _matrix_sql(EVENTS_WIDE.sql(), EVENTS_WIDE.columns),
     "box_n_chars": _box_sql("documents", "n_chars"),
     "box_with_nulls": _box_sql(_holes, "l_discount"),
     "bar_documents_source": _bar_sql("documents", "source"),
     "bar_part_type": _bar_sql("part", "p_type"),
     "bar_dates": _bar_sql("(SELECT CAST(o_orderdate AS DATE) AS day FROM orders)", "day"),
     "scatter_events": _scatter_sql("events", "user_id", "value", 500, "event_id"),
-    "scatter_most_rows": _scatter_sql("orders", "o_custkey", "o_totalprice", 2000, "o_orderkey"),
+    "scatter_most_rows": _scatter_sql("orders", "o_custkey", "o_totalprice", 9999, "o_orderkey"),
     "correlation_matrix": _matrix_sql("lineitem", LINEITEM_NUMBERS),
     "correlation_with_nulls": _matrix_sql(_holes, LINEITEM_NUMBERS),
     "correlation_of_constants": _matrix_sql(_line, ["event_id", "a", "b", "c", "k"]),

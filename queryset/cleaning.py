@@ -8,6 +8,8 @@ from prepkit.operators import outliers as O
 from queryset.common import (
     COLUMNS,
     DOCUMENTS_ROUGH,
+    EVENTS_FINITE,
+    EVENTS_NOT_FINITE,
     EVENTS_PAIR,
     LINEITEM_HOLES,
     LINEITEM_NUMBERS,
@@ -29,6 +31,9 @@ EVENTS_TEXT = Frame(
     },
     only=["event_id"],
 )
+DOCUMENTS_TEXT_HOLES = Frame(
+    "documents", {"text": "CASE WHEN doc_id % 9 = 0 THEN NULL ELSE text END"}, only=["doc_id", "text"]
+)
 CAST_PLAN = {
     "whole": "int",
     "mixed": "int",
@@ -165,6 +170,7 @@ QUERIES = {
     "fill_mean": _fill("fill_mean"),
     "fill_median": _fill("fill_median"),
     "fill_mode": _fill("fill_mode"),
+    "fill_mode_documents": lambda s, d: C.fill_missing(DOCUMENTS_TEXT_HOLES.load(s, d), "fill_mode")[0],
     "fill_zero": _fill("fill_zero"),
     "fill_empty": _fill("fill_empty"),
     "fill_map": _fill(
@@ -188,6 +194,7 @@ QUERIES = {
         EVENTS_HOLES.load(s, d), "zscore", drop_null=True
     ),
     "normalize_minmax": lambda s, d: E.normalize(LINEITEM_HOLES.load(s, d)),
+    "normalize_nan": lambda s, d: E.normalize(EVENTS_NOT_FINITE.load(s, d)).where("value <= 1"),
     "label_encode": lambda s, d: E.label_encode(DOCUMENTS_ROUGH.load(s, d)),
     "label_encode_part": lambda s, d: E.label_encode(read(s, d, "part")),
 }
@@ -235,6 +242,8 @@ UNION ALL SELECT 'absent', 'int', 'column not found'""",
         },
     ),
     "fill_mode": _fill_sql(_holes, _mode),
+    "fill_mode_documents": f"""
+SELECT doc_id, coalesce(text, {mode_sql(DOCUMENTS_TEXT_HOLES.sql(), "text")}) AS text FROM {DOCUMENTS_TEXT_HOLES.sql()}""",
     "fill_zero": _fill_sql(_holes, {"l_quantity": "0", "l_discount": "0", "l_returnflag": "''"}),
     "fill_empty": _fill_sql(_holes, {"l_returnflag": "''"}),
     "fill_map": "WITH kept AS (SELECT * FROM "
@@ -266,6 +275,10 @@ UNION ALL SELECT 'absent', 'int', 'column not found'""",
     "outliers_legacy_drop_null": outside_sql(EVENTS_HOLES.sql(), _eh, drop_null=True),
     "outliers_legacy_z_drop_null": outside_sql(EVENTS_HOLES.sql(), _eh, "zscore", drop_null=True),
     "normalize_minmax": _scaled_sql(_holes, LINEITEM_NUMBERS, _names),
+    "normalize_nan": f"""
+SELECT (event_id::DOUBLE - lo) / (hi - lo) AS event_id, (value - (SELECT min(value) FROM {EVENTS_FINITE})) /
+  ((SELECT max(value) FROM {EVENTS_FINITE}) - (SELECT min(value) FROM {EVENTS_FINITE})) AS value
+FROM {EVENTS_FINITE}, (SELECT min(event_id) AS lo, max(event_id) AS hi FROM events)""",
     "label_encode": f"""
 SELECT doc_id, text, {code_sql("lang")} AS lang, {code_sql("source")} AS source, n_chars, flat
 FROM {DOCUMENTS_ROUGH.sql()}""",

@@ -116,6 +116,32 @@ DOCUMENTS_ROUGH = Frame(
 )
 
 
+# Twenty common values and ten rare ones, which are not among the twenty most frequent.
+ORDERS_RARE = Frame(
+    "orders",
+    {
+        "mark": "CASE WHEN o_orderkey % 400 < 10 THEN concat('rare', CAST(o_orderkey % 10 AS STRING)) "
+        "ELSE concat('v', CAST(o_orderkey % 20 AS STRING)) END"
+    },
+    only=["o_orderkey"],
+)
+# More than twenty numeric columns.
+EVENTS_WIDE = Frame(
+    "events", {f"c{i}": f"value * {i} + user_id % {i + 2}" for i in range(1, 25)}, only=["event_id"]
+)
+EVENTS_NOT_FINITE = Frame(
+    "events",
+    {
+        "value": "CASE WHEN event_id % 10 = 0 THEN CAST('NaN' AS DOUBLE) "
+        "WHEN event_id % 10 = 1 THEN CAST('Infinity' AS DOUBLE) ELSE value END"
+    },
+    only=["event_id", "value"],
+)
+EVENTS_FINITE = "(SELECT event_id, value FROM events WHERE event_id % 10 > 1)"
+# A column that hints at a target by its name, and text columns that have to be counted.
+DOCUMENTS_HINTS = Frame("documents", {"class_of_size": "n_chars % 7"}, only=["doc_id", "lang", "source", "text"])
+
+
 def union_sql(parts) -> str:
     return "\nUNION ALL\n".join(parts)
 

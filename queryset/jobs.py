@@ -21,6 +21,11 @@ from queryset.common import (
 from queryset.profiling import _duplicates_sql
 from queryset.sampling import ranked_sql, resample_sql
 
+# Sizes of every magnitude.
+_size = (
+    "CASE l_linenumber WHEN 1 THEN l_partkey % 1024 WHEN 2 THEN l_partkey * 4099 "
+    "WHEN 3 THEN l_partkey * 4000037 ELSE l_partkey * 1000000007 END"
+)
 CUSTOMER_PLAN = CleanPlan(
     filter_columns=["c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment"],
     remove_duplicates=True,
@@ -221,10 +226,15 @@ QUERIES = {
     "roundtrip_parquet": _round_trip("lineitem", "parquet"),
     "roundtrip_csv": _round_trip("orders", "csv"),
     "roundtrip_json": _round_trip("documents", "json"),
+    "roundtrip_csv_documents": _round_trip("documents", "csv"),
     "convert_csv": _convert("part", "csv", infer=False),
+    "convert_csv_documents": _convert("documents", "csv", infer=True),
     "convert_json": _convert("conversations", "json", infer=True),
     "preview": lambda s, d: io.preview(read(s, d, "orders"), 9999, ["o_orderkey"]),
     "preview_default": lambda s, d: io.preview(read(s, d, "documents"), order_by=["doc_id"]),
+    "size_text": lambda s, d: read(s, d, "lineitem").select(
+        "l_orderkey", "l_linenumber", io.size_text(F.expr(_size)).alias("size")
+    ),
     "dataset_size": lambda s, d: io.dataset_size(read(s, d, "lineitem")),
     "fleet_bytes": _fleet_bytes,
 }
@@ -245,8 +255,17 @@ SELECT row_count, distinct_rows, 6::BIGINT AS column_count FROM ({_duplicates_sq
     "roundtrip_parquet": "SELECT * FROM lineitem",
     "roundtrip_csv": "SELECT * FROM orders",
     "roundtrip_json": "SELECT * FROM documents",
+    "roundtrip_csv_documents": "SELECT * FROM documents",
     "convert_csv": "SELECT * FROM part",
+    "convert_csv_documents": "SELECT * FROM documents",
     "convert_json": "SELECT * FROM conversations",
-    "preview": "SELECT * FROM orders ORDER BY o_orderkey LIMIT 500",
+    "preview": "SELECT * FROM orders ORDER BY o_orderkey LIMIT 9999",
     "preview_default": "SELECT * FROM documents ORDER BY doc_id LIMIT 20",
+    "size_text": """
+SELECT l_orderkey, l_linenumber, CASE WHEN size < 1024 THEN size || ' B'
+  WHEN size < 1048576 THEN printf('%.2f KB', size / 1024.0::DOUBLE)
+  WHEN size < 1073741824 THEN printf('%.2f MB', size / 1048576.0::DOUBLE)
+  ELSE printf('%.2f GB', size / 1073741824.0::DOUBLE) END AS size
+FROM (SELECT *, CASE l_linenumber WHEN 1 THEN l_partkey % 1024 WHEN 2 THEN l_partkey * 4099
+  WHEN 3 THEN l_partkey * 4000037 ELSE l_partkey * 1000000007 END AS size FROM lineitem)""",
 }

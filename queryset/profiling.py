@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from prepkit import profile_table
 from prepkit.operators import profile as P
 from queryset.common import (
@@ -11,6 +13,7 @@ from queryset.common import (
     LINEITEM_HOLES,
     LINEITEM_NUMBERS,
     ORDERS_DUPS,
+    ORDERS_RARE,
     TABLES,
     quantile_sql,
     read,
@@ -74,7 +77,7 @@ JOIN (VALUES {roles}) r(column_name, role) USING (column_name)
 LEFT JOIN ({_numeric_sql(src, LINEITEM_NUMBERS)}) n USING (column_name)"""
 
 
-def _top_sql(src: str, columns) -> str:
+def _top_sql(src: str, columns, limit: int | None = 20) -> str:
     counted = union_sql(
         f"SELECT '{c}' AS column_name, {c} AS value, count(*) AS n, "
         f"(SELECT count(*) FROM {src}) AS total FROM {src} WHERE {c} IS NOT NULL GROUP BY {c}"
@@ -85,14 +88,14 @@ SELECT column_name, value, n, round(n * 100.0 / total, 2)::DOUBLE AS pct, rank::
   SELECT *, count(*) OVER (PARTITION BY column_name) AS d,
     row_number() OVER (PARTITION BY column_name ORDER BY n DESC, value) AS rank
   FROM ({counted}))
-WHERE d < least(total * 0.2::DOUBLE, 50) AND rank <= 20"""
+WHERE d < least(total * 0.2::DOUBLE, 50){"" if limit is None else f" AND rank <= {limit}"}"""
 
 
 def _warnings_sql(src: str, columns) -> str:
     return f"""
 SELECT column_name, round(max(n) / min(n), 2) AS ratio,
   CASE WHEN max(n) / min(n) > 10 THEN 'SEVERE' ELSE 'WARNING' END AS severity
-FROM ({_top_sql(src, columns)}) GROUP BY column_name
+FROM ({_top_sql(src, columns, None)}) GROUP BY column_name
 HAVING count(*) >= 2 AND max(n) / min(n) > 3"""
 
 
@@ -145,6 +148,19 @@ def _fleet_sql() -> str:
     )
 
 
+def _fleet_by_source(spark, d):
+    """One profile row per source, as if each were a data set of its own."""
+    status = F.when(F.col("table_name").isin("src1", "src2"), "CLEANED").when(
+        F.col("table_name") == "src3", "EMPTY"
+    )
+    return P.fleet_totals(
+        read(spark, d, "documents")
+        .groupBy(F.col("source").alias("table_name"))
+        .agg(F.count(F.lit(1)).alias("row_count"), F.sum("n_chars").alias("bytes"))
+        .withColumns({"column_count": F.lit(5).cast("bigint"), "status": status.otherwise("PROFILED")})
+    )
+
+
 _holes, _hole_names = LINEITEM_HOLES.sql(), COLUMNS["lineitem"]
 
 QUERIES = {
@@ -179,6 +195,9 @@ QUERIES = {
     "missing_rate_top3": lambda s, d: P.most_missing(LINEITEM_HOLES.load(s, d)),
     "fleet_profiles": _fleet,
     "fleet_totals": lambda s, d: P.fleet_totals(_fleet(s, d)),
+    "fleet_totals_with_sizes": _fleet_by_source,
+    "imbalance_warnings_many_values": lambda s, d: P.imbalance_warnings(ORDERS_RARE.load(s, d)),
+    "categorical_flag_no_text": lambda s, d: P.categorical_flags(read(s, d, "labels")),
 }
 
 ORACLES = {
@@ -217,6 +236,16 @@ ORDER BY null_pct DESC, ordinal LIMIT 3""",
     "fleet_profiles": _fleet_sql(),
     "fleet_totals": f"""
 SELECT count(*) AS tables, sum(row_count)::BIGINT AS total_rows,
-  sum(column_count)::BIGINT AS total_columns, count(*) FILTER (status = 'PROFILED') AS profiled,
+  sum(column_count)::BIGINT AS total_columns, NULL::BIGINT AS total_bytes,
+  count(*) FILTER (status = 'PROFILED') AS profiled, 0::BIGINT AS cleaned,
   count(*) FILTER (status = 'EMPTY') AS empty FROM ({_fleet_sql()})""",
+    "fleet_totals_with_sizes": """
+SELECT count(DISTINCT source) AS tables, count(*) AS total_rows, count(DISTINCT source) * 5 AS total_columns,
+  sum(n_chars)::BIGINT AS total_bytes, count(DISTINCT source) FILTER (source <> 'src3') AS profiled,
+  count(DISTINCT source) FILTER (source IN ('src1', 'src2')) AS cleaned,
+  count(DISTINCT source) FILTER (source = 'src3') AS empty FROM documents""",
+    "imbalance_warnings_many_values": _warnings_sql(ORDERS_RARE.sql(), ["mark"]),
+    "categorical_flag_no_text": f"""
+SELECT column_name, ordinal, row_count, distinct_count, true AS is_categorical
+FROM ({_counts_sql("labels", COLUMNS["labels"])}) WHERE false""",
 }

@@ -10,6 +10,7 @@ from prepkit.operators import reports as R
 from queryset.common import (
     COLUMNS,
     CUSTOMER_ROUGH,
+    DOCUMENTS_HINTS,
     DOCUMENTS_ROUGH,
     EVENTS_LINE,
     LINEITEM_NUMBERS,
@@ -65,16 +66,19 @@ def _any(words) -> str:
 def _suitability_sql() -> str:
     return f"""
 WITH f AS (SELECT table_name, count(*) AS columns, count(*) FILTER (role = 'numeric') AS numeric_columns,
-  {_any(K.TIME_KEYWORDS)} AS has_time, {_any(K.NLP_KEYWORDS)} AS has_nlp
+  count(*) FILTER (role = 'text') AS text_columns, {_any(K.TIME_KEYWORDS)} AS has_time, {_any(K.NLP_KEYWORDS)} AS has_nlp
   FROM ({_catalog_sql()}) GROUP BY table_name),
 t AS (SELECT *, list_filter([
-  CASE WHEN has_time AND numeric_columns > 0 THEN 'Time Series Forecasting' END,
-  CASE WHEN has_nlp THEN 'NLP / Text Analysis' END,
-  CASE WHEN numeric_columns > 0 AND numeric_columns / columns >= 0.4 THEN 'Regression' END,
-  CASE WHEN numeric_columns > 0 THEN 'Classification' END,
-  CASE WHEN numeric_columns >= 3 THEN 'Clustering' END], lambda x: x IS NOT NULL) AS tags FROM f)
+  CASE WHEN has_time AND numeric_columns > 0 THEN 'Time Series Forecasting=High' END,
+  CASE WHEN has_nlp THEN 'NLP / Text Analysis=High' END,
+  CASE WHEN numeric_columns > 0 AND numeric_columns / columns >= 0.4 THEN 'Regression=High' END,
+  CASE WHEN numeric_columns > 0 AND text_columns > 0 THEN 'Classification=High'
+       WHEN numeric_columns > 0 THEN 'Classification=Medium' END,
+  CASE WHEN numeric_columns >= 3 THEN 'Clustering=Medium' END], lambda x: x IS NOT NULL) AS tags FROM f),
+c AS (SELECT *, CASE WHEN len(tags) = 0 THEN ['Exploratory Data Analysis=Medium'] ELSE tags END AS chosen FROM t)
 SELECT table_name, columns, numeric_columns,
-  CASE WHEN len(tags) = 0 THEN 'Exploratory Data Analysis' ELSE array_to_string(tags[1:4], '; ') END AS tasks FROM t"""
+  array_to_string(list_transform(chosen, lambda x: split_part(x, '=', 1)), '; ') AS tasks,
+  array_to_string(list_transform(chosen, lambda x: split_part(x, '=', 2)), '; ') AS confidence FROM c"""
 
 
 def _is_id(c: str) -> bool:
@@ -99,7 +103,7 @@ def _suggestions_sql(src: str, columns) -> str:
         ]
     parts += [
         f"SELECT '{a}', 'correlated', '{b}' FROM {src} HAVING min({a}) < max({a}) AND min({b}) < max({b}) AND abs(corr({a}, {b})) > 0.95"
-        for a, b in combinations(numbers[:20], 2)
+        for a, b in combinations(numbers, 2)
     ]
     return f"SELECT * FROM ({union_sql(parts)}) s(column_name, suggestion, detail)"
 
@@ -115,7 +119,7 @@ SELECT row_number() OVER (ORDER BY place)::INTEGER AS rank, column_name FROM ({f
 WHERE EXISTS (SELECT 1 FROM (VALUES {_values(K.TARGET_KEYWORDS)}) k(w)
               WHERE starts_with(lower(column_name), w) OR ends_with(lower(column_name), w))
    OR counted AND d BETWEEN 2 AND 19
-ORDER BY place LIMIT 10"""
+ORDER BY place"""
 
 
 def _category_targets_sql(src: str, columns) -> str:
@@ -128,7 +132,7 @@ def _category_targets_sql(src: str, columns) -> str:
 SELECT row_number() OVER (ORDER BY place)::INTEGER AS rank, column_name FROM ({facts}) f
 WHERE EXISTS (SELECT 1 FROM (VALUES {_values(K.TARGET_HINTS)}) k(w) WHERE contains(lower(column_name), w))
    OR is_text AND d < least(n * 0.2::DOUBLE, 50) AND d BETWEEN 2 AND 49
-ORDER BY place LIMIT 5"""
+ORDER BY place"""
 
 
 def _facts_sql(src: str, names, numbers, text) -> str:
@@ -143,13 +147,37 @@ def _facts_sql(src: str, names, numbers, text) -> str:
         f"THEN 1 ELSE 0 END FROM {src}, (SELECT {quantile_sql(c, 0.25)} AS q1, {quantile_sql(c, 0.75)} AS q3 FROM {src}))"
         for c in numbers
     )
+
+    def listed(part: str) -> str:
+        return "concat_ws(', ', " + ", ".join(part.split(" + ")) + ")"
+
+    lists = {
+        "missing_names": " + ".join(f"CASE WHEN count(*) > count({c}) THEN '{c}' END" for c in names),
+        "high_names": " + ".join(f"CASE WHEN count(*) - count({c}) > count(*) * 0.5 THEN '{c}' END" for c in names),
+        "low_names": " + ".join(
+            f"CASE WHEN avg({c}) <> 0 AND abs(stddev_samp({c}) / avg({c})) < 0.01 OR avg({c}) = 0 AND stddev_samp({c}) = 0 THEN '{c}' END"
+            for c in numbers
+        ),
+    }
+    lists = ", ".join(f"{listed(v)} AS {k}" for k, v in lists.items())
+    outlier_names = "concat_ws(', ', " + ", ".join(
+        f"(SELECT CASE WHEN count(*) FILTER ({c} < q1 - 1.5 * (q3 - q1) OR {c} > q3 + 1.5 * (q3 - q1)) / count(*) > 0.05 "
+        f"THEN '{c}' END FROM {src}, (SELECT {quantile_sql(c, 0.25)} AS q1, {quantile_sql(c, 0.75)} AS q3 FROM {src}))"
+        for c in numbers
+    ) + ")"
+    place = " ".join(f"WHEN '{c}' THEN {i}" for i, c in enumerate(text))
+    tiers = ", ".join(
+        f"(SELECT string_agg(column_name, ', ' ORDER BY CASE column_name {place} END) "
+        f"FROM ({_warnings_sql(src, text)}) WHERE severity = '{tier}') AS {name}"
+        for tier, name in (("SEVERE", "severe_names"), ("WARNING", "mild_names"))
+    )
     return f"""
-SELECT m.row_count, {len(names)} AS column_count, m.missing_cells, d.duplicate_rows, h.high, h.low,
+SELECT m.row_count, h.missing_names, h.high_names, h.low_names, {outlier_names} AS outlier_names, {tiers}, {len(names)} AS column_count, m.missing_cells, d.duplicate_rows, h.high, h.low,
   {many} AS outliers,
   (SELECT count(*) FROM ({_warnings_sql(src, text)}) WHERE severity = 'SEVERE') AS severe,
   (SELECT count(*) FROM ({_warnings_sql(src, text)}) WHERE severity = 'WARNING') AS mild
 FROM ({_missing_sql(src, names)}) m, ({_duplicates_sql(src)}) d,
-  (SELECT {high} AS high, {low} AS low FROM {src}) h"""
+  (SELECT {high} AS high, {low} AS low, {lists} FROM {src}) h"""
 
 
 def _readiness_sql(facts: str) -> str:
@@ -182,7 +210,19 @@ def _recommendations_sql(facts: str) -> str:
         "treat_outliers": "outliers > 0",
         "ready_for_modeling": "mr <= 0.05 AND dr <= 0.01 AND high = 0 AND severe = 0 AND low = 0",
     }
-    rows = union_sql(f"SELECT '{k}' AS rule, {v} AS fired FROM g" for k, v in rules.items())
+    about = {
+        "plan_missing_values": "missing_names",
+        "impute_before_training": "missing_names",
+        "resample_severe_imbalance": "severe_names",
+        "watch_mild_imbalance": "mild_names",
+        "drop_half_empty_columns": "high_names",
+        "drop_flat_columns": "low_names",
+        "treat_outliers": "outlier_names",
+    }
+    rows = union_sql(
+        f"SELECT '{k}' AS rule, {v} AS fired, CASE WHEN {v} THEN {about.get(k, 'NULL::VARCHAR')} END AS columns FROM g"
+        for k, v in rules.items()
+    )
     return f"""
 WITH f AS ({facts}),
 g AS (SELECT *, missing_cells / (row_count * column_count) AS mr, duplicate_rows / row_count AS dr FROM f)
@@ -214,7 +254,7 @@ QUERIES = {
     "target_columns_labels": lambda s, d: X.target_columns(read(s, d, "labels")),
     "target_columns_documents": lambda s, d: X.target_columns(_rough.load(s, d)),
     "target_columns_by_category": lambda s, d: X.category_targets(read(s, d, "lineitem")),
-    "target_columns_by_hint": lambda s, d: X.category_targets(read(s, d, "embeddings")),
+    "target_columns_by_hint": lambda s, d: X.category_targets(DOCUMENTS_HINTS.load(s, d)),
     "text_length_feature": lambda s, d: X.text_length(read(s, d, "documents"), "text"),
     "hash_encode": lambda s, d: X.hash_encode(read(s, d, "pages"), "url", 32),
     "domain_tag_documents": lambda s, d: R.domain_tags(read(s, d, "documents"), ["source"], "text"),
@@ -239,7 +279,9 @@ ORACLES = {
     "target_columns_labels": _targets_sql("labels", COLUMNS["labels"]),
     "target_columns_documents": _targets_sql(_rough.sql(), _rough.columns),
     "target_columns_by_category": _category_targets_sql("lineitem", COLUMNS["lineitem"]),
-    "target_columns_by_hint": _category_targets_sql("embeddings", COLUMNS["embeddings"]),
+    "target_columns_by_hint": _category_targets_sql(
+        DOCUMENTS_HINTS.sql(), DOCUMENTS_HINTS.columns
+    ),
     "text_length_feature": "SELECT *, length(text)::INTEGER AS text_length FROM documents",
     "hash_encode": (
         "SELECT *, CAST(('0x' || substr(md5(url), 1, 8)) AS BIGINT) % 32 AS url_hash FROM pages"

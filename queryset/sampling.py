@@ -106,9 +106,9 @@ QUERIES = {
     "undersample_conversations": _keyed(
         S.undersample, "conversations", "role", keys=["conv_id", "turn"]
     ),
-    "undersample_many_classes": lambda s, d: S.undersample(read(s, d, "lineitem"), "l_partkey")
-    .groupBy("l_partkey")
-    .agg(F.count(F.lit(1)).alias("n")),
+    "undersample_many_classes": _keyed(
+        S.undersample, "lineitem", "l_partkey", keys=["l_orderkey", "l_linenumber"]
+    ),
     "undersample_copies": _copies_class(S.undersample),
     "oversample_exact": _keyed(S.oversample, "labels", "quality", keys=["doc_id"]),
     "oversample_unknown_class": lambda s, d: S.oversample(
@@ -125,13 +125,11 @@ QUERIES = {
         S.assign_split, "orders", 0.2, keys=KEY, stratify="o_orderpriority"
     ),
     "split_stratified_unknown": lambda s, d: S.assign_split(
-        LINEITEM_HOLES.load(s, d), 0.1, "l_returnflag"
-    )
-    .groupBy("l_returnflag", "split")
-    .agg(F.count(F.lit(1)).alias("n")),
-    "split_exact_copies": lambda s, d: S.assign_split(ORDERS_DUPS.load(s, d), 0.35, exact=True)
-    .groupBy("split")
-    .agg(F.count(F.lit(1)).alias("n")),
+        LINEITEM_HOLES.load(s, d), 0.1, "l_returnflag", keys=["l_orderkey", "l_linenumber"]
+    ),
+    "split_exact_copies": lambda s, d: S.assign_split(
+        ORDERS_DUPS.load(s, d), 0.35, exact=True, keys=KEY
+    ),
     "sample_stats": _stats,
 }
 
@@ -158,8 +156,9 @@ ORACLES = {
     "undersample_conversations": resample_sql(
         "conversations", _conv, "role", "smallest", "conv_id", "turn"
     ),
-    "undersample_many_classes": """
-SELECT l_partkey, min(count(*)) OVER () AS n FROM lineitem GROUP BY l_partkey""",
+    "undersample_many_classes": resample_sql(
+        "lineitem", COLUMNS["lineitem"], "l_partkey", "smallest", "l_orderkey", "l_linenumber"
+    ),
     "undersample_copies": resample_sql(_copies, _l, "quality", "smallest", "doc_id", "quality", "toxic"),
     "oversample_exact": resample_sql("labels", _l, "quality", "largest", "doc_id"),
     "oversample_unknown_class": resample_sql(_known, _dc, "lang", "largest", "doc_id"),
@@ -178,13 +177,17 @@ FROM {_dc_sql} GROUP BY lang""",
     "split_stratified": _split_sql(
         "orders", _o, "o_orderpriority", "round(n_class * 0.2::DOUBLE)", "o_orderkey"
     ),
-    "split_stratified_unknown": f"""
-SELECT l_returnflag, split, CAST(CASE split WHEN 'test' THEN round(n * 0.1::DOUBLE) ELSE n - round(n * 0.1::DOUBLE) END AS BIGINT) AS n
-FROM (SELECT l_returnflag, count(*) AS n FROM {LINEITEM_HOLES.sql()} GROUP BY l_returnflag),
-  (VALUES ('test'), ('train')) p(split)""",
-    "split_exact_copies": f"""
-SELECT split, CAST(CASE split WHEN 'test' THEN floor(n * 0.35::DOUBLE) ELSE n - floor(n * 0.35::DOUBLE) END AS BIGINT) AS n
-FROM (SELECT count(*) AS n FROM {ORDERS_DUPS.sql()}), (VALUES ('test'), ('train')) p(split)""",
+    "split_stratified_unknown": _split_sql(
+        LINEITEM_HOLES.sql(),
+        LINEITEM_HOLES.columns,
+        "l_returnflag",
+        "round(n_class * 0.1::DOUBLE)",
+        "l_orderkey",
+        "l_linenumber",
+    ),
+    "split_exact_copies": _split_sql(
+        ORDERS_DUPS.sql(), _o, None, "greatest(1, floor(n_class * 0.35::DOUBLE))", "o_orderkey"
+    ),
     "sample_stats": f"""
 SELECT count(*) AS original_rows, count(*) FILTER ({fraction_sql("o_orderkey")} < 0.25) AS sampled_rows,
   round(count(*) FILTER ({fraction_sql("o_orderkey")} < 0.25) / count(*), 4) AS sample_rate FROM orders""",
