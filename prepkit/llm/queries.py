@@ -18,6 +18,7 @@ from prepkit.llm import (
     simhash,
     url_filter,
 )
+from prepkit.operators.aggregates import local_frame
 
 RANK_FILE = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
@@ -95,7 +96,7 @@ def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
+    rules = local_frame(spark, URL_RULES, "host string, path string, verdict string")
     return url_filter.judge(_read(spark, sf_dir, "pages"), rules)
 
 
