@@ -162,8 +162,8 @@ def findings_by_path(
     """``(id_col, blob, spans)`` for every row: sorted structs (start, place, kind, stop) of its blob's findings.
 
     ``place`` is the rule's place in ``rules``; findings of other rules or versions are left out;
-    rows without findings have an empty array. Blobs held by very many paths are split by
-    adaptive execution.
+    rows without findings have an empty array. The paths of a blob held by very many are split
+    by adaptive execution.
     """
     order = F.lit(-1)
     for i, rule in enumerate(rules):
@@ -174,6 +174,8 @@ def findings_by_path(
         .groupBy("blob")
         .agg(F.array_sort(F.collect_list(F.struct("start", "place", "kind", "stop"))).alias("spans"))
     )
+    # written, so that the join is of two plain shuffles and a blob with very many paths is split
+    spans = materialize(spans, "spans")
     none = F.array().cast("array<struct<start:bigint,place:int,kind:string,stop:bigint>>")
     rows = history.select(F.col(id_col).alias(id_col), blob_of(F.col(text_col)).alias("blob"))
     return rows.join(spans, "blob", "left").select(id_col, "blob", F.coalesce("spans", none).alias("spans"))
