@@ -167,13 +167,16 @@ def distinct_counts(df: DataFrame, columns: Sequence[str], approx: bool = False)
     )
 
 
-def few_valued(df: DataFrame, columns: Sequence[str], limit: int = 50) -> list[str]:
+def few_valued(
+    df: DataFrame, columns: Sequence[str], limit: int = 50, has_null: dict[str, bool] | None = None
+) -> list[str]:
     """Columns that can have at most ``limit`` distinct non-null values.
 
     A HyperLogLog count with 512 registers (5 % error) is at most 512 * ln(512 / 462) = 52.6 for
     50 values or fewer, so a column above 64 is over the limit for certain. Columns returned here
     may still exceed the limit a little; an exact count over them is cheap and has to follow. For
-    more than 50 values the bound does not hold, and the columns are counted exactly.
+    more than 50 values the bound does not hold, and the columns are counted exactly. With the
+    sketch, ``has_null`` (if given) is filled with whether each column has nulls.
     """
     if not columns:
         return []
@@ -181,7 +184,11 @@ def few_valued(df: DataFrame, columns: Sequence[str], limit: int = 50) -> list[s
         counted = distinct_counts(df, columns).collect()  # one row per column
         many = {r["column_name"] for r in counted if r["distinct_count"] > limit}
         return [c for c in columns if c not in many]
-    found = one_row(df, {c: F.approx_count_distinct(col(c), 0.05) for c in columns})
+    exprs: dict = {c: F.approx_count_distinct(col(c), 0.05) for c in columns}
+    exprs |= {("null", c): F.count_if(col(c).isNull()) > 0 for c in columns if has_null is not None}
+    found = one_row(df, exprs)
+    if has_null is not None:
+        has_null |= {c: found["null", c] for c in columns}
     return [c for c in columns if found[c] <= 64]
 
 

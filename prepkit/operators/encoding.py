@@ -52,10 +52,13 @@ def label_dictionaries(
     dozen values per column.
     """
     names = list(columns) if columns is not None else types.text_columns(df)
-    names = few_valued(df, [c for c in names if types.is_text(df.schema[c].dataType)], limit)
+    names = [c for c in names if types.is_text(df.schema[c].dataType)]
+    has_null: dict[str, bool] = {}
+    names = few_valued(df, names, limit, has_null)
     if not names:
         return {}
-    has_null = one_row(df, {c: F.count_if(col(c).isNull()) > 0 for c in names})
+    if not has_null:
+        has_null = one_row(df, {c: F.count_if(col(c).isNull()) > 0 for c in names})
     counted = value_counts(df, names)[0][1]
     per_name = counted.groupBy("column_name").agg(F.sort_array(F.collect_list("value")).alias("v"))
     values = {r["column_name"]: list(r["v"]) for r in per_name.collect()}

@@ -59,6 +59,6 @@ def materialize(df: DataFrame, label: str = "stage") -> DataFrame:
     do not take as they are (dots, spaces, quotes) travel as ordinals.
     """
     path = scratch_path(df.sparkSession, label)
-    names = df.columns
-    df.toDF(*[f"c{i}" for i in range(len(names))]).write.parquet(path)
-    return df.sparkSession.read.parquet(path).toDF(*names)
+    plain = df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+    plain.write.parquet(path)
+    return df.sparkSession.read.schema(plain.schema).parquet(path).toDF(*df.columns)
