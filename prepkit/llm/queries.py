@@ -40,8 +40,8 @@ def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Grades from the labels' two marks; rows whose crc32 leaves 1 modulo 3 are never learnt from."""
     docs, labels = _read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels")
     marks = labels.select("doc_id", ratings.grade(F.col("quality"), F.col("toxic")).alias("grade"))
-    rated = docs.where(~lang_id.held_out()).select("doc_id", "text").join(marks, "doc_id")
-    return ratings.rate(docs, ratings.train(rated, 3)).withColumn("held_out", lang_id.held_out())
+    model = ratings.train(docs, marks.where(~lang_id.held_out()), 3)
+    return ratings.rate(docs, model).withColumn("held_out", lang_id.held_out())
 
 
 def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -154,11 +154,12 @@ def _fitter(start: OrdinalModel, used: np.ndarray, epochs: int, rate: float, see
 
 
 def train(
-    rated: DataFrame,
+    docs: DataFrame,
+    marks: DataFrame,
     grades: int,
+    id_col: str = "doc_id",
     text_col: str = "text",
     grade_col: str = "grade",
-    id_col: str = "doc_id",
     buckets: int = 1 << 17,
     max_rows: int = 24_000,
     shard_rows: int = 3_000,
@@ -168,22 +169,27 @@ def train(
     min_rows: int = 5,
     min_z: float = 3.0,
 ) -> OrdinalModel:
-    """Fit on rows with a grade in 0 .. ``grades`` - 1; others are left out.
-
-    At most about ``max_rows`` rows, chosen by a hash of the id, are learnt from: the bound is a
-    parameter of the fit. Their features are made once, and buckets that do not tell grades apart are left
-    out (see ``informative``; the counts that decide it are a row per bucket and grade). In each round shards of about ``shard_rows``
-    rows are fitted in parallel from the common model, and their weights are averaged by how much
-    each shard has learnt about a bucket. What reaches the driver is one model. Without rows
-    the weights are zero.
+    """Fit on the texts of ``docs`` that ``marks`` (id, grade) gives a grade in 0 .. ``grades`` - 1.
+
+    Other grades and marks without a text are left out; equal marks and texts of one id count once
+    (the one whose features sort first), different grades each. At most about ``max_rows`` marks,
+    chosen by a hash, are learnt from: the bound is a parameter of the fit, and it is what lets the
+    marks be broadcast to the texts, which are not shuffled.
+
+    Features are made once, and buckets that do not tell grades apart are left out (see
+    ``informative``; the counts that decide it are a row per bucket and grade). In each round shards
+    of about ``shard_rows`` rows are fitted in parallel from the common model, and their weights
+    are averaged by how much each shard has learnt about a bucket. What reaches the driver is one
+    model. Without rows the weights are zero.
     """
-    known = rated.select(
-        F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(grade_col).cast("int").alias("grade")
-    ).where((F.col("grade") >= 0) & (F.col("grade") < grades))
+    known = marks.select(F.col(id_col).alias("id"), F.col(grade_col).cast("int").alias("grade"))
+    known = known.where((F.col("grade") >= 0) & (F.col("grade") < grades) & F.col("id").isNotNull())
     counts = {r["grade"]: r["n"] for r in known.groupBy("grade").agg(F.count("*").alias("n")).collect()}
     total = sum(counts.values())
     place = F.xxhash64("id", "grade", F.lit("rating sample"))
-    chosen = known.where(F.pmod(place, F.lit(1 << 20)) / float(1 << 20) < min(1.0, max_rows / max(1, total)))
+    few = known.where(F.pmod(place, F.lit(1 << 20)) / float(1 << 20) < min(1.0, max_rows / max(1, total)))
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    chosen = texts.join(F.broadcast(few), "id")
     shards = max(1, round(min(total, max_rows) / shard_rows))
 
     def featurize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -203,7 +209,8 @@ def train(
     rows = chosen.select(place.alias("place"), "grade", "text").mapInArrow(
         featurize, "place bigint, grade int, buckets array<int>, vals array<double>"
     )
-    rows = materialize(rows, "rated").withColumn("shard", F.pmod(F.shiftright("place", 21), F.lit(shards)).cast("int"))
+    once = rows.groupBy("place").agg(F.min(F.struct("grade", "buckets", "vals")).alias("r")).select("place", "r.*")
+    rows = materialize(once, "rated").withColumn("shard", F.pmod(F.shiftright("place", 21), F.lit(shards)).cast("int"))
     held = rows.select("grade", F.explode("buckets").alias("bucket")).groupBy("grade", "bucket").count().toArrow()
     table = np.zeros((grades, buckets))
     table[held["grade"].to_numpy(), held["bucket"].to_numpy()] = held["count"].to_numpy()

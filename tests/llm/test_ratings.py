@@ -23,7 +23,7 @@ def rated(docs, n=600):
 
 def test_held_out_grades(docs):
     frame, grades = rated(docs)
-    model = ratings.train(frame.where("doc_id < 400"), 3, shard_rows=150)
+    model = ratings.train(frame, frame.where("doc_id < 400"), 3, shard_rows=150)
     assert model.cuts[0] < model.cuts[1]
     rows = ratings.rate(frame.where("doc_id >= 400"), model).collect()
     assert sum(r["kept"] == (grades[r["doc_id"]] == 2) for r in rows) >= 0.95 * len(rows)
@@ -59,18 +59,18 @@ def test_gradient_lowers_the_loss():
 
 def test_fit_does_not_depend_on_partitions(docs):
     frame, _ = rated(docs, 200)
-    a = ratings.train(frame.repartition(1), 3, shard_rows=60)
-    b = ratings.train(frame.repartition(7), 3, shard_rows=60)
+    a = ratings.train(frame.repartition(1), frame, 3, shard_rows=60)
+    b = ratings.train(frame.repartition(7), frame.repartition(5), 3, shard_rows=60)
     assert np.allclose(a.weights, b.weights) and np.allclose(a.cuts, b.cuts)
 
 
 def test_odd_rows(docs):
     frame, _ = rated(docs, 100)
-    model = ratings.train(frame, 3)
+    model = ratings.train(frame, frame, 3)
     rows = ratings.rate(docs(ODD).withColumn("tail", F.lit(1)), model).collect()
     assert len(rows) == len(ODD) and all(np.isfinite(r["expected_grade"]) for r in rows)
     assert ratings.rate(docs(ODD).where("false"), model).count() == 0
-    untaught = ratings.train(frame.withColumn("grade", F.lit(None).cast("int")), 3)
+    untaught = ratings.train(frame, frame.withColumn("grade", F.lit(None).cast("int")), 3)
     assert not untaught.weights.any() and ratings.rate(docs(ODD), untaught).count() == len(ODD)
     odd = docs(ODD).withColumn("grade", F.lit(9))
-    assert not ratings.train(odd, 3).weights.any()
+    assert not ratings.train(odd, odd, 3).weights.any()
