@@ -143,17 +143,16 @@ def scan(
     texts = history.select(blob_of(F.col(text_col)).alias("blob"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     texts = texts.groupBy("blob").agg(F.first("text").alias("text"))
     wanted = F.array(*[F.lit(rule.key) for rule in rules])
+    blobs = history.select(blob_of(F.col(text_col)).alias("blob")).distinct()
     if ledger is None:
-        todo = texts.withColumn("todo", wanted)
+        todo, scanned = texts.withColumn("todo", wanted), blobs.withColumn("rules", wanted)
     else:
         done = ledger.scanned.groupBy("blob").agg(F.array_distinct(F.flatten(F.collect_list("rules"))).alias("done"))
         missing = F.array_except(wanted, F.coalesce("done", F.array().cast("array<string>")))
         todo = texts.join(done, "blob", "left").select("blob", "text", missing.alias("todo")).where(F.size("todo") > 0)
-    findings = materialize(_spans(todo, rules), "findings")
-    if ledger is None:  # the list of blobs needs no second shuffle of the texts
-        blobs = history.select(blob_of(F.col(text_col)).alias("blob")).distinct()
-        return Ledger(blobs.withColumn("rules", wanted), findings)
-    return Ledger(todo.select("blob", F.col("todo").alias("rules")), findings)
+        scanned = blobs.join(done, "blob", "left").select("blob", missing.alias("rules")).where(F.size("rules") > 0)
+    # the list of what was scanned needs the addresses alone, not the texts again
+    return Ledger(scanned, materialize(_spans(todo, rules), "findings"))
 
 
 def findings_by_path(
