@@ -365,8 +365,19 @@ def _narrow(df: DataFrame, wide: list[_Bracket], seed: int, sample_rows: int) ->
             b.distinct = found[b.name, "distinct"]
 
 
+def _middle(lo: float, hi: float) -> float:
+    """A cut with ``lo`` <= cut < ``hi``: between magnitudes where they differ, else halfway."""
+    if lo < 0 < hi:
+        return 0.0
+    if hi <= 0:
+        cut = -_middle(-hi, -lo)
+        return cut if cut < hi else lo / 2 + hi / 2
+    least = max(lo, 1e-308)
+    return math.sqrt(least) * math.sqrt(hi) if hi > 4 * least else lo / 2 + hi / 2
+
+
 def _halve(df: DataFrame, wide: list[_Bracket]) -> None:
-    """One sure step: cut brackets in the middle of their value range and keep the part that holds
+    """One sure step: cut brackets inside their value range and keep the part that holds
     the ranks, or the two values beside the cut if the ranks lie on both sides of it.
 
     Needs no sample and always leaves out values, so it ends whatever the distribution is.
@@ -381,7 +392,7 @@ def _halve(df: DataFrame, wide: list[_Bracket]) -> None:
             b.lo, b.hi = found[b.name, "lo"], found[b.name, "hi"]
     exprs = {}
     for b in wide:
-        middle = F.lit(b.lo / 2 + b.hi / 2)
+        middle = F.lit(_middle(b.lo, b.hi))
         low, high = b.holds() & (b.value() <= middle), b.holds() & (b.value() > middle)
         exprs[b.name, "left"] = F.count_if(low)
         exprs[b.name, "lo"], exprs[b.name, "hi"] = F.max(F.when(low, b.value())), F.min(F.when(high, b.value()))
