@@ -143,7 +143,11 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Where several rows of a group have that id, the one of the least ``version`` stays, and of
     rows equal in id and text any one; a group of null ids only keeps one row.
     """
-    found = near_duplicates(docs, id_col, text_col, **options)
+    return keep_first_of(docs, near_duplicates(docs, id_col, text_col, **options), id_col, text_col)
+
+
+def keep_first_of(docs: DataFrame, found: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``keep_first`` for groups that are known: ``(id_col, version, family, component)`` of every row."""
     first = found.where(F.col(id_col).eqNullSafe(F.col("component"))).withColumnRenamed(id_col, "id")
     first = materialize(first.groupBy("family", "id").agg(F.min("version").alias("version"), F.count("*").alias("n")), "first")
     same = F.col(f"d.{id_col}").eqNullSafe(F.col("f.id")) & (F.xxhash64(f"d.{text_col}") == F.col("f.version"))
