@@ -8,6 +8,7 @@ all tests made (Bonferroni). The strictest admissible cutoff of each rule and st
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -128,18 +129,35 @@ def _shares(measured: DataFrame) -> DataFrame:
 
 
 def log_binomial_cdf(k: Column, n: Column, p: float) -> Column:
-    """log P(X <= k) for X binomial with ``n`` trials of probability ``p``, summed term by term."""
-    odds = F.log(F.lit(p / (1 - p)))
-    first = n * F.log1p(F.lit(-p))
+    """log P(X <= k) for X binomial with ``n`` trials of probability ``p``.
+
+    Terms are summed from the k-th downwards. Below the mean they shrink by a growing factor, and
+    those under e^-50 of the largest are nothing to a double: about sqrt(n) terms count there.
+    """
+    k, n = k.cast("double"), n.cast("double")
+    odds = F.log(F.lit((1 - p) / p))
+    start = _log_factorial(n) - _log_factorial(k) - _log_factorial(n - k) + k * F.log(F.lit(p)) + (n - k) * F.log1p(F.lit(-p))
 
     def add(state: Column, i: Column) -> Column:
-        term = state["term"] + F.log(n - i + 1) - F.log(i) + odds
+        # relative to the k-th term; the ratio of the term of k - i to the one before
+        term = state["term"] + F.log(k - i + 1) - F.log(n - k + i) + odds
         high, low = F.greatest(state["total"], term), F.least(state["total"], term)
         return F.struct(term.alias("term"), (high + F.log1p(F.exp(low - high))).alias("total"))
 
-    start = F.struct(first.alias("term"), first.alias("total"))
-    steps = F.when(k >= 1, F.sequence(F.lit(1).cast("bigint"), k)).otherwise(F.array().cast("array<bigint>"))
-    return F.aggregate(steps, start, add, lambda s: s["total"])
+    # a term at a distance of d below the mean is at most exp(-d^2 / 2 n p) of the largest
+    over = F.greatest(k - n * p, F.lit(0.0))
+    most = F.least(k, F.ceil(over + F.sqrt(F.lit(100 * p) * n)) + 1).cast("bigint")
+    steps = F.when(most >= 1, F.sequence(F.lit(1).cast("bigint"), most)).otherwise(F.array().cast("array<bigint>"))
+    zero = F.struct(F.lit(0.0).alias("term"), F.lit(0.0).alias("total"))
+    return start + F.aggregate(steps, zero, add, lambda s: s["total"])
+
+
+def _log_factorial(x: Column) -> Column:
+    """log x!: exact sums below 16, Stirling's series above (its error there is below 1e-12)."""
+    small = F.element_at(F.array(*[F.lit(math.lgamma(i + 1)) for i in range(16)]), F.least(x, F.lit(15)).cast("int") + 1)
+    y = F.greatest(x, F.lit(1.0))
+    series = 1 / (12 * y) - 1 / (360 * y**3) + 1 / (1260 * y**5) - 1 / (1680 * y**7)
+    return F.when(x < 16, small).otherwise(y * F.log(y) - y + F.log(2 * math.pi * y) / 2 + series)
 
 
 def thresholds(
@@ -194,12 +212,11 @@ def judge(
     rules: Sequence[Rule] = tuple(RULES),
     risk: float = 0.05,
     confidence: float = 0.95,
-    max_labels: int = 200_000,
 ) -> DataFrame:
     """``(<columns of metrics>, base_failed, failed, kept)`` for every row.
 
     ``good`` is a condition over the columns of ``labels``; labelled good documents that pass the base
-    rules are the holdout (by a hash of the id, at most about ``max_labels`` of them). ``failed``
+    rules are the holdout, all of them. ``failed``
     lists the rules, in their order, whose cutoff of the document's ``stratum`` (a condition over
     the columns of ``docs``; null is a stratum) rejects it. ``kept`` is false if a base rule or
     a learned one fails. Without labels only the base rules act. Documents of no words fail.
@@ -212,8 +229,6 @@ def judge(
     shares = _shares(measured).withColumn("base_failed", base_failed)
     fine = labels.where(good).select(F.col(label_id_col).alias("id")).where("id IS NOT NULL").distinct()
     fine = materialize(fine, "labels")
-    share = min(1.0, max_labels / max(1, fine.count()))
-    fine = fine.where(F.pmod(F.xxhash64("id", F.lit("holdout")), F.lit(1 << 20)) / float(1 << 20) < share)
     holdout = shares.where("NOT base_failed").join(fine, F.col(id_col) == F.col("id"), "left_semi")
     found = thresholds(holdout, rules, risk, confidence)
     # one row per stratum seen among the labels, a column per rule

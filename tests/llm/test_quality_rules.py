@@ -103,3 +103,34 @@ def test_no_python_on_the_path(docs, spark):
     labels = spark.range(5).select(F.col("id").alias("doc_id"), F.lit(1).alias("quality"))
     found = quality_rules.judge(docs(ODD), labels, F.col("quality") == 1, F.col("lang"))
     assert not re.search("Python|Pandas|Arrow", found._jdf.queryExecution().toString())
+
+
+def test_binomial_distribution_of_many_trials(spark):
+    """As by a sum over all terms, up to the mean, where no cap on labels keeps n small."""
+    cases = [(0, 250_000), (1900, 250_000), (2083, 250_000), (2500, 250_000), (16, 2000), (15, 2000), (17, 2041)]
+
+    def want(k, n, p):
+        logs = [math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) + i * math.log(p) + (n - i) * math.log1p(-p) for i in range(k + 1)]
+        return max(logs) + math.log(math.fsum(math.exp(x - max(logs)) for x in logs))
+
+    frame = spark.createDataFrame(cases, "k bigint, n bigint")
+    p = 0.05 / 6
+    rows = frame.select("k", "n", quality_rules.log_binomial_cdf(F.col("k"), F.col("n"), p).alias("log")).collect()
+    for r in rows:
+        if r["k"] <= r["n"] * p:
+            assert abs(r["log"] - want(r["k"], r["n"], p)) < 1e-6
+    # millions of rejections are a few thousand terms
+    huge = spark.createDataFrame([(49_990_000, 1_000_000_000)], "k bigint, n bigint")
+    log = huge.select(quality_rules.log_binomial_cdf(F.col("k"), F.col("n"), 0.05).alias("log")).first()["log"]
+    assert abs(log - math.log(0.5 * math.erfc(10_000 / math.sqrt(2 * 1e9 * 0.05 * 0.95)))) < 0.01
+
+
+def test_all_labels_count(docs, spark, monkeypatch):
+    """More labels than the 200,000 that the holdout was once thinned to: a small stratum keeps all its evidence."""
+    seen = {}
+    real = quality_rules.thresholds
+    monkeypatch.setattr(quality_rules, "thresholds", lambda holdout, *a: seen.setdefault("n", holdout.count()) and real(holdout, *a))
+    frame = docs([(i, " ".join(f"w{i}x{k}" for k in range(60))) for i in range(1300)])
+    labels = spark.range(300_000).select(F.col("id").alias("doc_id"), F.lit(1).alias("quality"))
+    quality_rules.judge(frame, labels, F.col("quality") == 1, F.col("lang"))
+    assert seen["n"] == 1300
