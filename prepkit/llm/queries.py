@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from prepkit.llm import (
     decontamination,
+    divergence,
     lang_id,
     license_scan,
     line_dedup,
@@ -17,8 +18,10 @@ from prepkit.llm import (
     secret_scan,
     simhash,
     url_filter,
+    vector_codes,
 )
 from prepkit.operators.aggregates import local_frame
+from prepkit.sources.scratch import materialize
 
 RANK_FILE = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
@@ -137,6 +140,18 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(_read(spark, sf_dir, "documents"))
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _read(spark, sf_dir, "embeddings")
+    books = vector_codes.train(vectors)
+    coded = materialize(vector_codes.encode(vectors, books, keep=["vec_id", "label"]), "codes")
+    digest = F.lit(books.sha256() if books else None).alias("codebooks_sha256")
+    return vector_codes.with_label_error(coded).select("vec_id", "code", "error", "label_error", digest)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -150,6 +165,8 @@ QUERIES = {
         op8_benchmark_decontamination,
         op9_quality_rules,
         op10_line_dedup,
+        op12_source_divergence,
+        op13_vector_codes,
     )
 }
 
@@ -217,4 +234,91 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
 FROM marked GROUP BY doc_id
 """
 
-ORACLES = {"op7_url_filter": _OP7, "op8_benchmark_decontamination": _OP8, "op10_line_dedup": _OP10}
+_OP12 = """
+WITH d AS (
+  SELECT row_number() OVER () AS row, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text
+  FROM documents
+), w AS MATERIALIZED (
+  SELECT lang, source, row, term, count(*) AS n
+  FROM (SELECT lang, source, row, unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d)
+  GROUP BY ALL
+), kept AS MATERIALIZED (
+  SELECT lang, term, sum(n)::HUGEINT AS total FROM w GROUP BY ALL HAVING count(*) >= 3
+), v AS (
+  SELECT lang, count(*)::HUGEINT AS v, sum(total)::HUGEINT AS n FROM kept GROUP BY lang
+), c AS (
+  SELECT w.lang, w.source, w.term, sum(w.n)::HUGEINT AS n FROM w JOIN kept USING (lang, term) GROUP BY ALL
+), groups AS (
+  SELECT g.lang, g.source, coalesce(any_value(v.v), 0) AS v, coalesce(any_value(v.n), 0) AS n_lang,
+    coalesce(sum(c.n), 0)::HUGEINT AS n
+  FROM (SELECT DISTINCT lang, source FROM d) g LEFT JOIN c ON g.lang = c.lang AND g.source = c.source
+    LEFT JOIN v ON g.lang = v.lang
+  GROUP BY g.lang, g.source
+), f AS MATERIALIZED (
+  SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n,
+    1 + 1000000000 * (coalesce(c.n, 0) + 1) // (g.n + g.v) AS p,
+    1 + 1000000000 * (k.total + 1) // (g.n_lang + g.v) AS q
+  FROM groups g JOIN kept k ON g.lang = k.lang
+    LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term
+), pairs AS (
+  SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value
+  FROM f a JOIN f b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL
+), found AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(p.value, 0) AS value
+  FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source
+    LEFT JOIN pairs p ON p.lang = a.lang AND p.source = a.source AND p.item = b.source
+  UNION ALL
+  SELECT lang, source, 'term', term, (p - q) * (p - q) // q FROM f WHERE n > 0 AND p > q
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM found
+)
+SELECT lang, source, part, item, value::BIGINT AS value, rank::INTEGER AS rank
+FROM ranked WHERE part = 'pair' OR rank <= 200
+"""
+
+
+def _op13() -> str:
+    """Parts as rows of (vector, part, position); each round joins them to the codebooks by position."""
+    floor = "(s - ((s % n) + n) % n) // n"
+    steps = []
+    for i in range(3):
+        steps.append(f"""
+, far{i} AS (
+  SELECT vec_id, part, entry, sum((x - y) * (x - y)) AS far FROM x JOIN book{i} USING (part, pos) GROUP BY ALL
+), near{i} AS MATERIALIZED (
+  SELECT vec_id, part, first(entry ORDER BY far, entry) AS entry, min(far) AS far FROM far{i} GROUP BY ALL
+)""")
+        if i < 2:
+            steps.append(f""", book{i + 1} AS MATERIALIZED (
+  SELECT b.part, b.entry, b.pos, coalesce(m.y, b.y) AS y FROM book{i} b LEFT JOIN (
+    SELECT part, entry, pos, {floor} AS y FROM (
+      SELECT part, entry, pos, sum(x) AS s, count(*) AS n FROM x JOIN near{i} USING (vec_id, part) GROUP BY ALL)
+  ) m USING (part, entry, pos)
+)""")
+    return f"""
+WITH kept AS (
+  SELECT vec_id, label, embedding, row_number() OVER (ORDER BY vec_id) - 1 AS nth FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda v: v IS NULL OR NOT isfinite(v))) = 0
+), x AS MATERIALIZED (
+  SELECT vec_id, nth, i // (d // 16) AS part, i % (d // 16) AS pos, floor(256 * v::DOUBLE)::HUGEINT AS x
+  FROM (SELECT vec_id, nth, len(embedding) AS d, unnest(embedding) AS v, unnest(range(len(embedding))) AS i FROM kept)
+), book0 AS MATERIALIZED (
+  SELECT part, nth AS entry, pos, x AS y FROM x WHERE nth < 64
+){"".join(steps)}
+, coded AS (
+  SELECT vec_id, string_agg(printf('%02x', entry), '' ORDER BY part) AS code, sum(far)::BIGINT AS error FROM near2 GROUP BY ALL
+)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error,
+  (SELECT sha256(string_agg(y::VARCHAR, ',' ORDER BY part, entry, pos)) FROM book2) AS codebooks_sha256
+FROM coded JOIN kept USING (vec_id)
+"""
+
+
+ORACLES = {
+    "op7_url_filter": _OP7,
+    "op8_benchmark_decontamination": _OP8,
+    "op10_line_dedup": _OP10,
+    "op12_source_divergence": _OP12,
+    "op13_vector_codes": _op13(),
+}
