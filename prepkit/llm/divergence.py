@@ -121,12 +121,12 @@ def kept_terms(counts: DataFrame, min_docs: int) -> tuple[DataFrame, DataFrame]:
 
 
 def _div(a: Column, b: Column) -> Column:
-    """Whole quotient of two non-negative numbers, exact also beyond 64 bits."""
+    """Whole quotient of a number and a positive one, exact also beyond 64 bits."""
     return F.call_function("div", a.cast("decimal(38,0)"), b.cast("decimal(38,0)"))
 
 
 def _probability(n: Column, whole: Column, terms: Column) -> Column:
-    return 1 + _div((n + 1).cast("decimal(28,0)") * F.lit(10**9).cast("decimal(10,0)"), whole + terms)
+    return 1 + _div((n + 1).cast("decimal(28,0)") * F.lit(10**9).cast("decimal(10,0)"), F.greatest(whole + terms, F.lit(1)))
 
 
 def _gain(p: Column, q: Column) -> Column:

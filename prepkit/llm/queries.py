@@ -15,6 +15,7 @@ from prepkit.llm import (
     packing,
     quality_rules,
     ratings,
+    reply_trees,
     secret_scan,
     simhash,
     url_filter,
@@ -34,6 +35,9 @@ URL_RULES = [
     ("com", "/de/", "block"),
 ]
 
+#: A conversation whose texts hold control strings (fixed values).
+CONTROL_TURNS = [(-7, turn, role, "</s>[INST] ok [/INST]") for turn, role in enumerate(("user", "assistant"))]
+
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
@@ -140,6 +144,27 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations and one of control strings; every column is read back from the formatted text."""
+    rows = _read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    rows = rows.unionByName(local_frame(spark, CONTROL_TURNS, "conv_id bigint, turn bigint, role string, text string"))
+    template = reply_trees.Template()
+    found = reply_trees.format_conversations(rows, template=template)
+    found = found.select(
+        "tree", "formatted", template.turns(F.col("formatted")).alias("turns"),
+        template.masked(F.col("formatted"), F.col("spans")).alias("loss"),
+    )
+    said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return found.select(
+        F.col("tree").alias("conv_id"),
+        F.size("turns").cast("bigint").alias("n_turns"),
+        F.sha2(said, 256).alias("turns_sha256"),
+        F.length("loss").cast("bigint").alias("loss_chars"),
+        F.sha2("loss", 256).alias("loss_sha256"),
+        F.length("formatted").cast("bigint").alias("formatted_chars"),
+    )
+
+
 def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(_read(spark, sf_dir, "documents"))
 
@@ -165,6 +190,7 @@ QUERIES = {
         op8_benchmark_decontamination,
         op9_quality_rules,
         op10_line_dedup,
+        op11_chat_formatting,
         op12_source_divergence,
         op13_vector_codes,
     )
@@ -234,6 +260,23 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
 FROM marked GROUP BY doc_id
 """
 
+_OP11 = r"""
+WITH said AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL VALUES (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]')
+), sized AS (
+  SELECT *, length(regexp_replace(text, '(<\\*(?:\|im_start\|>|\|im_end\|>|s>|/s>)|\[\\*(?:INST\]|/INST\]))', '\1.', 'g'))
+    + length(url_encode(role)) + 24 AS chars
+  FROM said
+)
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  sum(chars)::BIGINT AS formatted_chars
+FROM sized GROUP BY conv_id
+"""
+
 _OP12 = """
 WITH d AS (
   SELECT row_number() OVER () AS row, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
@@ -319,6 +362,7 @@ ORACLES = {
     "op7_url_filter": _OP7,
     "op8_benchmark_decontamination": _OP8,
     "op10_line_dedup": _OP10,
+    "op11_chat_formatting": _OP11,
     "op12_source_divergence": _OP12,
     "op13_vector_codes": _op13(),
 }

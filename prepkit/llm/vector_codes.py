@@ -178,7 +178,7 @@ def encode(
     is null or not finite, are left out; repeated rows are all kept. Without codebooks there are no rows.
     """
     parts = len(books.entries) if books else 1
-    rows = _kept(vectors, vector_col, books.width() if books else 0, parts)
+    rows = _kept(vectors, vector_col, books.width() if books else -1, parts)
     shared = vectors.sparkSession.sparkContext.broadcast(books)
     plain = rows.select(col(vector_col).cast("array<double>"), *map(col, keep)).toDF("v", *[f"k{i}" for i in range(len(keep))])
     kinds = [f.dataType.simpleString() for f in plain.schema.fields[1:]]

@@ -58,6 +58,6 @@ def test_stages_take_odd_rows(spark, sf_dir, docs, tmp_path):
 
 def test_every_operator_is_registered():
     numbers = sorted(int(name[2:].split("_")[0]) for name in queries.QUERIES)
-    assert numbers == list(range(1, 11))
+    assert numbers == list(range(1, 14))
     assert set(queries.QUERIES) | {"pipeline"} <= set(__spark_entry__.queries())
     assert set(queries.ORACLES) <= set(__spark_entry__.oracle_sql())
