@@ -61,4 +61,13 @@ def materialize(df: DataFrame, label: str = "stage") -> DataFrame:
     path = scratch_path(df.sparkSession, label)
     plain = df.toDF(*[f"c{i}" for i in range(len(df.columns))])
     plain.write.parquet(path)
-    return df.sparkSession.read.schema(plain.schema).parquet(path).toDF(*df.columns)
+    read = df.sparkSession.read.schema(plain.schema).parquet(path).toDF(*df.columns)
+    read._scratch_path = path
+    return read
+
+
+def discard(*frames: DataFrame) -> None:
+    """Drop the tables of frames that ``materialize`` returned and that no later result reads; others are left alone."""
+    for frame in frames:
+        if path := getattr(frame, "_scratch_path", None):
+            release(frame.sparkSession, [path])
