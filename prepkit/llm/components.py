@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from prepkit.sources.scratch import materialize
+from prepkit.sources.scratch import discard, materialize
 
 
 def connected_components(links: DataFrame) -> DataFrame:
@@ -15,7 +15,7 @@ def connected_components(links: DataFrame) -> DataFrame:
     whole neighbourhood, then from its smaller neighbours only (Kiveris et al., 2014); the number
     of rounds grows with the logarithm of the longest chain. Minima are pre-aggregated before the
     shuffle and joins are split by adaptive execution, so a component of any size is no hot task.
-    Every round is written to the shared folder. Self-links, repeated links and links with a null
+    Every round is written to the shared folder, and dropped when the next one is. Self-links, repeated links and links with a null
     end are ignored; no links give no rows.
     """
     edges = links.where("a <> b").select(
@@ -35,7 +35,8 @@ def connected_components(links: DataFrame) -> DataFrame:
             .where("u <> v")
             .unionByName(low.withColumnRenamed("low", "v"))
         )
-        edges = materialize(small.distinct(), "stars")
+        before, edges = edges, materialize(small.distinct(), "stars")
+        discard(before)
         state = edges.agg(
             F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))
         ).first()

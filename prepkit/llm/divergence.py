@@ -17,11 +17,11 @@ from prepkit.operators.aggregates import lookup_join, settle
 from prepkit.sources.scratch import materialize
 
 SEED = 42
-HELD = 300_000  # counters that a task holds before it writes them
-SLICE = 8192  # rows of an Arrow batch
-BROADCAST_TERMS = 500_000  # most digests of kept terms that are broadcast
+HELD = 500_000  # counters that a task holds before it sends them on
+SLICE = 16_384  # rows of an Arrow batch
+BROADCAST_TERMS = 4_000_000  # most digests of kept terms that are broadcast, 8 bytes each
 TILE = 128  # sources on one side of a block of pairs
-CELLS = 2_000_000  # most counters of a block of pairs, in (sources, terms)
+CELLS = 400_000  # about as many counters has a block of pairs, in (sources, terms)
 
 # A term is a run of ASCII letters and of characters beyond ASCII, A-Z lower-cased.
 _TERM_BYTES = bytes(b | 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b > 127 else 32 for b in range(256))
@@ -36,21 +36,66 @@ def _group(docs: DataFrame, lang_col: str, source_col: str) -> list[Column]:
     return [F.coalesce(col(c).cast("string"), F.lit("")).alias(n) for c, n in ((lang_col, "lang"), (source_col, "source"))]
 
 
-def term_counts(docs: DataFrame, text_col: str, lang_col: str, source_col: str, bits: int) -> DataFrame:
-    """``(lang, source, digest, term, n, docs)`` as each task pre-aggregates it: occurrences and documents."""
-    rows = docs.select(*_group(docs, lang_col, source_col), F.coalesce(col(text_col), F.lit("")).cast("binary").alias("text"))
+def _rows(docs: DataFrame, text_col: str, lang_col: str, source_col: str) -> DataFrame:
+    text = F.coalesce(col(text_col), F.lit("")).cast("binary").alias("text")
+    return docs.select(*_group(docs, lang_col, source_col), text)
+
+
+def _digests(terms: list[bytes], bits: int) -> np.ndarray:
+    digests = np.fromiter((xxhash.xxh64_intdigest(t, SEED) for t in terms), np.uint64, len(terms))
+    return (digests >> np.uint64(64 - bits)).view(np.int64)
+
+
+def document_counts(rows: DataFrame, bits: int) -> DataFrame:
+    """``(lang, digest, docs)``: documents by term digest, as each task pre-aggregates them."""
+
+    def table(held: dict[str, Counter]) -> Iterator[pa.RecordBatch]:
+        for lang, found in held.items():
+            digests, docs = _digests(list(found), bits), np.fromiter(found.values(), np.int64, len(found))
+            for at in range(0, len(docs), SLICE):
+                some = [pa.array(x[at : at + SLICE]) for x in (digests, docs)]
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(some[0])), *some], names=["lang", "digest", "docs"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, Counter] = {}
+        for batch in batches:
+            for lang, text in zip(batch.column(0), batch.column(2)):
+                held.setdefault(lang.as_py(), Counter()).update(set(terms_of(text.as_py())))
+                if sum(map(len, held.values())) > HELD:
+                    yield from table(held)
+                    held = {}
+        yield from table(held)
+
+    return rows.mapInArrow(run, "lang string, digest bigint, docs bigint")
+
+
+def term_counts(rows: DataFrame, bits: int, kept: DataFrame) -> DataFrame:
+    """``(lang, source, digest, term, n, docs)`` of the kept digests, as each task pre-aggregates them.
+
+    Up to ``BROADCAST_TERMS`` the kept digests are broadcast and others never leave the task that
+    counts them; beyond that the rows of others are written too, and dropped by the joins that follow.
+    """
+    known = None
+    if kept.count() <= BROADCAST_TERMS:
+        found = kept.select("digest").toArrow().column("digest").to_numpy()
+        known = rows.sparkSession.sparkContext.broadcast(np.unique(found))
 
     def table(held: dict[tuple, tuple[Counter, Counter]]) -> Iterator[pa.RecordBatch]:
         for (lang, source), (times, found) in held.items():
             terms = list(times)
+            digests = _digests(terms, bits)
+            if known is not None:
+                at = np.searchsorted(known.value, digests)
+                mine = at < len(known.value)
+                mine[mine] = known.value[at[mine]] == digests[mine]
+                terms, digests = [terms[i] for i in np.flatnonzero(mine)], digests[mine]
             for at in range(0, len(terms), SLICE):
                 some = terms[at : at + SLICE]
-                digests = np.fromiter((xxhash.xxh64_intdigest(t, SEED) for t in some), np.uint64, len(some))
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array([lang] * len(some)),
                         pa.array([source] * len(some)),
-                        pa.array((digests >> np.uint64(64 - bits)).view(np.int64)),
+                        pa.array(digests[at : at + SLICE]),
                         pa.array(some, pa.binary()).cast(pa.string()),
                         pa.array([times[t] for t in some], pa.int64()),
                         pa.array([found[t] for t in some], pa.int64()),
@@ -62,7 +107,7 @@ def term_counts(docs: DataFrame, text_col: str, lang_col: str, source_col: str,
         held: dict[tuple, tuple[Counter, Counter]] = {}
         size = 0
         for batch in batches:
-            for lang, source, text in zip(*(c for c in batch.columns)):
+            for lang, source, text in zip(*batch.columns):
                 times, found = held.setdefault((lang.as_py(), source.as_py()), (Counter(), Counter()))
                 terms, before = terms_of(text.as_py()), len(found)
                 times.update(terms)
@@ -76,16 +121,7 @@ def term_counts(docs: DataFrame, text_col: str, lang_col: str, source_col: str,
     return rows.mapInArrow(run, "lang string, source string, digest bigint, term string, n bigint, docs bigint")
 
 
-def _strings(counts: DataFrame, kept: DataFrame) -> DataFrame:
-    """The smallest and the largest string ``(lang, digest, lo, hi)`` of the kept digests."""
-    named = counts.select("lang", "digest", "term")
-    if kept.count() <= BROADCAST_TERMS:
-        kept = F.broadcast(kept)
-    held = named.join(kept.select("lang", "digest"), ["lang", "digest"], "left_semi").distinct()
-    return held.groupBy("lang", "digest").agg(F.min("term").alias("lo"), F.max("term").alias("hi"))
-
-
-def kept_terms(counts: DataFrame, min_docs: int) -> tuple[DataFrame, DataFrame]:
+def kept_terms(rows: DataFrame, min_docs: int, bits: int) -> tuple[DataFrame, DataFrame]:
     """Terms in at least ``min_docs`` documents of their language, and their counts by source.
 
     ``(lang, digest, place, term, total)`` and ``(lang, source, digest, place, n, total)``, both written.
@@ -94,16 +130,16 @@ def kept_terms(counts: DataFrame, min_docs: int) -> tuple[DataFrame, DataFrame]:
     meet in it. Those few are counted anew by their strings and numbered by ``place``.
     """
     keys = ["lang", "digest"]
-    by_source = materialize(
-        counts.groupBy("lang", "source", "digest").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs")), "source_terms"
-    )
-    kept = materialize(
-        by_source.groupBy(*keys).agg(F.sum("n").alias("total"), F.sum("docs").alias("docs")).where(F.col("docs") >= min_docs),
-        "kept_terms",
-    )
-    strings = materialize(_strings(counts, kept), "term_strings")
-    clear = strings.where("lo = hi").select(*keys, F.lit(0).alias("place"), F.col("lo").alias("term"))
-    terms = clear.join(kept.select(*keys, "total"), keys)
+    documents = document_counts(rows, bits).groupBy(*keys).agg(F.sum("docs").alias("docs"))
+    kept = materialize(documents.where(F.col("docs") >= min_docs).select(*keys), "kept_digests")
+    counts = materialize(term_counts(rows, bits, kept), "term_counts")
+    by_source = counts.groupBy("lang", "source", "digest").agg(F.sum("n").alias("n"))
+    by_source = materialize(by_source, "source_terms")
+    totals = by_source.groupBy(*keys).agg(F.sum("n").alias("total"))
+    named = counts.select(*keys, "term").distinct().groupBy(*keys).agg(F.min("term").alias("lo"), F.max("term").alias("hi"))
+    # digests are broadcast without their language, so one may be kept in another language only
+    strings = materialize(named.join(kept, keys).join(totals, keys), "term_strings")
+    terms = strings.where("lo = hi").select(*keys, F.lit(0).alias("place"), F.col("lo").alias("term"), "total")
     by_term = by_source.select("lang", "source", "digest", "n", F.lit(0).alias("place"))
     mixed = strings.where("lo <> hi").select(*keys)
     if mixed.take(1):
@@ -212,7 +248,7 @@ def source_pairs(table: DataFrame, groups: DataFrame) -> DataFrame:
     partial sum for each pair of its tiles; no pair is formed for a single term.
     """
     parts = F.ceil(
-        F.greatest(F.col("n_terms") * F.least("n_sources", F.lit(2 * TILE)) / CELLS, F.col("cells") / (CELLS // 4), F.lit(1.0))
+        F.greatest(F.col("n_terms") * F.least("n_sources", F.lit(2 * TILE)) / CELLS, F.col("cells") / (CELLS // 8), F.lit(1.0))
     ).cast("int")
     tiles = F.ceil(F.col("n_sources") / TILE).cast("int")
     least = _probability(F.lit(0), F.col("n_group"), F.col("n_terms"))
@@ -271,8 +307,7 @@ def audit(
     no rows. A repeated row is a document of its own. Ties go to the smaller string (by UTF-8). Other
     columns are not read. Texts are counted where they are read; shuffled are ``bits``-bit digests.
     """
-    counts = materialize(term_counts(docs, text_col, lang_col, source_col, bits), "term_counts")
-    terms, table = kept_terms(counts, min_docs)
+    terms, table = kept_terms(_rows(docs, text_col, lang_col, source_col), min_docs, bits)
     groups = group_sizes(docs, table, terms, lang_col, source_col)
     found = {"pair": source_pairs(table, groups), "term": top_terms(table, terms, groups, top)}
     frames = [f.select("lang", "source", F.lit(part).alias("part"), "item", "value", "rank") for part, f in found.items()]

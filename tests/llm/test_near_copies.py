@@ -2,6 +2,7 @@ import random
 from itertools import combinations
 
 import corpus_pipeline
+import numpy as np
 from pyspark.sql import functions as F
 
 from prepkit.llm import near_copies, simhash
@@ -70,9 +71,70 @@ def test_links_at_the_threshold(docs):
 
 def test_result_does_not_depend_on_order_or_broadcasts(docs, corpus, monkeypatch):
     want = slow(corpus)
-    for name in ("ORDER_ROWS", "BROADCAST_ROWS", "BROADCAST_HASHES"):
-        monkeypatch.setattr(near_copies, name, 0)
-    assert {r["doc_id"]: r["component"] for r in near_copies.near_copies(docs(corpus)).collect()} == want
+    for values in ({"ORDER_SHINGLES": 0, "BROADCAST_ROWS": 0, "SEEDS": ()}, {"CROWD": 1, "SLICE": 2}):
+        for name, value in values.items():
+            monkeypatch.setattr(near_copies, name, value)
+        assert {r["doc_id"]: r["component"] for r in near_copies.near_copies(docs(corpus)).collect()} == want
+
+
+def test_sketches_lose_no_pair():
+    """Differing bits are at most the differing shingles, also where one sketch is folded."""
+    rng = np.random.default_rng(41)
+    for size in (3, 31, 33, 500, 1020, 5000):
+        for changed in (0, 1, size // 9, size // 3):
+            a = np.unique(rng.integers(-(2**63), 2**63 - 1, size))
+            b = np.unique(np.concatenate([a[changed:], rng.integers(-(2**63), 2**63 - 1, changed // 4)]))
+            x, y = sorted((near_copies.parity_sketch(a), near_copies.parity_sketch(b)), key=len)
+            while len(y) > len(x):
+                y = y[: len(y) // 2] ^ y[len(y) // 2 :]
+            weight = sum(int(v).bit_count() for v in (x ^ y).view(np.uint64))
+            assert weight <= len(np.setxor1d(a, b))
+            assert changed or weight == 0
+
+
+def test_sketches_reject_before_texts_move(spark, docs):
+    """Texts that share their rarest shingle and little else are proposed, and rejected by sketches alone."""
+    rng = random.Random(43)
+    rows = [(i, " ".join([*"abcde", *(f"w{rng.randrange(10**6)}" for _ in range(60))])) for i in range(30)]
+    rows += [(100 + i, t) for i, t in enumerate(family(rng, 5))]
+    frame = docs(rows)
+    heads = near_copies.prefixes(frame).withColumn("at", F.struct("id", "version")).dropDuplicates(["node"])
+    pairs = [(r["a"], r["b"]) for r in heads.alias("x").join(heads.alias("y"), F.col("x.node") < F.col("y.node")).select(
+        F.col("x.node").alias("a"), F.col("y.node").alias("b")).collect()]
+    sizes = {r["node"]: r["n"] for r in heads.collect()}
+    pairs = [(a, b) for a, b in pairs if 0.8 <= sizes[a] / sizes[b] <= 1.25]
+    given = spark.createDataFrame([(a, b, sizes[a], sizes[b]) for a, b in pairs], "a bigint, b bigint, n int, m int")
+    sketches = heads.select("node", "sketch")
+    likely = given.join(sketches.toDF("a", "x"), "a").join(sketches.toDF("b", "y"), "b").where(near_copies._sketches_allow(0.8))
+    true = near_copies.verified(given, heads, frame, "doc_id", "text", 5, 0.8)
+    assert true.count() <= likely.count() <= 10 < 400 < len(pairs)
+
+
+def test_families_yield_few_pairs(docs):
+    """150 copies of one text: what is compared grows with their number, not with its square."""
+    rng = random.Random(47)
+    base = [f"w{rng.randrange(3000)}" for _ in range(300)]
+    rows = []
+    for i in range(150):
+        copy = list(base)
+        copy[rng.randrange(300)] = f"x{i}"
+        rows.append((i, " ".join(copy)))
+    heads = near_copies.prefixes(docs(rows)).withColumn("at", F.struct("id", "version"))
+    keys = near_copies.shared_keys(heads)
+    first = near_copies.star_proposals(keys, 0.8, 1)
+    assert first.count() <= 10 * len(rows)
+    found = near_copies.linked_sets(docs(rows), heads)
+    assert found.select("root").distinct().count() == 1
+    assert near_copies.cross_proposals(keys, found, 0.8).count() == 0
+
+
+def test_names_of_helpers_may_be_columns(docs):
+    rows = [(1, "a b c d e f g h"), (2, "a b c d e f g h"), (3, "z")]
+    frame = docs(rows)
+    for name in ("node", "id", "version", "h", "n", "sketch", "key"):
+        frame = frame.withColumn(name, F.lit("mine"))
+    kept = near_copies.keep_first(frame)
+    assert kept.columns == frame.columns and sorted(r["doc_id"] for r in kept.collect()) == [1, 3]
 
 
 def test_odd_rows(docs):

@@ -6,7 +6,7 @@ from prepkit.llm import queries
 from tests.llm.conftest import ODD
 from tests.llm.test_decontamination import slow as slow_contained
 from tests.llm.test_line_dedup import slow as slow_lines
-from tests.llm.test_simhash import slow_components, slow_fingerprint
+from tests.llm.test_near_copies import slow as slow_copies
 
 
 def written(frame, tmp_path, name):
@@ -33,9 +33,7 @@ def test_stages_against_brute_force(spark, sf_dir, table, tmp_path):
     want = slow_lines([(i, r["text"]) for i, r in first.items()])
     assert {i: r["text"] for i, r in lines.items()} == want
     assert all(r["n_chars"] == len(r["text"]) for r in lines.values())
-    prints = {i: slow_fingerprint(r["text"]) for i, r in lines.items()}
-    groups = slow_components(prints, lambda a, b: (prints[a] ^ prints[b]).bit_count() <= 2)
-    assert set(near) == set(groups.values())
+    assert set(near) == set(slow_copies([(i, r["text"]) for i, r in lines.items()]).values())
     items = [(r["item_id"], r["text"]) for r in table("benchmark").collect()]
     leaks = {d for d, _ in slow_contained([(i, r["text"]) for i, r in near.items()], items)}
     assert set(clean) == set(near) - leaks
