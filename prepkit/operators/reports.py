@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+import re
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -9,7 +11,7 @@ from pyspark.sql import functions as F
 
 from prepkit import types
 from prepkit.functions import keywords as K
-from prepkit.functions.columns import col, finite, rounded, union_all
+from prepkit.functions.columns import chunks, col, finite, rounded, union_all
 from prepkit.operators.aggregates import one_row
 from prepkit.operators.outliers import detect_outliers
 from prepkit.operators.profile import (
@@ -18,6 +20,40 @@ from prepkit.operators.profile import (
     null_counts,
 )
 
+def _trie_pattern(words: Sequence[str]) -> str:
+    """A pattern for the longest of the words at a place: one branch per next character, so that a
+    character is compared with the few that can follow, not with every word. Many branches are
+    put behind looks at a class of characters, which pass over most of them at once."""
+    heads: dict[str, list[str]] = {}
+    for w in words:
+        if w:
+            heads.setdefault(w[0], []).append(w[1:])
+    if not heads:
+        return ""
+    branches = [(re.escape(c), _trie_pattern(rest)) for c, rest in sorted(heads.items())]
+    if len(branches) > 8:
+        some = chunks(branches, math.isqrt(len(branches)) + 1)
+        parts = [f"(?=[{''.join(c for c, _ in g)}])(?:{'|'.join(c + rest for c, rest in g)})" for g in some]
+    else:
+        parts = [c + rest for c, rest in branches]
+    return f"(?:{'|'.join(parts)}){'?' if '' in words else ''}"
+
+
+def longest_words(text: Column, words: Sequence[str]) -> Column:
+    """The longest of the words at every place of a text, each once, in no particular order.
+
+    A look-ahead at every place captures it; so words may overlap.
+    """
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(f"(?=({_trie_pattern(words)}))"), F.lit(1)))
+
+
+def words_within(word: Column, words: Sequence[str]) -> Column:
+    """A found word and all others inside of it."""
+    inner = {w: [v for v in words if v in w] for w in words}
+    several = [F.when(word == w, F.array(*map(F.lit, v))) for w, v in inner.items() if len(v) > 1]
+    return F.coalesce(*several, F.array(word))
+
+
 # The most points of each term of the readiness score.
 WEIGHTS = {
     "missing": 25,
@@ -35,22 +71,15 @@ def domain_tags(df: DataFrame, groups: Sequence[str], text: str) -> DataFrame:
     The score of a domain is the number of its keywords found in any text of the group (in any
     case, anywhere in a word). Ties go to the domain listed first; no hit gives ``General``.
 
-    All keywords are made of the letters a to z, so each occurrence lies inside one run of
-    letters. Each text is cut into its different runs where it is read, and only runs with a
-    keyword go on; what is shuffled is a row per group and keyword found.
+    One pass over each text finds the longest keyword at every place, all keywords at once; what is
+    shuffled is a row per group and keyword found.
     """
     by = [col(g) for g in groups]
     words = sorted({w for listed in K.DOMAIN_KEYWORDS.values() for w in listed})
-    # The empty run stays in, so that a group without any hit is not lost.
-    runs = F.concat(F.array(F.lit("")), F.split(F.lower(F.coalesce(col(text), F.lit(""))), "[^a-z]+"))
-    run = F.col("run")
-    found = F.filter(F.array(*[F.lit(w) for w in words]), lambda w: F.contains(run, w))
-    hits = (
-        df.select(*by, F.explode(F.array_distinct(runs)).alias("run"))
-        .where((run == "") | run.rlike("|".join(words)))
-        .select(*by, F.explode_outer(found).alias("word"))
-        .distinct()
-    )
+    found = longest_words(F.lower(F.coalesce(col(text), F.lit(""))), words)
+    # The empty word stays in, so that a group without any hit is not lost.
+    longest = df.select(*by, F.concat(F.array(F.lit("")), found).alias("words")).select(*by, F.explode("words").alias("word"))
+    hits = longest.distinct().select(*by, F.explode(words_within(F.col("word"), words)).alias("word")).distinct()
     scores = []
     for listed in K.DOMAIN_KEYWORDS.values():
         times: dict[int, list[str]] = {}
