@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from urllib.parse import unquote
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -136,20 +139,17 @@ def size_text(size: Column) -> Column:
     return text
 
 
-def stored_files(df: DataFrame) -> dict[str, int]:
-    """Path and length of the files behind a scan, with or without rows, from their folders' listing."""
-    spark, lengths = df.sparkSession, {}
-    paths = [spark._jvm.org.apache.hadoop.fs.Path(p) for p in df.inputFiles()]
-    for folder in {p.getParent().toString(): p.getParent() for p in paths}.values():
-        for status in folder.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(folder):
-            lengths[status.getPath().toUri().getPath()] = status.getLen()
-    return {p.toString(): lengths[p.toUri().getPath()] for p in paths}
+def stored_files(df: DataFrame) -> DataFrame:
+    """``(path, length)`` of the files behind a scan, with or without rows; their content is not read."""
+    paths = [re.sub(r"([\\\[\]{}*?])", r"\\\1", unquote(p)) for p in df.inputFiles()]
+    if not paths:
+        return local_frame(df.sparkSession, [], "path string, length bigint")
+    return df.sparkSession.read.format("binaryFile").load(paths).select("path", "length")
 
 
 def dataset_size(df: DataFrame) -> DataFrame:
     """``(files, total_bytes, readable)`` of the files behind a scan; no row of them is read."""
-    sizes = stored_files(df)
-    found = local_frame(df.sparkSession, [(len(sizes), sum(sizes.values()))], "files bigint, total_bytes bigint")
+    found = stored_files(df).agg(F.count(F.lit(1)).alias("files"), F.coalesce(F.sum("length"), F.lit(0)).alias("total_bytes"))
     return found.withColumn("readable", size_text(F.col("total_bytes")))
 
 

@@ -11,6 +11,7 @@ from queryset.common import (
     EVENTS_FINITE,
     EVENTS_LINE,
     EVENTS_NOT_FINITE,
+    EVENTS_SIXTY,
     EVENTS_WIDE,
     LINEITEM_HOLES,
     LINEITEM_NUMBERS,
@@ -64,6 +65,23 @@ def _matrix_sql(src: str, columns) -> str:
     )
 
 
+def _long_matrix_sql(src: str, columns) -> str:
+    """The matrix of many columns: rows of (row, column, value) joined to themselves by row."""
+    names = ", ".join(columns)
+    return f"""
+WITH numbered AS (SELECT row_number() OVER () AS r, {", ".join(f"CAST({c} AS DOUBLE) AS {c}" for c in columns)} FROM {src}),
+long AS MATERIALIZED (UNPIVOT numbered ON {names} INTO NAME c VALUE x),
+pairs AS (
+  SELECT a.c AS col_i, b.c AS col_j, min(a.x) = max(a.x) OR min(b.x) = max(b.x) AS flat, corr(a.x, b.x) AS r
+  FROM long a JOIN long b ON a.r = b.r WHERE a.c < b.c GROUP BY a.c, b.c
+), found AS (
+  SELECT col_i, col_j, CASE WHEN flat THEN 0.0 ELSE coalesce(r, 0.0) END AS corr FROM pairs
+)
+SELECT col_i, col_j, round(corr, 6) AS corr FROM found
+UNION ALL SELECT col_j, col_i, round(corr, 6) FROM found
+UNION ALL SELECT unnest([{", ".join(f"'{c}'" for c in columns)}]) AS c, c, 1.0"""
+
+
 def _pairs_sql(src: str, columns) -> str:
     parts = union_sql(
         f"SELECT '{a}' AS col_1, '{b}' AS col_2, ({_corr(a, b)})::DOUBLE AS r FROM {src}"
@@ -113,6 +131,7 @@ QUERIES = {
     "scatter_most_rows": lambda s, d: C.scatter(
         read(s, d, "orders"), "o_custkey", "o_totalprice", 9999, ["o_orderkey"]
     ),
+    "correlation_sixty_columns": lambda s, d: rounded(R.correlation_matrix(EVENTS_SIXTY.load(s, d))),
     "correlation_matrix": lambda s, d: rounded(R.correlation_matrix(read(s, d, "lineitem"))),
     "correlation_with_nulls": lambda s, d: rounded(
         R.correlation_matrix(LINEITEM_HOLES.load(s, d))
@@ -139,6 +158,7 @@ SELECT b.*, (SELECT count(l_quantity) FROM {_holes}) AS non_null FROM ({_box_sql
     "bar_dates": _bar_sql("(SELECT CAST(o_orderdate AS DATE) AS day FROM orders)", "day"),
     "scatter_events": _scatter_sql("events", "user_id", "value", 500, "event_id"),
     "scatter_most_rows": _scatter_sql("orders", "o_custkey", "o_totalprice", 9999, "o_orderkey"),
+    "correlation_sixty_columns": _long_matrix_sql(EVENTS_SIXTY.sql(), EVENTS_SIXTY.columns),
     "correlation_matrix": _matrix_sql("lineitem", LINEITEM_NUMBERS),
     "correlation_with_nulls": _matrix_sql(_holes, LINEITEM_NUMBERS),
     "correlation_of_constants": _matrix_sql(_line, ["event_id", "a", "b", "c", "k"]),

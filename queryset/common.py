@@ -129,6 +129,18 @@ ORDERS_RARE = Frame(
 EVENTS_WIDE = Frame(
     "events", {f"c{i}": f"value * {i} + user_id % {i + 2}" for i in range(1, 25)}, only=["event_id"]
 )
+# Sixty-one numeric columns, every third with nulls, one constant.
+EVENTS_SIXTY = Frame(
+    "events",
+    {
+        f"c{i}": f"CASE WHEN event_id % {i + 3} <> 0 THEN value * {i % 5} + user_id % {i + 2} END"
+        if i % 3 == 0
+        else f"value * {i % 7} + user_id % {i + 2}"
+        for i in range(1, 61)
+    }
+    | {"flat": "event_id - event_id + 7"},
+    only=["event_id"],
+)
 EVENTS_NOT_FINITE = Frame(
     "events",
     {
