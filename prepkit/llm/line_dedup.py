@@ -96,8 +96,7 @@ def _stream(min_docs: int):
                     doc, docs = d, docs + 1
                 if first:
                     out.append(("open", k, d, v, lines, None))
-                    continue
-                if d != keeper:
+                elif d != keeper:
                     if docs < min_docs:
                         waiting.append((d, v, lines))
                     else:

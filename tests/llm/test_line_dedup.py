@@ -1,5 +1,6 @@
 import random
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from prepkit.llm import line_dedup
@@ -81,3 +82,23 @@ def test_odd_rows_and_clashing_columns(docs):
     sizes = {(r["doc_id"], r["n_lines"]) for r in line_dedup.keep_bitmaps(frame).collect()}
     assert {(1, 1), (2, 1), (8, 4)} <= sizes
     assert line_dedup.keep_bitmaps(frame.where("false")).count() == 0
+
+
+def test_a_hot_line_is_streamed(monkeypatch):
+    """A partition of one line only is passed on in small batches, not held until its end."""
+    monkeypatch.setattr(line_dedup, "_BATCH", 50)
+    names = ["key", "doc", "version", "lines"]
+    rows = [(b"k", i, 0, [0]) for i in range(1000)]
+    batches = [pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows[at : at + 100])], names=names) for at in range(0, 1000, 100)]
+    taken = []
+
+    def read():
+        for batch in batches:
+            taken.append(1)
+            yield batch
+
+    sizes = []
+    for out in line_dedup._stream(5)(read()):
+        assert sum(sizes) + out.num_rows <= 100 * len(taken) + 2
+        sizes.append(out.num_rows)
+    assert max(sizes) <= 50 and sum(sizes) >= 1000 and len(sizes) >= 20
