@@ -5,6 +5,7 @@ DataFrame functions only.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from fractions import Fraction
 
 from pyspark.sql import Column, DataFrame
@@ -27,12 +28,20 @@ def _windows(w: Column, width: int, made) -> Column:
     return F.transform(at, lambda i: made(*[F.get(w, i + k) for k in range(width)]))
 
 
-def shingle_hashes(w: Column, width: int) -> Column:
-    return F.array_distinct(_windows(w, width, F.xxhash64))
+def shingle_hashes(w: Column, widths: Sequence[int]) -> Column:
+    return F.array_distinct(F.concat(*[_windows(w, width, F.xxhash64) for width in widths]))
 
 
-def shingle_texts(w: Column, width: int) -> Column:
-    return F.array_distinct(_windows(w, width, lambda *x: F.concat_ws(" ", *x)))
+def shingle_texts(w: Column, widths: Sequence[int]) -> Column:
+    return F.array_distinct(F.concat(*[_windows(w, width, lambda *x: F.concat_ws(" ", *x)) for width in widths]))
+
+
+def _of_item(made, width: int) -> Column:
+    """The shingles of an item ``w``: one of its own length if it has fewer words than ``width``."""
+    out = made(F.col("w"), [width])
+    for n in range(1, width):
+        out = F.when(F.size("w") == n, made(F.col("w"), [n])).otherwise(out)
+    return out
 
 
 def sketches(items: DataFrame, threshold: float, width: int) -> DataFrame:
@@ -44,7 +53,7 @@ def sketches(items: DataFrame, threshold: float, width: int) -> DataFrame:
     always has a member in the document: the search has no false negatives.
     """
     missing = 1 - Fraction(str(threshold))
-    sized = items.select("item", F.array_sort(shingle_hashes(F.col("w"), width)).alias("h")).where(F.size("h") > 0)
+    sized = items.select("item", F.array_sort(_of_item(shingle_hashes, width)).alias("h")).where(F.size("h") > 0)
     size_class = F.floor(F.log2(F.size("h") + F.lit(0.5))).cast("int")
     longest = F.expr("shiftleft(2, size_class) - 1")
     misses = F.floor(longest * missing.numerator / missing.denominator + F.lit(1e-9))
@@ -79,7 +88,8 @@ def contained_items(
     documents are compared as texts. A document that holds a popular item costs what any other
     does: rows are counted per document, never joined among themselves.
 
-    Null and empty texts and items of fewer than ``width`` words contain nothing and match nothing.
+    An item of fewer than ``width`` words is one shingle of its own length, sought among the document's runs
+    of as many words. Null and empty texts contain nothing and match nothing.
     ``version`` is Spark's xxhash64 of the text; repeated rows of one id and text are one document, as
     are repeated items of one id and text; items that share an id but not the text are found on their own and
     each gives a row. Null ids are ids.
@@ -90,8 +100,10 @@ def contained_items(
         words(F.col(item_text_col)).alias("w"),
     ).dropDuplicates(["item"])
     index = materialize(sketches(items, threshold, width), "sketches")
+    short = items.where(F.size("w").between(1, width - 1)).select(F.size("w").alias("n")).distinct()
+    widths = [width, *sorted(r["n"] for r in short.collect())]  # fewer than ``width`` rows
     probes = rows.select("doc", "version", words(F.col("body")).alias("w")).select(
-        "doc", "version", F.explode(shingle_hashes(F.col("w"), width)).alias("hash")
+        "doc", "version", F.explode(shingle_hashes(F.col("w"), widths)).alias("hash")
     )
     hits = _looked_up(probes, index, "hash").select("doc", "version", "item").distinct()
     proposed = materialize(hits, "proposed")
@@ -99,8 +111,8 @@ def contained_items(
     near = proposed.select("doc", "version").distinct()
     same = F.col("r.doc").eqNullSafe(F.col("n.doc")) & (F.col("r.version") == F.col("n.version"))
     texts = rows.alias("r").join(near.alias("n"), same, "left_semi").select("doc", "version", words(F.col("body")).alias("w"))
-    shingles = texts.select("doc", "version", F.explode(shingle_texts(F.col("w"), width)).alias("shingle")).distinct()
-    parts = items.select("item", shingle_texts(F.col("w"), width).alias("s")).select(
+    shingles = texts.select("doc", "version", F.explode(shingle_texts(F.col("w"), widths)).alias("shingle")).distinct()
+    parts = items.select("item", _of_item(shingle_texts, width).alias("s")).select(
         "item", F.size("s").alias("n_shingles"), F.explode("s").alias("shingle")
     )
     shared = _looked_up(shingles, materialize(parts, "shingles"), "shingle")

@@ -87,8 +87,13 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The history comes in two runs; the second scans only blobs that the first has not entered in the ledger."""
     docs = _read(spark, sf_dir, "documents")
-    found = secret_scan.findings_by_path(docs, secret_scan.scan(docs))
+    later = F.pmod(F.xxhash64("doc_id"), F.lit(2)) == 1
+    ledger = secret_scan.scan(docs.where(~later))
+    ledger = secret_scan.Ledger(materialize(ledger.scanned, "scanned"), ledger.findings)
+    ledger = ledger.plus(secret_scan.scan(docs.where(later), ledger=ledger))
+    found = secret_scan.findings_by_path(docs, ledger)
 
     def count(kind: str) -> Column:
         return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
@@ -226,17 +231,23 @@ FROM best
 """
 
 _OP8 = """
-WITH w AS (
-  SELECT 'd' AS side, doc_id AS id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS w FROM documents
-  UNION ALL
-  SELECT 'b', item_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') FROM benchmark
-), s AS (
-  SELECT DISTINCT side, id, array_to_string(w[i : i + 4], ' ') AS shingle
-  FROM (SELECT side, id, w, unnest(range(1, len(w) - 3)) AS i FROM w)
-), n AS (SELECT id, count(*) AS n FROM s WHERE side = 'b' GROUP BY id)
+WITH d AS (
+  SELECT doc_id AS id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS w FROM documents
+), b AS (
+  SELECT id, w, least(5, len(w)) AS k FROM (
+    SELECT item_id AS id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS w FROM benchmark) WHERE len(w) > 0
+), widths AS (
+  SELECT DISTINCT k FROM b
+), ds AS (
+  SELECT DISTINCT id, array_to_string(w[i : i + k - 1], ' ') AS shingle
+  FROM (SELECT id, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM d, widths)
+), bs AS (
+  SELECT DISTINCT id, array_to_string(w[i : i + k - 1], ' ') AS shingle
+  FROM (SELECT id, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM b)
+), n AS (SELECT id, count(*) AS n FROM bs GROUP BY id)
 SELECT d.id AS doc_id, b.id AS item_id, any_value(n.n) AS n_shingles, count(*) AS n_shared,
   round(count(*) / any_value(n.n), 6) AS containment
-FROM s d JOIN s b ON d.side = 'd' AND b.side = 'b' AND d.shingle = b.shingle JOIN n ON n.id = b.id
+FROM ds d JOIN bs b ON d.shingle = b.shingle JOIN n ON n.id = b.id
 GROUP BY d.id, b.id HAVING count(*) * 5 >= any_value(n.n) * 4
 """
 

@@ -83,6 +83,7 @@ class Ledger:
         return Ledger(spark.read.parquet(f"{path}/scanned"), spark.read.parquet(f"{path}/findings"))
 
     def plus(self, other: "Ledger") -> "Ledger":
+        """Both ledgers; what two overlapping runs found twice counts once where findings are read."""
         return Ledger(self.scanned.unionByName(other.scanned), self.findings.unionByName(other.findings))
 
 
@@ -171,7 +172,7 @@ def findings_by_path(
         ledger.findings.withColumn("place", order)
         .where("place >= 0")
         .groupBy("blob")
-        .agg(F.array_sort(F.collect_list(F.struct("start", "place", "kind", "stop"))).alias("spans"))
+        .agg(F.array_sort(F.collect_set(F.struct("start", "place", "kind", "stop"))).alias("spans"))
     )
     # written, so that the join is of two plain shuffles and a blob with very many paths is split
     spans = materialize(spans, "spans")

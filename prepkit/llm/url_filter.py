@@ -29,10 +29,23 @@ def path(url: Column) -> Column:
 
 def _digested(df: DataFrame, kind: str, *parts: str) -> DataFrame:
     """With the full digest of an expression and its short prefix."""
-    digest = F.sha2(F.concat_ws("\n", F.lit(kind), *parts), 256)
+    digest = F.coalesce(F.sha2(F.concat_ws("\n", F.lit(kind), *parts), 256), F.lit(""))
     return df.withColumn("digest", digest).withColumn("short", F.substring("digest", 1, PREFIX_CHARS))
 
 
+def _looked_up(expressions: DataFrame, table: DataFrame) -> DataFrame:
+    """Each ``digest`` with the ``held`` of the same digest in the table, both by their short prefixes.
+
+    What shares a prefix is one row of the table, so an expression meets one row at most, and only
+    then whole digests are compared. The table is broadcast if its row count allows.
+    """
+    table = materialize(table.groupBy("short").agg(F.collect_list(F.struct("digest", "held")).alias("entries")), "prefixes")
+    table = F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
+    met = expressions.join(table, "short")
+    same = F.filter("entries", lambda e: e["digest"] == F.col("digest"))
+    return met.withColumn("held", F.explode(F.transform(same, lambda e: e["held"]))).drop("short", "digest", "entries")
+
+
 def judge(
     pages: DataFrame,
     rules: DataFrame,
@@ -49,52 +62,40 @@ def judge(
     Where none fits, ``rule`` is null and the verdict is block if a word of the host name
     (parted by dots, hyphens and underscores) is one of ``host_words``, else ``default``.
 
-    Each different (host, path) is expanded to the host suffixes and path prefixes that are as long as some
-    rule's, so an endless host or path yields a bounded number of expressions; they meet the rules
-    on the first bytes of a SHA-256, and the whole digest confirms. A null url or one without
+    Each different (host, path) is expanded to the host suffixes that have as many labels as some rule's;
+    those that are hosts of rules, to the path prefixes that are as long as one of that host's. So an
+    endless host or path yields few expressions. They meet the rules on the first bytes of a
+    SHA-256, and the whole digest confirms. A null url or one without
     ``://`` has an empty host and path. Rules with a null part are ignored, repeated ones count once, no
     rules leave all to the method. Empty tables give no rows; repeated pages are judged each.
     """
     rows = pages.select(F.col(id_col).alias("page"), host(F.col(url_col)).alias("host"), path(F.col(url_col)).alias("path"))
     places = rows.select("host", "path").where("host <> ''").distinct()
     known = rules.select("host", "path", "verdict").dropna().distinct()
-    known = materialize(
-        _digested(known.withColumn("labels", F.size(F.split("host", r"\."))), "rule", "host", "path"), "rules"
-    )
-    # the few lengths that rules have, not the rules themselves
-    lengths = known.agg(
-        F.collect_set("labels").alias("labels"), F.collect_set(F.length("path")).alias("chars"), F.count("*").alias("n")
-    ).first()
+    known = materialize(known.withColumn("labels", F.size(F.split("host", r"\."))), "rules")
+    counts = [r["labels"] for r in known.select("labels").distinct().orderBy("labels").collect()]  # a host has few labels
     labels = F.split("host", r"\.")
-    suffixes = [
-        F.when(F.size(labels) >= n, F.array_join(F.slice(labels, -n, n), ".")) for n in sorted(lengths["labels"])
-    ]
-    prefixes = [
-        F.when(F.length("path") >= n, F.substring("path", 1, n)) for n in sorted(lengths["chars"])
-    ]
+    suffixes = [F.when(F.size(labels) >= n, F.array_join(F.slice(labels, -n, n), ".")) for n in counts]
     none = F.array().cast("array<string>")
-    expanded = (
-        places.withColumn("suffix", F.explode(F.array_compact(F.array(*suffixes)) if suffixes else none))
-        .withColumn("prefix", F.explode(F.array_compact(F.array(*prefixes)) if prefixes else none))
+    hosts = places.withColumn("suffix", F.explode(F.array_compact(F.array(*suffixes)) if suffixes else none))
+    of_host = known.groupBy("host").agg(F.collect_set(F.length("path")).alias("held"))
+    found = _looked_up(_digested(hosts, "host", "suffix"), _digested(of_host, "host", "host").select("short", "digest", "held"))
+    fits = F.filter("held", lambda n: n <= F.length("path"))
+    paths = found.select("host", "path", "suffix", F.explode(fits).alias("n")).select(
+        "host", "path", "suffix", F.expr("substring(path, 1, n)").alias("prefix")
     )
-    expanded = _digested(expanded, "rule", "suffix", "prefix")
     ruled = F.struct(
-        (F.length("rule_host") + F.length("rule_path")).alias("length"),
-        F.length("rule_host").alias("host_length"),
+        (F.length("host") + F.length("path")).alias("length"),
+        F.length("host").alias("host_length"),
         (F.col("verdict") == BLOCK).alias("blocks"),
-        F.concat("rule_host", "rule_path").alias("rule"),
+        F.concat("host", "path").alias("rule"),
         F.col("verdict"),
     )
-    table = known.select(
-        "short", F.col("digest").alias("rule_digest"), F.col("host").alias("rule_host"), F.col("path").alias("rule_path"), "verdict"
-    )
-    table = F.broadcast(table) if lengths["n"] <= BROADCAST_ROWS else table
-    best = (
-        expanded.join(table, "short")
-        .where("digest = rule_digest")
-        .groupBy("host", "path")
-        .agg(F.max(ruled).alias("best"))
-    )
+    whole = known.groupBy("host", "path").agg(F.max(ruled).alias("held"))
+    table = _digested(whole, "rule", "host", "path").select("short", "digest", "held")
+    best = _looked_up(_digested(paths, "rule", "suffix", "prefix"), table)
+    # written, so that the join is of two plain shuffles and a (host, path) of very many pages is split
+    best = materialize(best.groupBy("host", "path").agg(F.max("held").alias("best")), "best_rules")
     judged = rows.join(best, ["host", "path"], "left")
     tokens = F.split("host", r"[-._]+")
     shady = F.arrays_overlap(tokens, F.lit(list(host_words))) if host_words else F.lit(False)

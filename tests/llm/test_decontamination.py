@@ -7,19 +7,24 @@ from prepkit.llm import decontamination
 from tests.llm.conftest import ODD
 
 
-def shingles(text):
-    w = re.findall(r"[^\W_]+", (text or "").lower())
-    return {" ".join(w[i : i + 5]) for i in range(len(w) - 4)}
+def words(text):
+    return re.findall(r"[^\W_]+", (text or "").lower())
+
+
+def shingles(text, width=5):
+    w = words(text)
+    return {" ".join(w[i : i + width]) for i in range(len(w) - width + 1)}
 
 
 def slow(docs, items, threshold=0.8):
     found = {}
     for d, text in docs:
-        own = shingles(text)
+        own = {n: shingles(text, n) for n in range(1, 6)}
         for i, item in items:
-            wanted = shingles(item)
-            if wanted and len(wanted & own) * 10 >= len(wanted) * round(threshold * 10):
-                found[d, i] = (len(wanted), len(wanted & own))
+            width = min(5, len(words(item)))
+            wanted, own_ = (shingles(item, width), own[width]) if width else (set(), set())
+            if wanted and len(wanted & own_) * 10 >= len(wanted) * round(threshold * 10):
+                found[d, i] = (len(wanted), len(wanted & own_))
     return found
 
 
@@ -48,6 +53,17 @@ def test_partial_passages_of_every_size(spark, docs):
         assert got == slow(rows, items, threshold)
 
 
+def test_items_of_a_few_words(spark, docs):
+    """Items of 1 to 4 words are found where their words stand in a row, and nowhere else."""
+    rng = random.Random(8)
+    rows = [(i, " ".join(f"w{rng.randrange(5)}" for _ in range(rng.randint(0, 30)))) for i in range(60)]
+    items = [(i, " ".join(f"w{rng.randrange(6)}" for _ in range(i % 6 + 1))) for i in range(24)]
+    got = as_dict(decontamination.contained_items(docs(rows), bench(spark, items)))
+    want = slow(rows, items)
+    assert got == want
+    assert {min(5, len(words(t))) for i, t in items if any(i == item for _, item in want)} >= {1, 2, 3}
+
+
 def test_shuffled_lookups_give_the_same(spark, docs, monkeypatch):
     items = [(i, " ".join(f"{chr(97 + i)}{k}" for k in range(12))) for i in range(5)]
     rows = [(d, f"x {items[d % 5][1]} y") for d in range(30)]

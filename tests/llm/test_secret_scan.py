@@ -89,3 +89,15 @@ def test_odd_rows(docs):
 def test_no_python_on_the_path(docs):
     plan = secret_scan.findings_by_path(docs(ODD), secret_scan.scan(docs(ODD)))._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
+
+
+def test_overlapping_runs_count_once(docs):
+    """Two runs that both scanned a blob leave one span, and the query's two runs scan no blob twice."""
+    frame = docs([(1, "password=abcdefghijklmnop"), (2, "password=abcdefghijklmnop"), (3, "x")])
+    old = secret_scan.scan(frame)
+    both = old.plus(secret_scan.scan(frame))
+    spans = {r["doc_id"]: len(r["spans"]) for r in secret_scan.findings_by_path(frame, both).collect()}
+    assert spans == {r["doc_id"]: len(r["spans"]) for r in secret_scan.findings_by_path(frame, old).collect()}
+    assert spans[1] == spans[2] and spans[3] == 0
+    later = secret_scan.scan(frame, ledger=old)
+    assert later.scanned.count() == later.findings.count() == 0

@@ -79,3 +79,33 @@ def test_no_python_on_the_path(spark, table):
     rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
     plan = url_filter.judge(table("pages"), rules)._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
+
+
+def test_prefixes_propose_and_digests_confirm(spark, monkeypatch):
+    """With prefixes of one hex digit nearly every expression meets rules of others; only equal digests count."""
+    monkeypatch.setattr(url_filter, "PREFIX_CHARS", 1)
+    rng = random.Random(21)
+    parts = ["a", "b", "c", "org", "example"]
+    rules = [(".".join(rng.choices(parts, k=rng.randint(1, 3))), "/" + "".join(rng.choices("xy/", k=rng.randint(0, 5))), rng.choice(["allow", "block"])) for _ in range(80)]
+    urls = [f"http://{'.'.join(rng.choices(parts, k=rng.randint(1, 4)))}/{''.join(rng.choices('xy/', k=rng.randint(0, 8)))}" for _ in range(300)]
+    for limit in (0, 1000):
+        monkeypatch.setattr(url_filter, "BROADCAST_ROWS", limit)
+        assert judged(spark, urls, rules) == {i: slow(u, rules) for i, u in enumerate(urls)}
+
+
+def test_the_join_is_on_short_prefixes(spark):
+    pages = spark.range(5).select(F.concat(F.lit("x"), "id").alias("e"))
+    rules = spark.createDataFrame([("org", "/", "block")], "host string, path string, verdict string")
+    found = url_filter._looked_up(
+        url_filter._digested(pages, "rule", "e"),
+        url_filter._digested(rules.withColumn("held", F.lit(1)), "rule", "path").select("short", "digest", "held"),
+    )
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    join = next(line for line in plan.splitlines() if "Join" in line)
+    assert "short" in join and "digest" not in join
+
+
+def test_a_hot_page_and_many_path_lengths(spark):
+    rules = [("org", "/" + "p" * n, "block" if n % 2 else "allow") for n in range(40)]
+    urls = ["http://a.org/ppp"] * 500 + [None] * 300 + ["http://b.org/" + "p" * n for n in range(60)]
+    assert judged(spark, urls, rules) == {i: slow(u, rules) for i, u in enumerate(urls)}
