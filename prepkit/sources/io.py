@@ -12,8 +12,11 @@ from pyspark.sql import types as T
 from prepkit.functions.columns import col
 from prepkit.operators.aggregates import local_frame
 from prepkit.operators.profile import duplicate_rows
+from prepkit.sources.csv_records import records
 
 FORMATS = ("parquet", "csv", "json")
+# CSV files above this size are cut into records by many tasks.
+SPLIT_BYTES = 256 << 20
 # The steps of a readable size.
 SIZE_UNITS = ("B", "KB", "MB", "GB")
 
@@ -36,6 +39,12 @@ def _is_json_array(spark: SparkSession, path: str) -> bool:
     return bool(first) and first[0][0].lstrip().startswith("[")
 
 
+def _large(spark: SparkSession, path: str) -> bool:
+    """Whether a file is so large that one task should not read it alone."""
+    files = spark.read.format("binaryFile").load(path).select("length")
+    return bool(files.where(F.col("length") > SPLIT_BYTES).take(1))
+
+
 def read_table(
     spark: SparkSession,
     path: str,
@@ -46,8 +55,10 @@ def read_table(
     """Read Parquet, CSV (with header) or JSON (one object per line, or an array).
 
     No row is lost silently: a malformed one fails the read. By default a CSV value may hold line
-    breaks, and JSON files that open with an array are read as arrays; such files cannot be split
-    between tasks. ``multi_line=False`` promises one row per line, so that large files are split.
+    breaks, and JSON files that open with an array are read as arrays. With a schema, CSV files above
+    ``SPLIT_BYTES`` are cut into records by many tasks (see ``csv_records``); others, and files with
+    quotes in odd places, are read by a task each. ``multi_line=False`` promises one row per line,
+    ``multi_line=True`` asks for whole files.
     In CSV an empty value is null and a quoted empty one the empty string.
 
     Without a schema, CSV and JSON types are inferred, which costs a pass over the files; give a
@@ -62,15 +73,14 @@ def read_table(
     if fmt == "json":
         whole = _is_json_array(spark, path) if multi_line is None else multi_line
         return reader.json(path, multiLine=whole, mode="FAILFAST")
-    df = reader.csv(
-        path,
-        header=True,
-        inferSchema=schema is None,
-        multiLine=multi_line is not False,
-        escape='"',
-        mode="FAILFAST",
-        emptyValue=_EMPTY_VALUE,
-    )
+    options = {"escape": '"', "mode": "FAILFAST", "emptyValue": _EMPTY_VALUE}
+    cut = records(spark, path) if multi_line is None and schema is not None and _large(spark, path) else None
+    if cut is None:
+        df = reader.csv(path, header=True, inferSchema=schema is None, multiLine=multi_line is not False, **options)
+    else:
+        schema = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
+        fields = ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in schema.fields)
+        df = cut.select(F.from_csv("record", fields, options).alias("r")).select("r.*")
     return df.select(
         *[
             F.when(col(f.name) == _EMPTY_VALUE, "").otherwise(col(f.name)).alias(f.name)
