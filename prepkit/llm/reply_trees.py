@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from prepkit.functions.columns import col
+from prepkit.functions.columns import col, union_all
 from prepkit.sources.scratch import materialize
 
 HOT_MESSAGES = 100_000  # a tree with more messages is hot, if it also holds 1 / HOT_TREES of all
@@ -97,8 +97,8 @@ def reply_links(
 def _jumps(links: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
     """Every node's ``(tree, node, depth, total, scored)`` from its root, and tables of 2^k-th ancestors.
 
-    Each round joins the table to itself and doubles the distance, so the number of rounds is the
-    logarithm of the longest path. Nodes on a cycle, or below one, never reach a root and are left out:
+    Each round joins the nodes that have not reached a root to all and doubles the distance, so the number
+    of rounds is the logarithm of the longest path, and short paths leave early. Nodes on a cycle, or below one, never reach a root and are left out:
     rounds end when they are all that is left, which the largest tree's number of nodes bounds.
     """
     known = links.select("tree", F.col("node").alias("up"))
@@ -112,17 +112,20 @@ def _jumps(links: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
         F.coalesce("l.score", F.lit(0.0)).alias("total"),
         F.col("l.score").isNotNull().cast("bigint").alias("scored"),
     )
-    table, ups = materialize(table, "replies"), []
+    table = materialize(table, "replies")
+    done, going, ups = [table.where("up is null")], table.where("up is not null"), []
     most = links.groupBy("tree").count().agg(F.max("count")).first()[0] or 0
     for _ in range(int(most).bit_length() + 1):
-        if not table.where("up is not null").take(1):
+        if not going.take(1):
             break
-        ups.append(table.where("up is not null").select("tree", "node", "up"))
-        a, b = table.alias("a"), table.alias("b")
+        ups.append(going.select("tree", "node", "up"))
+        a, b = going.alias("a"), union_all([*done, going]).alias("b")
         same = F.col("a.tree").eqNullSafe(F.col("b.tree")) & (F.col("a.up") == F.col("b.node"))
-        more = [(F.col(f"a.{c}") + F.coalesce(f"b.{c}", F.lit(0))).alias(c) for c in ("depth", "total", "scored")]
-        table = materialize(a.join(b, same, "left").select("a.tree", "a.node", "b.up", *more), "replies")
-    return table.where("up is null").drop("up"), ups
+        more = [(F.col(f"a.{c}") + F.col(f"b.{c}")).alias(c) for c in ("depth", "total", "scored")]
+        table = materialize(a.join(b, same).select("a.tree", "a.node", "b.up", *more), "replies")
+        done.append(table.where("up is null"))
+        going = table.where("up is not null")
+    return union_all(done).drop("up"), ups
 
 
 def best_branches(links: DataFrame, best: int = 1) -> DataFrame:
@@ -139,18 +142,15 @@ def best_branches(links: DataFrame, best: int = 1) -> DataFrame:
     score = F.when(F.col("scored") > 0, F.col("total") / F.col("scored"))
     order = Window.partitionBy("tree").orderBy(F.col("score").desc_nulls_last(), "node")
     ranked = leaves.withColumn("score", score).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= best)
+    columns = ["tree", "path", "rank", "score", "node", "step"]
     steps = ranked.select("tree", F.col("node").alias("path"), "rank", "score", "node", F.col("depth").alias("step"))
-    for k in reversed(range(len(ups))):
+    parts = [materialize(steps, "paths")]
+    for k in reversed(range(len(ups))):  # every distance to the leaf is one sum of powers of two, the largest first
         up = ups[k].select(F.col("tree").alias("t"), F.col("node").alias("of"), "up")
-        found = steps.join(up, F.col("tree").eqNullSafe(F.col("t")) & (F.col("node") == F.col("of")), "left")
-        here, above = (F.struct(n.alias("node"), s.alias("step")) for n, s in (
-            (F.col("node"), F.col("step")), (F.col("up"), F.col("step") - 2**k)
-        ))
-        at = F.explode(F.when(F.col("up").isNull(), F.array(here)).otherwise(F.array(here, above)))
-        steps = found.select("tree", "path", "rank", "score", at.alias("at")).select(
-            "tree", "path", "rank", "score", "at.node", "at.step"
-        )
-    return materialize(steps, "paths")
+        found = union_all(parts).join(up, F.col("tree").eqNullSafe(F.col("t")) & (F.col("node") == F.col("of")))
+        above = found.select("tree", "path", "rank", "score", F.col("up").alias("node"), (F.col("step") - 2**k).alias("step"))
+        parts.append(materialize(above.select(*columns), "paths"))
+    return union_all(parts)
 
 
 def _near(messages: DataFrame, steps: DataFrame) -> DataFrame:
