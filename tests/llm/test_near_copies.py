@@ -71,7 +71,7 @@ def test_links_at_the_threshold(docs):
 
 def test_result_does_not_depend_on_order_or_broadcasts(docs, corpus, monkeypatch):
     want = slow(corpus)
-    for values in ({"ORDER_SHINGLES": 0, "BROADCAST_ROWS": 0, "SEEDS": ()}, {"CROWD": 1, "SLICE": 2}):
+    for values in ({"ORDER_SHINGLES": 0, "BROADCAST_ROWS": 0, "SEEDS": ()}, {"CROWD": 1, "SLICE": 2, "HOT_GROUPS": 1, "TILE": 3, "SEEDS": ()}):
         for name, value in values.items():
             monkeypatch.setattr(near_copies, name, value)
         assert {r["doc_id"]: r["component"] for r in near_copies.near_copies(docs(corpus)).collect()} == want
@@ -125,7 +125,24 @@ def test_families_yield_few_pairs(docs):
     assert first.count() <= 10 * len(rows)
     found = near_copies.linked_sets(docs(rows), heads)
     assert found.select("root").distinct().count() == 1
-    assert near_copies.cross_proposals(keys, found, 0.8).count() == 0
+    assert near_copies.cross_proposals(keys, found, heads, 0.8).count() == 0
+
+
+def test_hot_keys_lose_no_link(docs, monkeypatch):
+    """A family around the threshold, most of it below, compared in blocks of a few sets: the same groups as all pairs."""
+    rng = random.Random(53)
+    base = [f"w{rng.randrange(3000)}" for _ in range(70)]
+    rows = []
+    for i in range(60):
+        copy = list(base)
+        for at in rng.sample(range(70), rng.randint(0, 3)):
+            copy[at] = f"x{rng.randrange(10**6)}"
+        rows.append((i, " ".join(copy[: rng.choice([70, 66])])))
+    want = slow(rows)
+    assert 1 < len(set(want.values())) < 60
+    for name, value in (("SEEDS", ()), ("HOT_GROUPS", 1), ("TILE", 7)):
+        monkeypatch.setattr(near_copies, name, value)
+    assert {r["doc_id"]: r["component"] for r in near_copies.near_copies(docs(rows)).collect()} == want
 
 
 def test_names_of_helpers_may_be_columns(docs):
