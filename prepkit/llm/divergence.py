@@ -69,54 +69,62 @@ def document_counts(rows: DataFrame, bits: int) -> DataFrame:
     return rows.mapInArrow(run, "lang string, digest bigint, docs bigint")
 
 
-def term_counts(rows: DataFrame, bits: int, kept: DataFrame) -> DataFrame:
+def term_counts(rows: DataFrame, bits: int, kept: DataFrame, exact: bool = False) -> DataFrame:
     """``(lang, source, digest, term, n, docs)`` of the kept digests, as each task pre-aggregates them.
 
     Up to ``BROADCAST_TERMS`` the kept digests are broadcast and others never leave the task that
     counts them; beyond that the rows of others are written too, and dropped by the joins that follow.
+    A term's string stands in the first of its rows that a task writes for its language, and ``docs`` is
+    null; with ``exact`` both stand in all of them.
     """
     known = None
     if kept.count() <= BROADCAST_TERMS:
         found = kept.select("digest").toArrow().column("digest").to_numpy()
         known = rows.sparkSession.sparkContext.broadcast(np.unique(found))
 
-    def table(held: dict[tuple, tuple[Counter, Counter]]) -> Iterator[pa.RecordBatch]:
-        for (lang, source), (times, found) in held.items():
+    def table(held: dict[tuple, Counter], docs: dict[tuple, Counter]) -> Iterator[pa.RecordBatch]:
+        told: dict[str, set] = {}
+        for (lang, source), times in held.items():
             terms = list(times)
-            digests = _digests(terms, bits)
+            digests, n = _digests(terms, bits), np.fromiter(times.values(), np.int64, len(terms))
             if known is not None:
                 at = np.searchsorted(known.value, digests)
                 mine = at < len(known.value)
                 mine[mine] = known.value[at[mine]] == digests[mine]
-                terms, digests = [terms[i] for i in np.flatnonzero(mine)], digests[mine]
+                terms, digests, n = [terms[i] for i in np.flatnonzero(mine)], digests[mine], n[mine]
+            before = told.setdefault(lang, set())
             for at in range(0, len(terms), SLICE):
                 some = terms[at : at + SLICE]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([lang] * len(some)),
-                        pa.array([source] * len(some)),
-                        pa.array(digests[at : at + SLICE]),
-                        pa.array(some, pa.binary()).cast(pa.string()),
-                        pa.array([times[t] for t in some], pa.int64()),
-                        pa.array([found[t] for t in some], pa.int64()),
-                    ],
-                    names=["lang", "source", "digest", "term", "n", "docs"],
-                )
+                names = some if exact else [None if t in before else t for t in some]
+                found = [docs[lang, source][t] for t in some] if exact else [None] * len(some)
+                columns = [
+                    pa.array([lang] * len(some)),
+                    pa.array([source] * len(some)),
+                    pa.array(digests[at : at + SLICE]),
+                    pa.array(names, pa.binary()).cast(pa.string()),
+                    pa.array(n[at : at + SLICE]),
+                    pa.array(found, pa.int64()),
+                ]
+                yield pa.RecordBatch.from_arrays(columns, names=["lang", "source", "digest", "term", "n", "docs"])
+            before.update(terms)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple, tuple[Counter, Counter]] = {}
+        held: dict[tuple, Counter] = {}
+        docs: dict[tuple, Counter] = {}
         size = 0
         for batch in batches:
             for lang, source, text in zip(*batch.columns):
-                times, found = held.setdefault((lang.as_py(), source.as_py()), (Counter(), Counter()))
-                terms, before = terms_of(text.as_py()), len(found)
+                group = lang.as_py(), source.as_py()
+                terms, times = terms_of(text.as_py()), held.setdefault(group, Counter())
+                size -= len(times)
                 times.update(terms)
-                found.update(set(terms))
-                size += len(found) - before
+                size += len(times)
+                if exact:
+                    docs.setdefault(group, Counter()).update(set(terms))
                 if size > HELD:
-                    yield from table(held)
-                    held, size = {}, 0
-        yield from table(held)
+                    yield from table(held, docs)
+                    held, docs, size = {}, {}, 0
+        yield from table(held, docs)
 
     return rows.mapInArrow(run, "lang string, source string, digest bigint, term string, n bigint, docs bigint")
 
@@ -136,14 +144,15 @@ def kept_terms(rows: DataFrame, min_docs: int, bits: int) -> tuple[DataFrame, Da
     by_source = counts.groupBy("lang", "source", "digest").agg(F.sum("n").alias("n"))
     by_source = materialize(by_source, "source_terms")
     totals = by_source.groupBy(*keys).agg(F.sum("n").alias("total"))
-    named = counts.select(*keys, "term").distinct().groupBy(*keys).agg(F.min("term").alias("lo"), F.max("term").alias("hi"))
+    named = counts.where("term is not null").select(*keys, "term").groupBy(*keys).agg(F.min("term").alias("lo"), F.max("term").alias("hi"))
     # digests are broadcast without their language, so one may be kept in another language only
     strings = materialize(named.join(kept, keys).join(totals, keys), "term_strings")
     terms = strings.where("lo = hi").select(*keys, F.lit(0).alias("place"), F.col("lo").alias("term"), "total")
     by_term = by_source.select("lang", "source", "digest", "n", F.lit(0).alias("place"))
     mixed = strings.where("lo <> hi").select(*keys)
     if mixed.take(1):
-        exact = counts.join(mixed, keys, "left_semi").groupBy("lang", "source", "digest", "term")
+        exact = term_counts(rows, bits, mixed, exact=True).join(mixed, keys, "left_semi")
+        exact = exact.groupBy("lang", "source", "digest", "term")
         exact = materialize(exact.agg(F.sum("n").alias("n"), F.sum("docs").alias("docs")), "split_terms")
         whole = exact.groupBy(*keys, "term").agg(F.sum("n").alias("total"), F.sum("docs").alias("docs"))
         order = Window.partitionBy(*keys).orderBy("term")
