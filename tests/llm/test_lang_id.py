@@ -1,3 +1,6 @@
+import math
+import re
+from collections import Counter
 import zlib
 
 import numpy as np
@@ -70,3 +73,45 @@ def test_fit_is_bounded_and_repeatable(docs):
     model = lang_id.train(many, max_rows_per_lang=100)
     again = lang_id.train(many.repartition(2), max_rows_per_lang=100)
     assert (model.weights == again.weights).all()
+
+
+def slow_grams(text, orders=3):
+    """Runs of letters between single boundary signs, and all their n-grams, as strings."""
+    line = " " + re.sub(r"\s+", " ", "".join(c if c.isalpha() else " " for c in text.lower())).strip() + " "
+    if not line.strip():
+        return Counter()
+    return Counter(
+        line[i : i + n] for n in range(1, orders + 1) for i in range(len(line) - n + 1) if n > 1 or line[i] != " "
+    )
+
+
+def test_grams_against_strings(corpus):
+    """The same number of different n-grams, as often each, over the whole corpus."""
+    for _, text in corpus:
+        parts = list(lang_id.grams(text, 3, 1 << 31))
+        hashed = Counter(np.concatenate(parts).tolist()) if parts else Counter()
+        want = slow_grams(text)
+        assert sorted(hashed.values()) == sorted(want.values())
+
+
+def test_model_against_exact_grams(spark, table):
+    """Held-out languages as naive Bayes over unhashed n-grams gives them."""
+    rows = table("documents").select("doc_id", "text", "lang", lang_id.held_out().alias("out")).collect()
+    counts, seen = {}, Counter()
+    for r in rows:
+        if not r["out"] and r["lang"] is not None:
+            counts.setdefault(r["lang"], Counter()).update(slow_grams(r["text"] or ""))
+            seen[r["lang"]] += 1
+    known = set().union(*counts.values())
+    best = {}
+    for r in rows:
+        own = slow_grams(r["text"] or "")
+        odds = {
+            lang: math.log(seen[lang]) + sum(n * math.log((c[g] + 0.5) / (sum(c.values()) + 0.5 * len(known))) for g, n in own.items())
+            for lang, c in counts.items()
+        }
+        best[r["doc_id"]] = max(odds, key=odds.get) if own else "und"
+    docs = table("documents")
+    model = lang_id.train(docs.where(~lang_id.held_out()))
+    got = {r["doc_id"]: r["lang_pred"] for r in lang_id.identify(docs, model).collect()}
+    assert sum(got[i] == best[i] for i in got) >= 0.99 * len(got)

@@ -1,4 +1,8 @@
+import string
+import zlib
+
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from prepkit.llm import ratings
@@ -74,3 +78,68 @@ def test_odd_rows(docs):
     assert not untaught.weights.any() and ratings.rate(docs(ODD), untaught).count() == len(ODD)
     odd = docs(ODD).withColumn("grade", F.lit(9))
     assert not ratings.train(odd, odd, 3).weights.any()
+
+
+def slow_features(text, buckets):
+    """The features one by one: {bucket: value} of words, and the list of sign buckets."""
+    low = text.lower().split()
+    words = {zlib.crc32(f"w {w.strip(string.punctuation)}".encode()) % buckets for w in set(low)}
+    lines = text.split("\n")
+    size = max(1, len(text))
+    facts = {
+        "words": len(low).bit_length(),
+        "symbols": min(10, int(40 * sum(c in ratings._SYMBOLS for c in text) / size)),
+        "capitals": int(10 * sum("A" <= c <= "Z" for c in text) / size),
+        "lines": int(10 * (1 - len(set(lines)) / len(lines))),
+        "different": int(10 * len(set(low)) / max(1, len(low))),
+        "word": min(20, size // max(1, len(low))),
+    }
+    signs = [zlib.crc32(f"s {k} {v}".encode()) % buckets for k, v in facts.items()]
+    return {b: max(1, len(words)) ** -0.25 for b in words}, signs
+
+
+def test_features_one_by_one(corpus):
+    made = ratings.Featurizer(1 << 17)
+    for _, text in [*corpus, *((i, t or "") for i, t in ODD)]:
+        index, values = made(text)
+        words, signs = slow_features(text or "", 1 << 17)
+        assert dict(zip(index[: len(words)].tolist(), values[: len(words)])) == pytest.approx(words)
+        assert index[len(words) :].tolist() == signs and (values[len(words) :] == 1).all()
+
+
+def full_batch(x, grades, steps=1000, rate=0.1):
+    """Cumulative-link regression by plain gradient descent over all rows at once."""
+    w, cuts = np.zeros(x.shape[1]), np.array([-0.7, 0.7])
+    sig = lambda z: 1 / (1 + np.exp(-z))
+    for _ in range(steps):
+        below = np.concatenate([[-np.inf], cuts, [np.inf]])
+        score = x @ w
+        low, high = sig(below[grades] - score), sig(below[grades + 1] - score)
+        w -= rate * x.T @ (1 - low - high) / len(grades)
+        width = np.maximum(high - low, 1e-9)
+        for k in range(2):
+            pull = (low * (1 - low) / width)[grades == k + 1].sum() - (high * (1 - high) / width)[grades == k].sum()
+            cuts[k] -= rate * pull / len(grades)
+    return w, cuts
+
+
+def test_agrees_with_a_full_batch_fit(docs):
+    """Held-out selection as an independent fit over exact word features gives it, and nearly its loss."""
+    frame, grades = rated(docs)
+    model = ratings.train(frame, frame.where("doc_id < 400"), 3, shard_rows=150)
+    texts = {r["doc_id"]: r["text"] for r in frame.collect()}
+    words = sorted({w for t in texts.values() for w in t.split()})
+    at = {w: i for i, w in enumerate(words)}
+    x = np.zeros((len(texts), len(words)))
+    for i, t in texts.items():
+        x[i, [at[w] for w in set(t.split())]] = 1
+    truth = np.array([grades[i] for i in range(len(texts))])
+    w, cuts = full_batch(x[:400], truth[:400])
+    slow = ratings.OrdinalModel(w, cuts).above(x[400:] @ w)
+    rows = {r["doc_id"]: r for r in ratings.rate(frame.where("doc_id >= 400"), model).collect()}
+    expected = np.array([rows[i]["expected_grade"] for i in range(400, len(texts))])
+    assert np.corrcoef(expected, slow.sum(axis=1))[0, 1] >= 0.9
+    tail = np.array([rows[i]["tail"] for i in range(400, len(texts))])
+    assert ((tail >= 0.5) == (slow[:, -1] >= 0.5)).mean() >= 0.9
+    loss = lambda p: -np.log(np.clip(np.where(truth[400:] == 2, p, 1 - p), 1e-6, 1)).mean()
+    assert loss(tail) <= loss(slow[:, -1]) + 0.2
