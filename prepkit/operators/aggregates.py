@@ -519,22 +519,16 @@ def local_frame(spark: SparkSession, rows: Sequence[tuple], schema: str | T.Stru
     return spark.createDataFrame(pa.Table.from_arrays(arrays, names=schema.names), schema)
 
 
-def settle(frame: DataFrame, limit: int = SMALL_ROWS, size: int | None = None) -> tuple[DataFrame, bool]:
+def settle(frame: DataFrame, limit: int = SMALL_ROWS) -> tuple[DataFrame, bool]:
     """Evaluate a grouped frame and say whether it is small enough to broadcast.
 
     Up to ``limit`` rows it becomes a local frame, from one job and without a file. Beyond that it is
-    written to the shared folder, and the written table is joined by shuffle. ``size``, an estimate of
-    its rows from a pass that is made anyway, spares the first attempt where it is bound to fail; a
-    wrong one costs time only.
+    written to the shared folder, and the written table is joined by shuffle.
     """
-    if size is None or size <= limit + limit // 5:
-        rows = frame.limit(limit + 1).collect()
-        if len(rows) <= limit:
-            return local_frame(frame.sparkSession, rows, frame.schema), True
-    written = materialize(frame, "lookup")
-    if size is not None and written.count() <= limit:
-        return local_frame(frame.sparkSession, written.collect(), frame.schema), True
-    return written, False
+    rows = frame.limit(limit + 1).collect()
+    if len(rows) <= limit:
+        return local_frame(frame.sparkSession, rows, frame.schema), True
+    return materialize(frame, "lookup"), False
 
 
 def lookup_join(

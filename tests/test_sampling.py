@@ -91,10 +91,11 @@ def test_lookups_beyond_the_broadcast_bound(hot, monkeypatch):
         bag(S.assign_split(wide, 0.25, "g")),
         bag(S.sample_stratified_size(wide, "g", 900, ["id"])),
     ]
-    monkeypatch.setattr(A.settle, "__defaults__", (5,))
     written = []
     real = A.materialize
     monkeypatch.setattr(A, "materialize", lambda *a: written.append(a) or real(*a))
+    assert bag(S.undersample(wide, "g", ["id"])) == want[0] and not written  # a small plan leaves no file
+    monkeypatch.setattr(A.settle, "__defaults__", (5,))
     got = [
         bag(S.undersample(wide, "g", ["id"])),
         bag(S.assign_split(wide, 0.25, "g")),
