@@ -171,11 +171,14 @@ def _div(a: Column, b: Column) -> Column:
 
 
 def _probability(n: Column, whole: Column, terms: Column) -> Column:
-    return 1 + _div((n + 1).cast("decimal(28,0)") * F.lit(10**9).cast("decimal(10,0)"), F.greatest(whole + terms, F.lit(1)))
+    below = F.greatest(whole + terms, F.lit(1))
+    large = _div((n + 1).cast("decimal(28,0)") * F.lit(10**9).cast("decimal(10,0)"), below)
+    small = F.call_function("div", (n + 1) * F.lit(10**9).cast("bigint"), below)
+    return 1 + F.when(n < 9 * 10**9, small).otherwise(large)  # 64 bits hold the product of a small count
 
 
 def _gain(p: Column, q: Column) -> Column:
-    return _div((p - q) * (p - q), q)  # p and q are at most 10^9 + 1
+    return F.call_function("div", (p - q) * (p - q), q)  # p and q are at most 10^9 + 1: 64 bits hold the square
 
 
 def group_sizes(docs: DataFrame, table: DataFrame, terms: DataFrame, lang_col: str, source_col: str) -> DataFrame:
