@@ -543,8 +543,8 @@ def lookup_join(
 ) -> DataFrame:
     """Join rows to a settled lookup frame of distinct keys; drops nothing of either side's columns.
 
-    Broadcast behind the size check. Beyond it the join shuffles, and the lookup is repeated for
-    ``salts`` salts, so that the rows of one key go to as many tasks.
+    Broadcast behind the size check. Beyond it the join shuffles, however small the lookup's file looks
+    to Spark, and the lookup is repeated for ``salts`` salts, so that the rows of one key go to as many tasks.
     """
     def equal(right: Column) -> Column:
         return key.eqNullSafe(right) if null_safe else key == right
@@ -555,4 +555,5 @@ def lookup_join(
     plain = [col(f.name) for f in df.schema.fields if not has_map(f.dataType)] or [F.lit(0)]
     rows = df.withColumn(mine, F.pmod(F.xxhash64(*plain), F.lit(salts)).cast("int"))
     repeated = lookup.withColumn(theirs, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return rows.join(repeated, equal(F.col(lookup_key)) & (F.col(mine) == F.col(theirs)), how).drop(mine, theirs)
+    same = equal(F.col(lookup_key)) & (F.col(mine) == F.col(theirs))
+    return rows.join(repeated.hint("merge"), same, how).drop(mine, theirs)

@@ -186,6 +186,19 @@ def test_large_lookup_spreads_a_hot_class(spark):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
+@pytest.mark.parametrize(("how", "null_safe"), [("inner", False), ("left", True)])
+def test_large_lookup_is_not_broadcast(spark, how, null_safe):
+    """A written lookup of long runs is a few kB of Parquet, which Spark by itself would send to the driver."""
+    df = spark.range(40000).select("id", F.when(F.col("id") % 8 > 0, F.col("id") % 20000).alias("c"))
+    totals = df.groupBy(F.col("c").alias("k")).agg(F.count(F.lit(1)).alias("n"))
+    lookup, small = aggregates.settle(totals)
+    assert not small
+    joined = aggregates.lookup_join(df, lookup, small, F.col("c"), "k", null_safe=null_safe, how=how)
+    assert joined.count() == 40000 - (0 if null_safe else 5000)
+    assert joined.where("n = 2").count() == 35000
+    assert "SortMergeJoin" in plan_of(joined) and "BroadcastHashJoin" not in plan_of(joined)
+
+
 def test_domain_tags_search_before_the_shuffle(table):
     plan = plan_of(reports.domain_tags(table("documents"), ["source"], "text"))
     assert plan.rindex("regexp_extract_all") > plan.rindex("Exchange hashpartitioning")
