@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Mapping, Sequence
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
@@ -266,7 +267,8 @@ def _rank_values(df: DataFrame, brackets: list[_Bracket]) -> dict[tuple, list[Ro
     for b in brackets:
         slots.setdefault(b.range(), []).append(b)
     found: dict[tuple, list[Row]] = {key: [] for key in slots}
-    for chunk in chunks(list(slots), AGG_WIDTH):
+    whole = [key for key in slots if key[1] is None]
+    for chunk in [*chunks(whole, AGG_WIDTH), *chunks([key for key in slots if key not in whole], AGG_WIDTH)]:
         names = [f"s{i}" for i in range(len(chunk))]
         cells = [slots[key][0].cell().alias(name) for key, name in zip(chunk, names)]
         ranks = []
@@ -277,8 +279,10 @@ def _rank_values(df: DataFrame, brackets: list[_Bracket]) -> dict[tuple, list[Ro
             ranks += [F.lit(name), F.array(*[F.lit(r).cast("bigint") for r in wanted])]
         order = Window.partitionBy("slot").orderBy("value")
         upto, n = F.col("upto"), F.col("n")
+        # few rows lie in a narrow bracket: the others go before every row is repeated for each slot
+        held = df if chunk[0] in whole else df.where(reduce(Column.__or__, [slots[key][0].holds() for key in chunk]))
         rows = (
-            df.select(*cells)
+            held.select(*cells)
             .unpivot([], names, "slot", "value")
             .where(F.col("value").isNotNull())
             .groupBy("slot", "value")
@@ -332,10 +336,12 @@ class _Bracket:
         return F.percentile_approx(self.cell(), edges, SKETCH)
 
 
-def _narrow(df: DataFrame, wide: list[_Bracket], seed: int, sample_rows: int) -> None:
+def _narrow(df: DataFrame, wide: list[_Bracket], seed: int, sample_rows: int, window_rows: int) -> None:
     """One narrowing step: guess tighter brackets from a sample, then verify them by counting.
 
-    A guess that does not hold its ranks is dropped and the next one is wider.
+    A guess that does not hold its ranks is dropped and the next one is wider. Rows are counted in
+    generated code; only brackets that hold more than ``window_rows`` of them have their values
+    counted, by a sketch, which generated code has no place for.
     """
     rate = min(1.0, sample_rows / max(b.inside for b in wide))
     sample = df.sample(rate, seed) if rate < 1.0 else df
@@ -345,11 +351,10 @@ def _narrow(df: DataFrame, wide: list[_Bracket], seed: int, sample_rows: int) ->
         if guesses[b.name] is not None:
             lo, hi = guesses[b.name]
             x = b.value()
-            held = b.holds() & x.between(F.lit(lo), F.lit(hi))
             exprs[b.name, "below"] = F.count_if(x < F.lit(lo))
-            exprs[b.name, "inside"] = F.count_if(held)
-            exprs[b.name, "distinct"] = F.approx_count_distinct(F.when(held, x))
+            exprs[b.name, "inside"] = F.count_if(b.holds() & x.between(F.lit(lo), F.lit(hi)))
     found = one_row(df, exprs) if exprs else {}
+    moved = []
     for b in wide:
         if guesses[b.name] is None:
             b.width *= 2
@@ -362,7 +367,12 @@ def _narrow(df: DataFrame, wide: list[_Bracket], seed: int, sample_rows: int) ->
             b.halve = True
         else:
             b.lo, b.hi, b.below, b.inside = lo, hi, below, inside
-            b.distinct = found[b.name, "distinct"]
+            b.distinct = 1 if lo == hi else inside
+            moved.append(b)
+    many = [b for b in moved if b.distinct > window_rows]
+    found = one_row(df, {b.name: F.approx_count_distinct(b.cell()) for b in many})
+    for b in many:
+        b.distinct = found[b.name]
 
 
 def _middle(lo: float, hi: float) -> float:
@@ -455,7 +465,7 @@ def exact_quantiles(
     rest = [c for c in columns if c not in out]
     if rest:
         known = None if counts is None else {c: counts[c] for c in rest}
-        out |= rank_columns(df, rest, probs, interpolation, known, window_rows, sample_rows)[0]
+        out |= rank_columns(df, rest, probs, interpolation, known, window_rows, sample_rows, sizes=sizes)[0]
     return {c: out[c] for c in columns}
 
 
@@ -468,10 +478,12 @@ def rank_columns(
     window_rows: int = WINDOW_ROWS,
     sample_rows: int = SAMPLE_ROWS,
     max_samples: int = 20,
+    sizes: Mapping[str, int] | None = None,
 ) -> tuple[dict[str, dict[float, float | None]], dict[str, int]]:
     """:func:`exact_quantiles`, and the distinct values of the columns that were ranked whole.
 
-    Distinct values are those of the column as double. After ``max_samples`` sampled steps, or
+    Distinct values are those of the column as double. Columns of many rows but few values are
+    ranked whole, which a sketch per column tells beforehand unless ``sizes`` are given. After ``max_samples`` sampled steps, or
     when a sample no longer helps, brackets are halved by value until they are narrow enough.
     """
     if interpolation not in ("linear", "nearest"):
@@ -485,11 +497,16 @@ def rank_columns(
         for j, p in enumerate(probs)
         if counts[c]
     }
+    if sizes is None:
+        long = [c for c in columns if counts[c] > window_rows]
+        sizes = one_row(df, {c: F.approx_count_distinct(finite(col(c).cast("double"))) for c in long})
+    for b in brackets.values():
+        b.distinct = min(b.distinct, sizes.get(b.column, b.distinct))
     step = 0
     while wide := [b for b in brackets.values() if b.distinct > window_rows]:
         sampled = [b for b in wide if not b.halve and step < max_samples]
         if sampled:
-            _narrow(df, sampled, 17 + step, sample_rows)
+            _narrow(df, sampled, 17 + step, sample_rows, window_rows)
         if halved := [b for b in wide if b not in sampled]:
             _halve(df, halved)
         step += 1

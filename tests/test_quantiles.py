@@ -49,6 +49,29 @@ def test_brackets_shrink_what_is_ranked(spark, monkeypatch):
     assert all(b.distinct <= 600 or b.stuck for b in seen)
 
 
+def test_long_columns_of_few_values_are_ranked_whole(spark, monkeypatch):
+    """Their rows alone make no brackets, and brackets cost no sketch each and no copy of every row."""
+    df = skewed(spark)
+    seen, sketches, frames = [], [], []
+    real, counted = A._rank_values, F.approx_count_distinct
+
+    def spy(frame, brackets):
+        seen.extend(brackets)
+        return real(frame, brackets)
+
+    monkeypatch.setattr(A, "_rank_values", spy)
+    monkeypatch.setattr(A.F, "approx_count_distinct", lambda *a: sketches.append(a) or counted(*a))
+    unpivot = type(df).unpivot
+    monkeypatch.setattr(type(df), "unpivot", lambda self, *a: frames.append(self) or unpivot(self, *a))
+    got, distinct = A.rank_columns(df, ["b", "c", "k"], (0.25, 0.5), window_rows=3000, sample_rows=5000)
+    assert {b.column for b in seen if b.lo is None} == {"b", "k"} == set(distinct)
+    assert distinct == {"b": 1009, "k": 1} and len(sketches) == 3
+    local = df.toPandas()
+    for c in ("b", "c", "k"):
+        assert list(got[c].values()) == pytest.approx(list(np.quantile(local[c].dropna().astype(float), (0.25, 0.5))))
+    assert [f.count() for f in frames] == [20000, sum(b.inside for b in seen if b.column == "c")]
+
+
 def test_a_misleading_sample_does_not_change_the_result(spark, monkeypatch):
     df = skewed(spark)
     real = A._Bracket.guess_edges
