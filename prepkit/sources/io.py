@@ -45,6 +45,20 @@ def _large(spark: SparkSession, path: str) -> bool:
     return bool(files.where(F.col("length") > SPLIT_BYTES).take(1))
 
 
+def _inferred(spark: SparkSession, path: str, cut: DataFrame, options: dict[str, str]) -> T.StructType | None:
+    """The types that Spark infers from all records, under the names of the first header.
+
+    None where there are no records, or the first one is not as long as the header.
+    """
+    names = spark.read.csv(path, header=True, multiLine=True, **options).columns
+    # Spark infers nothing from a blank line, which is a record where a table has one column
+    texts = cut.rdd.map(lambda r: r[0] if r[0].strip() else f'"{r[0]}"')
+    found = spark.read.csv(texts, header=False, inferSchema=True, **options).schema
+    if len(found) != len(names):
+        return None
+    return T.StructType([T.StructField(n, f.dataType) for n, f in zip(names, found)])
+
+
 def read_table(
     spark: SparkSession,
     path: str,
@@ -74,8 +88,10 @@ def read_table(
         whole = _is_json_array(spark, path) if multi_line is None else multi_line
         return reader.json(path, multiLine=whole, mode="FAILFAST")
     options = {"escape": '"', "mode": "FAILFAST", "emptyValue": _EMPTY_VALUE}
-    cut = records(spark, path) if multi_line is None and schema is not None and _large(spark, path) else None
-    if cut is None:
+    cut = records(spark, path) if multi_line is None and _large(spark, path) else None
+    if cut is not None and schema is None:
+        schema = _inferred(spark, path, cut, options)
+    if cut is None or schema is None:
         df = reader.csv(path, header=True, inferSchema=schema is None, multiLine=multi_line is not False, **options)
     else:
         schema = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema

@@ -59,6 +59,29 @@ def test_a_file_is_read_by_many_tasks(spark, tmp_path, small_splits):
     assert got.count() == 4000 and got.where("s = concat('line\\nbreak ', i)").count() == 4000
 
 
+def test_types_are_inferred_from_all_records(spark, tmp_path, small_splits):
+    rng = random.Random(5)
+    folder = tmp_path / "t.csv"
+    folder.mkdir()
+    for k in range(2):
+        rows = [f'{i},"{text(rng, chr(10))}",{i}{".5" if k and i == 39 else ""},2024-01-0{1 + i % 9} 10:00:00,{"" if i % 3 else "true"},""' for i in range(40)]
+        (folder / f"part{k}.csv").write_text("\n".join(["i,text,d,at,b,i", *rows]) + "\n")
+    small_splits(300)
+    got, want = io.read_table(spark, str(folder)), io.read_table(spark, str(folder), multi_line=True)
+    assert got.schema == want.schema and dict(got.dtypes)["d"] == "double" and len(got.columns) == 6
+    assert rows_of(got) == rows_of(want) and got.count() == 80
+    assert "FileScan csv" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("body", ["a\n1\n  \n2\n", "first,second,third\n", "name\n1\n\n2\n3\n4\n", 'a,b\n1,"x\ny"\n'])
+def test_inference_of_odd_files(spark, tmp_path, small_splits, body):
+    path = tmp_path / "t.csv"
+    path.write_text(body)
+    small_splits(3)
+    got, want = io.read_table(spark, str(path)), io.read_table(spark, str(path), multi_line=True)
+    assert got.schema == want.schema and rows_of(got) == rows_of(want)
+
+
 @pytest.mark.parametrize(
     "body",
     [
