@@ -1,4 +1,8 @@
-"""Near copies by the Jaccard similarity of word shingles: prefix-filtered search, verified on whole shingle sets."""
+"""Near copies by the Jaccard similarity of word shingles, verified on whole shingle sets.
+
+Pairs are proposed by SimHash fingerprints in pigeonhole blocks, as in ``simhash``, and by a prefix-filtered join for
+the pairs whose fingerprints lie further apart.
+"""
 
 from __future__ import annotations
 
@@ -13,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from prepkit.llm.components import connected_components
-from prepkit.llm.simhash import SEED, keep_first_of
+from prepkit.llm.simhash import SEED, keep_first_of, majority, near_links, shingle_hashes
 from prepkit.sources.scratch import discard, materialize
 
 CROWD = 8  # texts that share a shingle before its place in the order matters
@@ -28,7 +32,7 @@ SEEDS = (1, 2)  # of the rounds that compare every text of a key with one of the
 
 
 @contextmanager
-def _small_batches(spark: SparkSession) -> Iterator[None]:
+def small_batches(spark: SparkSession) -> Iterator[None]:
     """Arrow batches of ``BATCH_ROWS`` texts for the jobs inside, as shingle sets are larger than their texts."""
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
     before = spark.conf.get(name)
@@ -44,16 +48,7 @@ def shingle_set(text: bytes | None, width: int) -> np.ndarray:
 
     A text of fewer than ``width`` words is one shingle; one without words (or null) has none.
     """
-    words = (text or b"").lower().split()
-    if not words:
-        return np.zeros(0, np.int64)
-    joined, digest = b" ".join(words), xxhash.xxh64_intdigest
-    sizes = np.fromiter(map(len, words), np.int64, len(words))
-    ends = np.cumsum(sizes + 1) - 1
-    starts = (ends - sizes)[: max(1, len(words) - width + 1)].tolist()
-    ends = ends[min(width, len(words)) - 1 :].tolist()
-    hashes = np.fromiter((digest(joined[s:e], SEED) for s, e in zip(starts, ends)), np.uint64, len(starts))
-    return np.unique(hashes.view(np.int64))
+    return np.unique(shingle_hashes(text, width).view(np.int64))
 
 
 def parity_sketch(hashes: np.ndarray) -> np.ndarray:
@@ -115,8 +110,9 @@ def common_shingles(docs: DataFrame, text_col: str, width: int, part: Fraction)
 def prefixes(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, threshold: float = 0.8
 ) -> DataFrame:
-    """``(id, version, node, n, plain, prefix, sketch)`` for every row: its shingle set's digest, size, first shingles.
+    """``(id, version, node, fp, n, plain, prefix, sketch)`` for every row: its shingle set's digest, size, first shingles.
 
+    ``fp`` is the fingerprint of the text, ``simhash.fingerprint`` at this width, from the same hashes.
     Shingles are ordered alike in all texts, common ones last, so the first ``plain`` of a prefix are not
     known to be common. A set of similarity ``threshold`` or more shares at least that part of the n
     shingles, so it misses too few to avoid the first n - ceil(threshold n) + 1.
@@ -129,9 +125,11 @@ def prefixes(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, rank = shared.value
         for batch in batches:
-            nodes, sizes, plains, firsts, sketches = [], [], [], [], []
+            nodes, prints, sizes, plains, firsts, sketches = [], [], [], [], [], []
             for text in batch.column(2):
-                h = shingle_set(text.as_py(), width)
+                hashes = shingle_hashes(text.as_py(), width)
+                prints.append(majority(hashes))
+                h = np.unique(hashes.view(np.int64))
                 nodes.append(xxhash.xxh64_intdigest(h.tobytes(), SEED))
                 sizes.append(len(h))
                 sketches.append(parity_sketch(h))
@@ -148,17 +146,18 @@ def prefixes(
                     batch.column(0),
                     batch.column(1),
                     pa.array(np.array(nodes, np.uint64).view(np.int64)),
+                    pa.array(np.array(prints, np.uint64).view(np.int64)),
                     pa.array(sizes, pa.int32()),
                     pa.array(plains, pa.int32()),
                     pa.array(firsts, pa.list_(pa.int64())),
                     pa.array(sketches, pa.list_(pa.int64())),
                 ],
-                names=["id", "version", "node", "n", "plain", "prefix", "sketch"],
+                names=["id", "version", "node", "fp", "n", "plain", "prefix", "sketch"],
             )
 
     rows = _rows(docs, id_col, text_col)
     kind = rows.schema["id"].dataType.simpleString()
-    kinds = "version bigint, node bigint, n int, plain int, prefix array<bigint>, sketch array<bigint>"
+    kinds = "version bigint, node bigint, fp bigint, n int, plain int, prefix array<bigint>, sketch array<bigint>"
     return rows.mapInArrow(run, f"id {kind}, {kinds}")
 
 
@@ -192,6 +191,21 @@ def star_proposals(keys: DataFrame, threshold: float, seed: int) -> DataFrame:
     return _pair(met)
 
 
+def fingerprint_proposals(heads: DataFrame, threshold: float, distance: int = 2) -> DataFrame:
+    """Pairs ``(a, b, n, m)`` of sets whose fingerprints differ in at most ``distance`` bits, found by pigeonhole blocks.
+
+    Every set meets one set of its own fingerprint, and that one a set of the smallest fingerprint near its
+    own: at most one pair a set, however large a family is.
+    """
+    prints = heads.where("n > 0").groupBy("fp").agg(F.min(F.struct("node", "n")).alias("one"))
+    prints = materialize(prints.select("fp", F.col("one.node").alias("b"), F.col("one.n").alias("m")), "fingerprints")
+    same = heads.select("fp", F.col("node").alias("a"), "n").join(prints, "fp").where("a <> b").select("a", "b", "n", "m")
+    near = near_links(prints.select("fp"), distance).groupBy("b").agg(F.min("a").alias("near")).select(F.col("b").alias("fp"), "near")
+    one = prints.select("fp", F.col("b").alias("a"), F.col("m").alias("n")).join(near, "fp")
+    near = one.join(prints.withColumnRenamed("fp", "near"), "near").select("a", "b", "n", "m")
+    return _pair(same.unionByName(near).where(_enough(F.least("n", "m"), threshold)))
+
+
 def _pair(met: DataFrame) -> DataFrame:
     least = F.least("a", "b")
     first = F.col("a") == least
@@ -327,19 +341,23 @@ def linked_sets(
 ) -> DataFrame:
     """``(node, root)``: components of the sets under links of similarity ``threshold`` or more; all that have one.
 
-    Sets are first compared with one set of each of their keys, twice: that joins a family of copies
-    for as many pairs as it has keys. Then every pair that shares a key and is not in one component
-    yet is compared, so that no link between two components is missed.
+    Sets are first compared with a set of their own or a near fingerprint and with one set of each of
+    their keys, then with another one of each key: that joins a family of copies for as many pairs as it
+    has keys. Then every pair that shares a key and is not in one component yet is compared, so that no
+    link between two components is missed.
     """
     keys = shared_keys(heads)
-    found = docs.sparkSession.createDataFrame([], "node bigint, root bigint")
+    found = docs.sparkSession.range(0).select(F.col("id").alias("node"), F.col("id").alias("root"))
     for seed in (*SEEDS, None):
         if seed is None:
             pairs = cross_proposals(keys, found, heads, threshold)
         else:
             pairs = star_proposals(keys, threshold, seed)
-            met = pairs.join(found.toDF("a", "r"), "a", "left").join(found.toDF("b", "s"), "b", "left")
-            pairs = met.where(~F.coalesce(F.col("r") == F.col("s"), F.lit(False))).select("a", "b", "n", "m")
+            if seed == SEEDS[0]:
+                pairs = pairs.unionByName(fingerprint_proposals(heads, threshold)).distinct()
+            else:
+                met = pairs.join(found.toDF("a", "r"), "a", "left").join(found.toDF("b", "s"), "b", "left")
+                pairs = met.where(~F.coalesce(F.col("r") == F.col("s"), F.lit(False))).select("a", "b", "n", "m")
         pairs = materialize(pairs, "proposals")
         more = verified(pairs, heads, docs, id_col, text_col, width, threshold)
         known, before = more.unionByName(found.where("node <> root").toDF("a", "b")), found
@@ -359,11 +377,12 @@ def near_copies(
     collapsed first. Repeated and null ids are as in ``simhash.near_duplicates``. A very long text is one
     set like any other, held whole in the task that reads it; an empty table gives no rows.
     """
-    with _small_batches(docs.sparkSession):
+    with small_batches(docs.sparkSession):
         prints = materialize(prefixes(docs, id_col, text_col, width, threshold), "prints")
         heads = prints.groupBy("node").agg(
             F.min("id").alias("first"),
             F.min(F.struct("id", "version")).alias("at"),
+            F.min("fp").alias("fp"),  # sets of repeated shingles may have several
             *[F.first(c).alias(c) for c in ("n", "plain", "prefix", "sketch")],
         )
         heads = materialize(heads, "heads")

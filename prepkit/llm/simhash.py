@@ -26,21 +26,30 @@ def fingerprint(text: bytes | None, width: int = 3) -> int:
     words joined by single spaces, repeats included, hashed by XXH64. A text of fewer words is one
     shingle; a text without words (or null) has fingerprint zero.
     """
+    hashes = shingle_hashes(text, width)
+    return majority(hashes) if len(hashes) else 0
+
+
+def shingle_hashes(text: bytes | None, width: int) -> np.ndarray:
+    """The XXH64 hashes of a UTF-8 text's shingles, in order, repeats included; none without words."""
     words = (text or b"").lower().split()
     if not words:
-        return 0
-    joined = b" ".join(words)
+        return np.zeros(0, np.uint64)
+    joined, digest = b" ".join(words), xxhash.xxh64_intdigest
     sizes = np.fromiter(map(len, words), np.int64, len(words))
     ends = np.cumsum(sizes + 1) - 1
     starts = (ends - sizes)[: max(1, len(words) - width + 1)]
     ends = ends[min(width, len(words)) - 1 :]
-    digest, votes = xxhash.xxh64_digest, np.zeros(BITS, np.int64)
-    for at in range(0, len(starts), _CHUNK):
-        spans = zip(starts[at : at + _CHUNK].tolist(), ends[at : at + _CHUNK].tolist())
-        hashes = b"".join([digest(joined[s:e], SEED) for s, e in spans])
-        bits = np.unpackbits(np.frombuffer(hashes, np.uint8).reshape(-1, 8), axis=1)
-        votes += bits.sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(votes * 2 > len(starts)).tobytes(), "big")
+    return np.fromiter((digest(joined[s:e], SEED) for s, e in zip(starts.tolist(), ends.tolist())), np.uint64, len(starts))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The number whose bits are those that over half of the hashes hold."""
+    votes = np.zeros(BITS, np.int64)
+    for at in range(0, len(hashes), _CHUNK):
+        some = hashes[at : at + _CHUNK].astype(">u8").view(np.uint8).reshape(-1, 8)
+        votes += np.unpackbits(some, axis=1).sum(axis=0, dtype=np.int64)
+    return int.from_bytes(np.packbits(votes * 2 > len(hashes)).tobytes(), "big")
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:

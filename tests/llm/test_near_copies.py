@@ -128,6 +128,32 @@ def test_families_yield_few_pairs(docs):
     assert near_copies.cross_proposals(keys, found, heads, 0.8).count() == 0
 
 
+def test_fingerprints_propose_pairs(spark, docs, sf_dir, monkeypatch):
+    """Texts within two bits meet by their fingerprints, at most one pair a set, also where no shingle proposes them."""
+    rng = random.Random(59)
+    rows = []
+    for f in range(4):
+        base = [f"w{rng.randrange(3000)}" for _ in range(2000)]
+        for i in range(12):
+            copy = list(base)
+            copy[rng.randrange(2000)] = f"x{i}"
+            rows.append((100 * f + i, " ".join(copy)))
+    heads = near_copies.prefixes(docs(rows)).withColumn("at", F.struct("id", "version"))
+    of = {r["id"]: r for r in heads.collect()}
+    assert all(of[i]["fp"] % (1 << 64) == simhash.fingerprint(t.encode(), 5) for i, t in rows)
+    fps = {r["node"]: r["fp"] for r in of.values()}
+    near = lambda a, b: ((fps[a] ^ fps[b]) % (1 << 64)).bit_count() <= 2
+    pairs = {(r["a"], r["b"]) for r in near_copies.fingerprint_proposals(heads, 0.8).collect()}
+    assert pairs and len(pairs) <= len(rows) and all(near(a, b) for a, b in pairs)
+    met = {x for pair in pairs for x in pair}
+    assert met == {a for a in fps if any(a != b and near(a, b) for b in fps)}
+    none = spark.range(0).selectExpr("id AS a", "id AS b", "CAST(id AS int) AS n", "CAST(id AS int) AS m")
+    monkeypatch.setattr(near_copies, "star_proposals", lambda *args: none)
+    monkeypatch.setattr(near_copies, "cross_proposals", lambda *args: none)
+    kept = corpus_pipeline.drop_near_duplicates(spark, docs(rows), sf_dir).count()
+    assert kept == len(rows) - len(pairs)  # links by the least near fingerprint form no circle
+
+
 def test_hot_keys_lose_no_link(docs, monkeypatch):
     """A family around the threshold, most of it below, compared in blocks of a few sets: the same groups as all pairs."""
     rng = random.Random(53)
