@@ -24,14 +24,19 @@ def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def drop_shared_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines found in five documents or more stay in one; ``n_chars`` follows the text."""
-    changed = line_dedup.drop_shared_lines(docs)
+    with near_copies.small_batches(spark):
+        changed = line_dedup.drop_shared_lines(docs)
     if "n_chars" in docs.columns:
         changed = changed.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return changed
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies (five-word shingles, Jaccard similarity 0.8 or more) the smallest id's document stays."""
+    """Of each group of near copies (five-word shingles, Jaccard similarity 0.8 or more) the smallest id's document stays.
+
+    SimHash fingerprints in pigeonhole blocks propose pairs, a prefix-filtered join those that lie more bits apart;
+    all are verified on whole shingle sets.
+    """
     return near_copies.keep_first(docs, width=5, threshold=0.8)
 
 

@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from prepkit.functions.columns import col
+
 UNKNOWN = "und"
 _PIECE = 1 << 20  # code points scored at once, so that a very long text needs no more memory
 _letters: np.ndarray | None = None
@@ -165,14 +167,15 @@ def held_out(id_col: str = "doc_id") -> Column:
 def keep_identified(
     docs: DataFrame, model: LanguageModel, min_score: float = 0.5, text_col: str = "text"
 ) -> DataFrame:
-    """The rows, in their own columns, whose language is known with at least ``min_score``."""
+    """The rows, in their own columns, whose language is known with at least ``min_score``.
+
+    Only the text goes to Python, and one boolean a row comes back.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    at = docs.columns.index(text_col)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = shared.value
-        for batch in batches:
-            best = [known.predict(t.as_py()) for t in batch.column(at)]
-            yield batch.filter(pa.array([lang != UNKNOWN and score >= min_score for lang, score in best], pa.bool_()))
+    @F.arrow_udf("boolean")
+    def known(texts: pa.Array) -> pa.Array:
+        best = [shared.value.predict(t.as_py()) for t in texts]
+        return pa.array([lang != UNKNOWN and score >= min_score for lang, score in best], pa.bool_())
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.where(known(col(text_col)))

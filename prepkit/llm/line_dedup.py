@@ -221,8 +221,12 @@ def kept(row_text: Column, keep: Column) -> Column:
 def drop_shared_lines(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 40, min_docs: int = 5
 ) -> DataFrame:
-    """The rows, in their own columns, with shared lines taken out of the text."""
+    """The rows, in their own columns, with shared lines taken out of the text.
+
+    Bitmaps are written first, so that no task runs two Python workers, one to make them and one to apply them.
+    """
     bitmaps = keep_bitmaps(docs, id_col, text_col, min_chars, min_docs).where("keep IS NOT NULL")
+    bitmaps = materialize(bitmaps.select(id_col, "version", "keep"), "bitmaps")
     joined = with_bitmaps(docs, bitmaps, id_col, text_col)
     columns = [
         kept(F.col("row")[c], F.col("bits.keep")).alias(c) if c == text_col else F.col("row")[c].alias(c)

@@ -115,3 +115,11 @@ def test_model_against_exact_grams(spark, table):
     model = lang_id.train(docs.where(~lang_id.held_out()))
     got = {r["doc_id"]: r["lang_pred"] for r in lang_id.identify(docs, model).collect()}
     assert sum(got[i] == best[i] for i in got) >= 0.99 * len(got)
+
+
+def test_filter_sends_only_texts_to_python(table):
+    docs = table("documents")
+    kept = lang_id.keep_identified(docs, lang_id.train(docs))
+    plan = kept._jdf.queryExecution().executedPlan().toString()
+    assert "ArrowEvalPython" in plan and "MapInArrow" not in plan
+    assert kept.columns == docs.columns and 0 < kept.count() <= docs.count()

@@ -102,3 +102,12 @@ def test_a_hot_line_is_streamed(monkeypatch):
         assert sum(sizes) + out.num_rows <= 100 * len(taken) + 2
         sizes.append(out.num_rows)
     assert max(sizes) <= 50 and sum(sizes) >= 1000 and len(sizes) >= 20
+
+
+def test_bitmaps_are_made_and_applied_in_stages_of_their_own(docs):
+    """One Python evaluation in the plan, so a task never holds two workers."""
+    line = "a line of more than forty code points, found everywhere"
+    out = line_dedup.drop_shared_lines(docs([(i, f"{line}\nmine {i}") for i in range(8)]))
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
+    assert sum(line in r["text"] for r in out.collect()) == 1
