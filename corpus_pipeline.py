@@ -13,6 +13,7 @@ from prepkit.llm import decontamination, lang_id, line_dedup, near_copies, packi
 from prepkit.sources.scratch import release, scratch_path, scratch_scope
 
 RANK_FILE = public_tokenizers.path("byte_bpe_50k.tiktoken")
+REMEMBERED = 60_000  # words whose ids a Python worker keeps, as it serves the other stages too
 MIN_SCORE = 0.5  # least probability of the likeliest language
 
 
@@ -47,7 +48,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token sequences of up to 1024 tokens, a row per piece of a document."""
-    return packing.pack_documents(docs, RANK_FILE)
+    return packing.pack_documents(docs, RANK_FILE, remembered=REMEMBERED)
 
 
 STAGES = [

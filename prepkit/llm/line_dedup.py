@@ -223,9 +223,10 @@ def drop_shared_lines(
 ) -> DataFrame:
     """The rows, in their own columns, with shared lines taken out of the text.
 
-    Bitmaps are written first, so that no task runs two Python workers, one to make them and one to apply them.
+    Bitmaps are written first and not filtered by their own value, which would be computed once more for it: so no
+    task runs two Python workers.
     """
-    bitmaps = keep_bitmaps(docs, id_col, text_col, min_chars, min_docs).where("keep IS NOT NULL")
+    bitmaps = keep_bitmaps(docs, id_col, text_col, min_chars, min_docs).where("n_dropped > 0")
     bitmaps = materialize(bitmaps.select(id_col, "version", "keep"), "bitmaps")
     joined = with_bitmaps(docs, bitmaps, id_col, text_col)
     columns = [

@@ -20,10 +20,10 @@ from prepkit.sources.scratch import materialize
 
 #: How the byte-level BPE files cut a text before merging (fixed value).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-_GENERATION = 250_000  # words remembered, twice
+_GENERATION = 250_000  # words remembered, twice, if nothing else is said
 _BATCH_CHARS = 1 << 21
 _OPEN_RUN = re.compile(r" (?:\s|$)")
-_tokenizers: dict[str, "CachedTokenizer"] = {}
+_tokenizers: dict[tuple[str, int | None], "CachedTokenizer"] = {}
 
 
 class CachedTokenizer:
@@ -35,11 +35,12 @@ class CachedTokenizer:
     unsigned 32-bit integers in bytes.
     """
 
-    def __init__(self, rank_file: str):
+    def __init__(self, rank_file: str, remembered: int | None = None):
         with open(rank_file, "rb") as lines:
             ranks = {base64.b64decode(word): int(rank) for word, rank in map(bytes.split, lines)}
         coder = tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
         self._encode, self._new, self._old = coder.encode_ordinary, {}, {}
+        self._remembered = remembered
 
     def ids(self, text: str) -> bytes:
         return np.array(self._encode(text), "<u4").tobytes()
@@ -52,14 +53,14 @@ class CachedTokenizer:
         known = self._new
         for text, words in zip(texts, cut):
             yield self.ids(text) if words is None else self.ids(words[0]) + b"".join([known[w] for w in words[1:]])
-        if len(known) > _GENERATION:
+        if len(known) > (self._remembered or _GENERATION):
             self._old, self._new = known, {}
 
 
-def tokenizer(rank_file: str) -> CachedTokenizer:
-    if rank_file not in _tokenizers:
-        _tokenizers[rank_file] = CachedTokenizer(rank_file)
-    return _tokenizers[rank_file]
+def tokenizer(rank_file: str, remembered: int | None = None) -> CachedTokenizer:
+    if (rank_file, remembered) not in _tokenizers:
+        _tokenizers[rank_file, remembered] = CachedTokenizer(rank_file, remembered)
+    return _tokenizers[rank_file, remembered]
 
 
 def token_pieces(
@@ -69,13 +70,15 @@ def token_pieces(
     text_col: str = "text",
     end_id: int = 2,
     capacity: int = 1024,
+    remembered: int | None = None,
 ) -> DataFrame:
     """``(id_col, piece, start, length, ids_crc32)``: each row's token ids and ``end_id``, cut to pieces.
 
     Only rows of more than ``capacity`` ids are cut, into pieces of ``capacity``; what is over is
     the first piece. ``ids_crc32`` is the checksum of the piece's ids as little-endian unsigned
     32-bit integers. A null text counts as empty: one piece that holds ``end_id`` alone. Lone
-    surrogates cannot occur in Parquet strings. Repeated rows are cut each on their own.
+    surrogates cannot occur in Parquet strings. Repeated rows are cut each on their own. Workers keep the ids
+    of about twice ``remembered`` words between their tasks (by default 250,000), which changes no result.
     """
 
     end = np.array([end_id], "<u4").tobytes()
@@ -89,7 +92,7 @@ def token_pieces(
                 at, size = i + 1, 0
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = tokenizer(rank_file)
+        coder = tokenizer(rank_file, remembered)
         for batch in batches:
             texts = [t or "" for t in batch.column(1).to_pylist()]
             rows, piece, start, length, crc = [], [], [], [], []
@@ -198,10 +201,11 @@ def pack_documents(
     text_col: str = "text",
     end_id: int = 2,
     score: str = "norm",
+    remembered: int | None = None,
 ) -> DataFrame:
     """Tokenize whole texts, cut what is too long, and pack the pieces (see ``token_pieces``, ``pack``).
 
     Tokenizing happens once: its small piece table is written to the shared folder.
     """
-    pieces = token_pieces(docs, rank_file, id_col, text_col, end_id, capacity.tokens)
+    pieces = token_pieces(docs, rank_file, id_col, text_col, end_id, capacity.tokens, remembered)
     return pack(materialize(pieces, "pieces"), capacity, score=score)

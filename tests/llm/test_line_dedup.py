@@ -104,10 +104,17 @@ def test_a_hot_line_is_streamed(monkeypatch):
     assert max(sizes) <= 50 and sum(sizes) >= 1000 and len(sizes) >= 20
 
 
-def test_bitmaps_are_made_and_applied_in_stages_of_their_own(docs):
-    """One Python evaluation in the plan, so a task never holds two workers."""
+def test_bitmaps_are_made_and_applied_in_stages_of_their_own(docs, monkeypatch):
+    """One Python evaluation in each plan, so a task never holds two workers."""
+    plans, write = {}, line_dedup.materialize
+
+    def spy(frame, label):
+        plans[label] = frame._jdf.queryExecution().executedPlan().toString()
+        return write(frame, label)
+
+    monkeypatch.setattr(line_dedup, "materialize", spy)
     line = "a line of more than forty code points, found everywhere"
     out = line_dedup.drop_shared_lines(docs([(i, f"{line}\nmine {i}") for i in range(8)]))
     plan = out._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("ArrowEvalPython") == 1
+    assert plan.count("ArrowEvalPython") == plans["bitmaps"].count("ArrowEvalPython") == 1
     assert sum(line in r["text"] for r in out.collect()) == 1

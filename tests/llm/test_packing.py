@@ -56,6 +56,17 @@ def test_forgetting_words_changes_nothing(tokens, corpus, monkeypatch):
         assert np.frombuffer(got, "<u4").tolist() == tokens(text)
 
 
+def test_fewer_remembered_words_change_nothing(docs, corpus):
+    made = [packing.token_pieces(docs(corpus), RANK_FILE, remembered=n) for n in (None, 10)]
+    first, second = (sorted(map(tuple, m.collect())) for m in made)
+    assert first == second
+    coder = packing.CachedTokenizer(RANK_FILE, 10)
+    for _, text in corpus[:40]:
+        list(coder.encode([text]))
+    most = max(len(set((t or "").split(" "))) for _, t in corpus[:40])
+    assert len(coder._old) + len(coder._new) <= 2 * (10 + most)
+
+
 def check_packed(rows, texts, tokens):
     """Exact round trip: pieces make up each document, sequences are gapless and full enough."""
     by_doc, by_sequence = {}, {}
